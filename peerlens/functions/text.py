@@ -152,12 +152,14 @@ def clean_topic(c: Column) -> Column:
 def dedupe_interests(topics: Column) -> Column:
     """Cleaned topics, at most 80 characters each, first of a case-insensitive pair, at most 15."""
     cleaned = F.filter(F.transform(topics, clean_topic), lambda t: (t != "") & (F.length(t) <= 80))
-    lowered = F.transform(cleaned, lambda t: F.lower(t))
-    first_seen = F.filter(
-        F.transform(cleaned, lambda t, i: F.when(F.array_position(lowered, F.lower(t)) == i + 1, t)),
-        lambda t: t.isNotNull(),
-    )
-    return F.slice(first_seen, 1, V.MAX_INTERESTS)
+    pairs = F.transform(cleaned, lambda t: F.struct(t.alias("topic"), F.lower(t).alias("key")))
+    start = F.array().cast("array<struct<topic:string,key:string>>")
+
+    def step(kept, t):
+        fresh = (F.size(kept) < V.MAX_INTERESTS) & ~F.array_contains(kept["key"], t["key"])
+        return F.when(fresh, F.array_append(kept, t)).otherwise(kept)
+
+    return F.aggregate(pairs, start, step, lambda kept: kept["topic"])
 
 
 def topics_from_text(c: Column) -> Column:

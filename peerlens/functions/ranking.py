@@ -12,6 +12,7 @@ many tasks, then add per-partition offsets from a small table.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, on storage every executor sees."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_col: str | None = None
 ) -> DataFrame:

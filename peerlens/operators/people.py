@@ -187,8 +187,14 @@ def page(df: DataFrame, number: int, size: int = 24, mode: str = "pi") -> DataFr
 
 
 def truncate_catalog(df: DataFrame, n: int) -> DataFrame:
-    """The `n` most important people (K5)."""
-    return df.orderBy(*importance()).limit(n)
+    """The `n` most important people (K5).
+
+    A short list is a top-k per task; a long one is numbered over range
+    partitions (cuts a checkpoint), since a limit gathers its rows in one task.
+    """
+    if n <= 10_000:
+        return df.orderBy(*importance()).limit(n)
+    return with_row_number(df, importance(), "_n").where(F.col("_n") <= n).drop("_n")
 
 
 def catalog_completeness(df: DataFrame, n: int | None) -> DataFrame:

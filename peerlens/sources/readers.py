@@ -107,7 +107,7 @@ def read_works(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """Topic list: subfield and at most twelve cleaned keywords per topic (S3)."""
     raw = _read(spark, path, TOPIC_SCHEMA)
-    keywords = F.filter(F.transform("keywords", clean_label), lambda k: k != "")
+    keywords = F.filter(F.transform("keywords", lambda k: clean_label(k)), lambda k: k != "")
     return raw.select(
         clean_label(F.col("display_name")).alias("topic"), F.col("subfield.display_name").alias("subfield"),
         F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 12).alias("keywords"),

@@ -308,18 +308,29 @@ def profile_tags(
 
     said = significant(concept_tokens(fold(F.array_join(F.coalesce("interests", F.array().cast("array<string>")), " . "))))
     told = significant(concept_tokens(fold(F.concat_ws(" ", "summary", "text"))))
-    people = profiles.select("profile_id", F.array_distinct(said).alias("_said"), F.array_distinct(told).alias("_told"))
-    people = people.withColumn("_all", F.array_union("_said", "_told"))
-    words = people.select("profile_id", "_said", "_all", F.explode("_all").alias("_w"))
-    held = people.select(F.explode("_all").alias("_w")).groupBy("_w").agg(F.count("*").alias("_profiles"))
+    # One row per word of a profile; no row carries a whole text.
+    words = (
+        profiles.select("profile_id", F.explode(F.array_distinct(said)).alias("_w"), F.lit(True).alias("_said"))
+        .unionAll(profiles.select("profile_id", F.explode(F.array_distinct(told)).alias("_w"), F.lit(False).alias("_said")))
+        .groupBy("profile_id", "_w")
+        .agg(F.max("_said").alias("_said"))
+    )
+    held = words.groupBy("_w").agg(F.count("*").alias("_profiles"))
     needed = names.select("tag", "factor", "_len", "_needed", F.explode("_needed").alias("_w"))
     rarest = (
         needed.join(held, "_w", "left")
         .groupBy("tag", "factor", "_len", "_needed")
         .agg(F.min_by("_w", F.struct(F.coalesce("_profiles", F.lit(0)), "_w")).alias("_w"))
     )
-    met = words.join(rarest, "_w").where(F.size(F.array_except("_needed", "_all")) == 0)
-    in_interests = F.size(F.array_except("_needed", "_said")) == 0
+    met = words.select("profile_id", "_w").join(rarest, "_w")
+    every = met.select("profile_id", "tag", "factor", "_len", F.size("_needed").alias("_n"), F.explode("_needed").alias("_w"))
+    met = (
+        every.join(words, ["profile_id", "_w"])
+        .groupBy("profile_id", "tag", "factor", "_len", "_n")
+        .agg(F.count("*").alias("_held"), F.count_if("_said").alias("_listed"))
+        .where(F.col("_held") == F.col("_n"))
+    )
+    in_interests = F.col("_listed") == F.col("_n")
     fit = F.when(in_interests, 2 * F.col("factor")).otherwise(F.col("factor") * F.least(F.lit(1.0), 0.5 + 0.25 * F.col("_len")))
     best = met.groupBy("profile_id", "tag").agg(F.max(fit).alias("_fit")).join(vocabulary, "tag")
     scored = best.select(
@@ -328,11 +339,19 @@ def profile_tags(
     return top_per_group(scored, ["profile_id"], [F.col("weight").desc(), F.col("tag").asc()], limit, "tag_rank")
 
 
-def profile_overlap(tags: DataFrame, person_tags: DataFrame) -> DataFrame:
-    """Overlap 0-1 of a person's tags with a profile's (T11). tags(profile_id, tag, weight)"""
+def profile_overlap(tags: DataFrame, person_tags: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Overlap 0-1 of a person's tags with a profile's (T11). tags(profile_id, tag, weight)
+
+    With `pairs(profile_id, person_id)` only those are scored: each pair meets
+    the profile's few tags, so a tag that many people carry costs nothing extra.
+    """
     most = tags.groupBy("profile_id").agg(F.max("weight").alias("_max"))
     wanted = tags.join(most, "profile_id").select("profile_id", F.lower("tag").alias("_key"), (F.col("weight") / F.col("_max")).alias("_share"))
-    met = person_tags.select("person_id", "pos", F.lower("tag").alias("_key")).join(wanted, "_key")
+    carried = person_tags.select("person_id", "pos", F.lower("tag").alias("_key"))
+    if pairs is None:
+        met = carried.join(wanted, "_key")
+    else:
+        met = pairs.select("profile_id", "person_id").join(wanted, "profile_id").join(carried, ["person_id", "_key"])
     return met.groupBy("profile_id", "person_id").agg(
         F.round(F.least(F.lit(1.0), F.sum(F.col("_share") * position_strength(F.col("pos"))) / 2), 6).alias("overlap")
     )

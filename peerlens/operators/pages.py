@@ -12,7 +12,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import email_fits_name, fold, name_key, name_tokens
@@ -231,15 +231,13 @@ def directory_entries(pages: DataFrame, item_selector: str | None = None) -> Dat
     both = F.concat_ws("\n", F.array_join("mailtos", "\n"), "text")
     blocks = blocks.withColumn("emails", addresses(both))
     if item_selector is None:
-        # A page's blocks with one address: at most as many as the page has elements.
-        single = blocks.where(F.size("emails") == 1)
-        inside = (
-            single.select("page_id", "element", F.explode("above").alias("_outer"))
-            .join(single.select("page_id", F.col("element").alias("_outer")), ["page_id", "_outer"], "left_semi")
-            .select("page_id", "element")
-            .distinct()
+        # All blocks of a page come from one input row, so the window is bounded by that page.
+        page = Window.partitionBy("page_id")
+        blocks = (
+            blocks.where(F.size("emails") == 1)
+            .withColumn("_single", F.collect_set("element").over(page))
+            .where(~F.arrays_overlap("above", "_single"))
         )
-        blocks = single.join(inside, ["page_id", "element"], "left_anti")
     named = blocks.where((F.length("name") > 0) & (F.length("name") <= 80)).withColumn("_tokens", name_tokens(fold(F.col("name"))))
     # Link texts are folded together: one call per card, split again on a mark no link text holds.
     mark = "\u0001"

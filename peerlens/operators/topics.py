@@ -130,8 +130,8 @@ def keep_stored_tags(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:
-    """People per tag and its kind: a topic anywhere makes it a topic."""
-    return tags.groupBy("tag").agg(F.count_distinct("person_id").alias("people"), F.max("kind").alias("kind"))
+    """People per tag and its kind: a topic anywhere makes it a topic (A13). A person holds a tag once."""
+    return tags.groupBy("tag").agg(F.count("*").alias("people"), F.max("kind").alias("kind"))
 
 
 def tag_vocabulary(tags: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from ..functions.text import evidence_words
 
 BLOCK_BYTES = 32 << 20
 BLOCK_RESULTS = 4_000_000
+MERGE_WIDTH = 32
 CENTROID_BLOCK_BYTES = 128 << 20
 DIGITS = 6
 
@@ -155,12 +156,11 @@ class _Best:
 
 def _blocks(profiles: DataFrame, k: int, columns: Sequence[str]) -> Iterator[list]:
     """Profiles in blocks small enough to broadcast; each block is one bounded collect."""
-    first = profiles.select(F.size("vector").alias("d")).first()
-    if first is None:
+    size = profiles.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if not size["n"]:
         return
-    per_block = max(1, min(BLOCK_BYTES // (8 * max(first["d"], 1)), BLOCK_RESULTS // max(k, 1)))
-    count = profiles.count()
-    blocks = max(1, math.ceil(count / per_block))
+    per_block = max(1, min(BLOCK_BYTES // (8 * max(size["d"], 1)), BLOCK_RESULTS // max(k, 1)))
+    blocks = max(1, math.ceil(size["n"] / per_block))
     for i in range(blocks):
         part = profiles.where(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == i) if blocks > 1 else profiles
         rows = part.select(*columns).collect()
@@ -175,6 +175,7 @@ def _rank(profiles: DataFrame, vectors: DataFrame, k: int, value: str, clip: boo
     profile_type = profiles.schema["profile_id"].dataType.simpleString()
     schema = f"profile_id {profile_type}, person_id {id_type}, institution_id {inst_type}, score double"
     columns = ["person_id", "institution_id", value] + (["cluster"] if probed else [])
+    best_first = [F.col("score").desc(), F.col("person_id").asc()]
     out = None
     for rows in _blocks(profiles, k, ["profile_id", "vector"] + (["clusters"] if probed else [])):
         matrix = _unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64))
@@ -223,10 +224,13 @@ def _rank(profiles: DataFrame, vectors: DataFrame, k: int, value: str, clip: boo
         if probed and len(by_cluster) <= 10_000:
             part = vectors.where(F.col("cluster").isin([int(c) for c in by_cluster]))
         scored = part.select(*columns).where(F.col(value).isNotNull()).mapInArrow(score, schema)
+        # Every task sends up to k rows per profile; a first cut per group of tasks keeps the last one small.
+        scored = top_per_group(scored.withColumn("_tasks", F.pmod(F.spark_partition_id(), F.lit(MERGE_WIDTH))), ["profile_id", "_tasks"], best_first, k)
+        scored = scored.drop("_tasks")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return spark.createDataFrame([], schema + ", rank int")
-    return top_per_group(out, ["profile_id"], [F.col("score").desc(), F.col("person_id").asc()], k, "rank")
+    return top_per_group(out, ["profile_id"], best_first, k, "rank")
 
 
 def _arrow_type(name: str) -> pa.DataType:
@@ -290,9 +294,8 @@ def assign_clusters(vectors: DataFrame, centroids: DataFrame, value: str = "vect
     best so far is carried along, still without a shuffle.
     """
     spark = vectors.sparkSession
-    centers = centroids.count()
-    dim = centroids.select(F.size("vector").alias("d")).first()["d"]
-    blocks = max(1, math.ceil(centers * dim * 8 / CENTROID_BLOCK_BYTES))
+    size = centroids.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    blocks = max(1, math.ceil(size["n"] * size["d"] * 8 / CENTROID_BLOCK_BYTES))
     out = vectors.withColumn("cluster", F.lit(None).cast("int")).withColumn("_best", F.lit(None).cast("double"))
     for i in range(blocks):
         part = centroids.where(F.pmod("cluster", F.lit(blocks)) == i).orderBy("cluster").collect()

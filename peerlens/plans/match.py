@@ -56,7 +56,6 @@ def hybrid_matches(
 ) -> DataFrame:
     """Matches with the tag overlap blended in, limited to people in the catalog."""
     tags = concepts.profile_tags(profiles, vocabulary, synonyms)
-    matched_tags = person_tags.join(matches.select("person_id").distinct(), "person_id", "left_semi")
-    overlap = concepts.profile_overlap(tags, matched_tags)
     listed = matches.join(catalog.select("person_id"), "person_id", "left_semi")
+    overlap = concepts.profile_overlap(tags, person_tags, listed)
     return vectors.hybrid_scores(listed, overlap)

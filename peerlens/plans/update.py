@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import cut_lineage
 from ..operators import incremental, people, topics, works
 
 
@@ -38,11 +39,12 @@ def update_catalog(
     """
     since, until = window
     scanned = works.works_at(changed_works.where(F.col("date").between(since, until)), work_institutions, institutions)
-    new_pubs = works.works_of(stored.records, scanned, authorships)
+    # The window's share of the works, and the merged rows of people it touches: each is read several times below.
+    new_pubs = cut_lineage(works.works_of(stored.records, scanned, authorships))
     touched = new_pubs.select("person_id").distinct()
     old_pubs = stored.publications.drop("recency")
     mine = old_pubs.join(touched, "person_id", "left_semi")
-    merged = works.merge_publications(mine, new_pubs)
+    merged = cut_lineage(works.merge_publications(mine, new_pubs))
     untouched = stored.publications.join(touched, "person_id", "left_anti")
     publications = untouched.unionByName(merged.select(*stored.publications.columns))
 

@@ -40,7 +40,7 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
     Returns whether the global catalog is complete.
     """
     rows = records if set(records.columns) <= set(_slim(records)) else to_catalog(records)
-    complete = top_n is None or rows.limit(top_n + 1).count() <= top_n
+    complete = top_n is None or rows.count() <= top_n
     top = rows if complete else truncate_catalog(rows, top_n)
     top.write.mode("overwrite").parquet(f"{root}/catalog")
     if not complete:

@@ -42,6 +42,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer tasks than cores dealt out to all of them; any other plan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_col: str | None = None
 ) -> DataFrame:

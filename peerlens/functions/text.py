@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,24 +107,31 @@ def email_fits_name(email: Column, tokens: Column) -> Column:
     return F.coalesce((F.size(tokens) > 0) & fits, F.lit(False))
 
 
-def stem(bare: Column) -> Column:
+def stem(w: Column) -> Column:
     """Light stemmer for a word without apostrophes: plurals meet their singular."""
-    n = F.length(bare)
+    n = F.length(w)
+
+    def ends(*endings):
+        return reduce(lambda x, y: x | y, [w.endswith(e) for e in endings])
+
     return (
-        F.when(n <= 3, bare)
-        .when(bare.endswith("ies") & (n > 4), F.concat(bare.substr(F.lit(1), n - 3), F.lit("y")))
-        .when(bare.endswith("sses") | bare.rlike("(xes|ches|shes)$"), bare.substr(F.lit(1), n - 2))
-        .when(bare.endswith("s") & ~bare.rlike("(ss|us|is)$"), bare.substr(F.lit(1), n - 1))
-        .otherwise(bare)
+        F.when((n <= 3) | ~w.endswith("s"), w)
+        .when(w.endswith("ies") & (n > 4), F.concat(w.substr(F.lit(1), n - 3), F.lit("y")))
+        .when(ends("sses", "xes", "ches", "shes"), w.substr(F.lit(1), n - 2))
+        .when(ends("ss", "us", "is"), w)
+        .otherwise(w.substr(F.lit(1), n - 1))
     )
 
 
 def concept_tokens(folded: Column) -> Column:
-    """Stemmed words of a folded text in order, stop words out."""
-    words = F.regexp_extract_all(folded, F.lit("[a-z0-9]+(?:['’][a-z]+)?"), F.lit(0))
-    # Two steps, so that the stemmer's tests share one apostrophe-free word.
-    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "['’]s$", ""), "['’]", ""))
-    return F.filter(F.transform(bare, stem), lambda w: (w != "") & ~w.isin(V.STOP_WORDS))
+    """Stemmed words of a folded text in order, stop words out.
+
+    Apostrophes are settled once per text: a possessive `'s` goes, any other
+    joins the letters behind it to the word and ends it.
+    """
+    plain = F.regexp_replace(folded, "([a-z0-9])['’](?:s(?![a-z])|([a-z]+))", "$1$2 ")
+    words = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(F.transform(words, stem), lambda w: (w != "") & ~w.isin(V.STOP_WORDS))
 
 
 def _stemmed_generic() -> list[str]:

@@ -30,7 +30,13 @@ _SPELLED_DOMAIN = (
     rf"{V.EMAIL_LABEL}(?:(?:\.|\s+dot\s+){V.EMAIL_LABEL})*(?:\.|\s+dot\s+){V.EMAIL_TLD}"
 )
 _ADDRESS = rf"(?U)\b{V.EMAIL_LOCAL}@{V.EMAIL_LABEL}(?:\.{V.EMAIL_LABEL})*\.{V.EMAIL_TLD}\b"
-_MAY_HOLD_ADDRESS = r"(?i)@|&#|&commat|\bat\b"
+_GAP = r"[\s\p{Z}]"
+_SPELLED_AT = rf"at{_GAP}+[a-z0-9-]+(?:\.[a-z0-9]|{_GAP}+dot{_GAP}|{_GAP}*[\[({{<])|[\[({{<]{_GAP}*at{_GAP}*[\])}}>]"
+
+
+def may_hold_address(c: Column) -> Column:
+    """A sign, an entity, a bracketed "at", or "at" in front of something dotted: every address has one of them."""
+    return c.contains("@") | c.rlike("&#?[0-9A-Za-z]+;") | F.lower(c).rlike(_SPELLED_AT)
 
 
 # --- addresses --------------------------------------------------------------------------------
@@ -67,7 +73,7 @@ def extract_emails(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
     Texts without a trace of an address never reach the entity decoder.
     """
-    likely = df.where(F.col(text).rlike(_MAY_HOLD_ADDRESS)).select(*keys, unescape_entities(F.col(text)).alias("_t"))
+    likely = df.where(may_hold_address(F.col(text))).select(*keys, unescape_entities(F.col(text)).alias("_t"))
     return likely.select(*keys, F.posexplode(addresses(F.col("_t"))).alias("pos", "email"))
 
 

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import spread
 from ..operators import works as W
 
 AS_OF = dt.date(2001, 8, 1)
@@ -25,6 +26,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows cost much work each, over all cores."""
+        return spread(self.raw(name))
+
     @property
     def institutions(self) -> DataFrame:
         host = F.concat(F.lit("www."), F.lower(F.regexp_replace("n_name", "_", "")), F.lit(".ac.uk"))

@@ -21,7 +21,7 @@ ADDRESS_SQL = r"""'[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za
     f"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, {ADDRESS_SQL}))) AS email FROM documents",
 )
 def _(t: Tables):
-    return C.extract_emails(t.raw("documents"), "text", ["doc_id"]).select("doc_id", "email")
+    return C.extract_emails(t.texts("documents"), "text", ["doc_id"]).select("doc_id", "email")
 
 
 @query(
@@ -30,8 +30,8 @@ def _(t: Tables):
     UNION SELECT DISTINCT 'turn', conv_id, lower(unnest(regexp_extract_all(text, {ADDRESS_SQL}))) FROM conversations""",
 )
 def _(t: Tables):
-    texts = t.raw("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    texts = texts.unionByName(t.raw("conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "text"))
+    texts = t.texts("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    texts = texts.unionByName(t.texts("conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "text"))
     return C.extract_emails(texts, "text", ["kind", "id"]).select("kind", "id", "email").distinct()
 
 
@@ -89,7 +89,7 @@ SELECT page_id, CASE WHEN len(p) >= 3 AND p[-2] IN ('ac', 'edu', 'co', 'com', 'o
 
 @query("registered_domains", "F2", DOMAIN_SQL)
 def _(t: Tables):
-    return C.with_registered_domain(t.raw("pages"), "url").select("page_id", "registered_domain")
+    return C.with_registered_domain(t.texts("pages"), "url").select("page_id", "registered_domain")
 
 
 # Names: the first three words of a text, folded, letters only.
@@ -105,7 +105,7 @@ bkeyed AS (SELECT item_id, CASE WHEN len(tk) > 0 THEN substr(tk[1], 1, 1) || '|'
 
 
 def named_documents(t: Tables):
-    return t.raw("documents").select("doc_id", F.substring_index("text", " ", 3).alias("name"), "lang", "source", "n_chars")
+    return t.texts("documents").select("doc_id", F.substring_index("text", " ", 3).alias("name"), "lang", "source", "n_chars")
 
 
 def named_benchmark(t: Tables):
@@ -313,14 +313,14 @@ def _(t: Tables):
       regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_extract(html, '<a href="(/[^"]*)"', 1) AS first_link FROM pages""",
 )
 def _(t: Tables):
-    return G.extract_pages(t.raw("pages")).select(
+    return G.extract_pages(t.texts("pages")).select(
         "page_id", F.size("links").alias("links"), F.get("links", F.lit(0))["url"].alias("first_link")
     )
 
 
 @query("page_texts", "D1")
 def _(t: Tables):
-    return G.extract_pages(t.raw("pages")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
+    return G.extract_pages(t.texts("pages")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
 
 
 def directory_pages(t: Tables):
@@ -375,7 +375,7 @@ def _(t: Tables):
 
 @query("document_profiles", "D4")
 def _(t: Tables):
-    docs = t.raw("documents").withColumn(
+    docs = t.texts("documents").withColumn(
         "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CV\nResearch interests:\n- "), "lang", F.lit(" poetry, "), "source", F.lit("\nEducation\n"), "text")).otherwise(F.col("text"))
     )
     out = R.document_profiles(docs)
@@ -394,7 +394,7 @@ numbered AS (SELECT id, topic, row_number() OVER (PARTITION BY id ORDER BY i) -
 
 @query("topics_in_texts", "D5", ", src AS (SELECT doc_id AS id, text FROM documents)" + TOPICS_SQL + "SELECT id AS doc_id, pos, topic FROM numbered")
 def _(t: Tables):
-    return R.text_topics(t.raw("documents"), "text", "doc_id")
+    return R.text_topics(t.texts("documents"), "text", "doc_id")
 
 
 @query(
@@ -403,7 +403,7 @@ def _(t: Tables):
     + """SELECT s.id, coalesce(string_agg(topic, '|' ORDER BY pos), '') AS interests, false AS structured FROM src s LEFT JOIN numbered n ON s.id = n.id GROUP BY 1""",
 )
 def _(t: Tables):
-    replies = t.raw("conversations").where("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    replies = t.texts("conversations").where("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return R.parse_replies(replies, "text", ["id"]).select("id", F.array_join("interests", "|").alias("interests"), "structured")
 
 
@@ -485,7 +485,7 @@ def _(t: Tables):
     """SELECT doc_id, 'Research areas: ' || lang || ', ' || source || '. about ' || lang || ' ' || substr(text, 1, 1200 - length('Research areas: ' || lang || ', ' || source || '. about ' || lang)) AS embedding_text FROM documents""",
 )
 def _(t: Tables):
-    profiles = t.raw("documents").select(
+    profiles = t.texts("documents").select(
         "doc_id", F.array("lang", "source").alias("interests"), F.concat(F.lit("about "), "lang").alias("summary"), "text"
     )
     return R.with_profile_text(profiles).select("doc_id", "embedding_text")
@@ -525,5 +525,5 @@ def _(t: Tables):
 def _(t: Tables):
     from ..sources.readers import affiliation_strings
 
-    rows = t.raw("documents").select((F.col("doc_id") % 10).alias("person_id"), F.col("doc_id").alias("pos"), "text")
+    rows = t.texts("documents").select((F.col("doc_id") % 10).alias("person_id"), F.col("doc_id").alias("pos"), "text")
     return affiliation_strings(rows, n=1000).groupBy("person_id").agg(F.count("*").alias("strings"))

@@ -95,7 +95,7 @@ STOP_SQL = """('a','an','and','are','as','at','be','by','for','from','in','into'
       CAST(coalesce(sum(length(w)) FILTER (w NOT IN """ + STOP_SQL + """), 0) AS BIGINT) AS letters FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1""",
 )
 def _(t: Tables):
-    words = K.with_concept_tokens(t.raw("documents"), "text", "tokens").select("doc_id", F.explode_outer("tokens").alias("w"))
+    words = K.with_concept_tokens(t.texts("documents"), "text", "tokens").select("doc_id", F.explode_outer("tokens").alias("w"))
     return words.groupBy("doc_id").agg(F.count("w").alias("words"), F.coalesce(F.sum(F.length("w")), F.lit(0)).alias("letters"))
 
 
@@ -532,7 +532,7 @@ def _(t: Tables):
 
 @query("embedded_documents", "V1")
 def _(t: Tables):
-    out = X.embed_texts(t.raw("documents"), "text", X.hashed_words(64))
+    out = X.embed_texts(t.texts("documents"), "text", X.hashed_words(64))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return out.select("doc_id", F.round(norm, 3).alias("norm"), F.size("vector").alias("dim"))
 

@@ -53,7 +53,7 @@ class Built:
     records: DataFrame
     publications: DataFrame
     tags: DataFrame
-    extra: dict = field(default_factory=dict)
+    extra: dict = field(default_factory=dict)  # before_pruning: people before the size budget cut
 
 
 def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None) -> Built:
@@ -100,9 +100,12 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
     records = C.with_role(P.with_contact_flags(T.with_domain_names(records)))
     if limits.require_contact:
         records = P.require_contact(records)
+    extra = {}
     if limits.size_budget is not None:
-        records = P.prune_to_budget(P.estimated_bytes(records, limits.vector_format), limits.size_budget).drop("bytes")
-    return Built(records, recent, tags)
+        sized = cut_lineage(P.estimated_bytes(records, limits.vector_format))
+        extra["before_pruning"] = sized.count()
+        records = P.prune_to_budget(sized, limits.size_budget).drop("bytes")
+    return Built(records, recent, tags, extra)
 
 
 def publish(built: Built, inputs: Inputs, root: str, as_of: dt.datetime, limits: Limits | None = None) -> None:
@@ -121,6 +124,8 @@ def publish(built: Built, inputs: Inputs, root: str, as_of: dt.datetime, limits:
     writers.write_run_metadata(
         spark, root, "full", as_of, last_ingestion=as_of.date(), last_cdc_run=as_of.date(), people=totals["people"],
         with_email=totals["with_email"], institutions=totals["n"], catalog_complete=complete,
+        catalog_rows=totals["people"] if complete else limits.catalog_rows,
+        pruned=built.extra.get("before_pruning", totals["people"]) - totals["people"],
         per_institution=limits.per_institution, window_years=limits.window_years,
     )
 
@@ -128,9 +133,8 @@ def publish(built: Built, inputs: Inputs, root: str, as_of: dt.datetime, limits:
 def publish_vectors(records: DataFrame, root: str, encoder=None, vector_format: str = "bits", k: int | None = None) -> None:
     """Embed everyone, train and assign clusters, write the vector index."""
     embedded = X.embed_texts(with_person_text(records), "embedding_text", encoder).select("person_id", "institution_id", "vector")
-    rows = X.quantize(embedded.withColumn("vector", F.col("vector"))).drop("vector")
-    # Clusters come from the stored, quantised rows; they are read three times.
-    unit = cut_lineage(X.dequantize(rows))
+    # Clusters come from the quantised rows, as readers see them; they are read three times.
+    unit = cut_lineage(X.dequantize(X.quantize(embedded).drop("vector")))
     centroids = X.train_centroids(unit, k)
     assigned = X.assign_clusters(unit, centroids)
     if vector_format == "bits":

@@ -318,7 +318,14 @@ def _(t: Tables):
     )
 
 
-@query("page_texts", "D1")
+@query(
+    "page_texts", "D1",
+    r""", bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>', '<x>', 'g') AS h FROM pages),
+    piece AS (SELECT page_id, regexp_split_to_array(h, '<[^>]*>') AS p FROM bare),
+    plain AS (SELECT page_id, list_transform(p, lambda s: trim(replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10) || ' ')) AS p FROM piece),
+    text AS (SELECT page_id, array_to_string(list_filter(p, lambda s: s <> ''), chr(10)) AS t FROM plain)
+    SELECT page_id, length(t) AS chars, sha256(t) AS text_hash FROM text""",
+)
 def _(t: Tables):
     return G.extract_pages(t.texts("pages")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
 
@@ -373,7 +380,19 @@ def _(t: Tables):
 
 # --- profiles ----------------------------------------------------------------------------------------
 
-@query("document_profiles", "D4")
+@query(
+    "document_profiles", "D4",
+    r""", raw AS (SELECT doc_id, lang, source, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
+    ln AS (SELECT doc_id, generate_subscripts(l, 1) AS i, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS s FROM raw),
+    bare AS (SELECT doc_id, i, trim(regexp_replace(s, '^[\s*•·▪◦‣\d.)-]+', '')) AS s FROM ln WHERE s <> ''),
+    prose AS (SELECT doc_id, i, substr(s, 1, 400) AS s FROM bare WHERE len(string_split(trim(s), ' ')) >= 4
+      AND NOT regexp_matches(s, '(?i)(@|https?://|www\.|linkedin\.com|github\.com|scholar\.google|orcid\.org|curriculum\s+vitae|\bpage\s+\d+|\+?\d[\d\s().-]{8,}\d)')),
+    parts AS (SELECT doc_id, 0 AS i, lang || ' poetry, ' || source AS s FROM raw WHERE doc_id % 3 = 0 UNION ALL SELECT * FROM prose),
+    run AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(s) AS upto FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    fit AS (SELECT *, bool_and(k = 1 OR upto <= 1000) OVER (PARTITION BY doc_id ORDER BY k) AS kept FROM run)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' poetry|' || source ELSE '' END AS interests,
+      coalesce((SELECT string_agg(s, ' ' ORDER BY k) FROM fit f WHERE f.doc_id = raw.doc_id AND kept), '') AS text FROM raw""",
+)
 def _(t: Tables):
     docs = t.texts("documents").withColumn(
         "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CV\nResearch interests:\n- "), "lang", F.lit(" poetry, "), "source", F.lit("\nEducation\n"), "text")).otherwise(F.col("text"))

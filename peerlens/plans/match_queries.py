@@ -462,6 +462,17 @@ def _(t: Tables):
     return match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20)
 
 
+@query(
+    "trained_index_self_match", "V7 V8 V9 V10",
+    "SELECT label AS profile_id, min(vec_id) AS person_id, CAST(1 AS DOUBLE) AS score FROM embeddings GROUP BY 1",
+)
+def _(t: Tables):
+    v = people_vectors(t)
+    centroids = X.train_centroids(v, seed=7)
+    found = match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20)
+    return found.where("rank = 1").select("profile_id", "person_id", "score")
+
+
 @query(
     "hybrid_matches", "V11",
     OVERLAP_SQL + """, b AS (SELECT profile_id, row_number() OVER (ORDER BY profile_id) % 10 AS label FROM prof),
@@ -530,7 +541,7 @@ def _(t: Tables):
     return X.check_vectors_shape(broken, 64).select("person_id", "problem")
 
 
-@query("embedded_documents", "V1")
+@query("embedded_documents", "V1", "SELECT doc_id, CAST(1 AS DOUBLE) AS norm, 64 AS dim FROM documents")
 def _(t: Tables):
     out = X.embed_texts(t.texts("documents"), "text", X.hashed_words(64))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

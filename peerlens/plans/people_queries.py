@@ -345,9 +345,14 @@ def _(t: Tables):
     return T.facets(records(t), published=published, country="ASIA").drop("country_code")
 
 
-@query("estimated_bytes", "A23")
+@query(
+    "estimated_bytes", "A23",
+    """SELECT institution_id, CAST(sum(2 * length('{"person_id":' || person_id || ',"name":"' || name || '","institution_id":' || institution_id || ',"email":"' || coalesce(email, '') || '"}')
+      - CASE WHEN email IS NULL THEN 2 * length(',"email":""') ELSE 0 END + 84) AS BIGINT) AS bytes FROM people JOIN contact USING (person_id) GROUP BY 1""",
+)
 def _(t: Tables):
-    return P.estimated_bytes(records(t)).groupBy("institution_id").agg(F.sum("bytes").alias("bytes"))
+    rows = t.authors.select("person_id", "name", "institution_id").join(t.contacts.select("person_id", "email"), "person_id")
+    return P.estimated_bytes(rows).groupBy("institution_id").agg(F.sum("bytes").alias("bytes"))
 
 
 @query("tagged_catalog", "P4 A12", """SELECT person_id, string_agg(tag, '|' ORDER BY pos) AS tags FROM ptags GROUP BY 1""")

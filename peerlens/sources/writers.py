@@ -39,7 +39,7 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
 
     Returns whether the global catalog is complete.
     """
-    rows = records if set(records.columns) <= set(_slim(records)) else to_catalog(records)
+    rows = to_catalog(records)
     complete = top_n is None or rows.count() <= top_n
     top = rows if complete else truncate_catalog(rows, top_n)
     top.write.mode("overwrite").parquet(f"{root}/catalog")
@@ -53,12 +53,6 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
     return complete
 
 
-def _slim(records: DataFrame) -> list[str]:
-    from ..operators.people import CATALOG_FIELDS
-
-    return CATALOG_FIELDS if "domains" in records.columns else []
-
-
 def write_vector_index(vectors: DataFrame, centroids: DataFrame, root: str) -> None:
     """Vectors partitioned by cluster, and the centroids (S10). A large cluster is split over tasks."""
     (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_label
 from ..operators import contacts as C
 from ..operators import pages as G
 from ..operators import profiles as R
@@ -251,7 +252,7 @@ def _(t: Tables):
 
 
 @query(
-    "employment_titles", "W10 S4",
+    "employment_titles", "W10",
     """, jobs AS (SELECT l_suppkey AS person_id, s_nationkey, l_orderkey % 25 AS org, l_returnflag AS f, year(l_shipdate) AS y,
         'Dept ' || l_linenumber AS dep FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'O'),
     best AS (SELECT person_id, CASE f WHEN 'A' THEN 'Professor' ELSE 'Senior lecturer' END || ', ' || dep AS title FROM jobs
@@ -322,7 +323,7 @@ def _(t: Tables):
     "page_texts", "D1",
     r""", bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>', '<x>', 'g') AS h FROM pages),
     piece AS (SELECT page_id, regexp_split_to_array(h, '<[^>]*>') AS p FROM bare),
-    plain AS (SELECT page_id, list_transform(p, lambda s: trim(replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10) || ' ')) AS p FROM piece),
+    plain AS (SELECT page_id, list_transform(p, lambda s: trim(replace(replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), chr(10) || ' ')) AS p FROM piece),
     text AS (SELECT page_id, array_to_string(list_filter(p, lambda s: s <> ''), chr(10)) AS t FROM plain)
     SELECT page_id, length(t) AS chars, sha256(t) AS text_hash FROM text""",
 )
@@ -536,6 +537,12 @@ def _(t: Tables):
     return R.verify_pins(people, docs.select(F.col("doc_id").alias("person_id"), "name"))
 
 
+@query("clean_labels", "F14", r"""SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80) AS label, CAST(doc_id AS VARCHAR) AS id FROM documents""")
+def _(t: Tables):
+    linked = t.texts("documents").select("doc_id", clean_label(F.col("text")).alias("label"), F.concat(F.lit("https://openalex.org/"), "doc_id", F.lit("/")).alias("id"))
+    return R.with_short_ids(linked, "id")
+
+
 @query(
     "affiliation_strings", "S5",
     """, hit AS (SELECT doc_id % 10 AS person_id, substr(trim(text), 1, 300) AS text FROM documents WHERE text LIKE '%@%')

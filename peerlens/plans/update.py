@@ -32,7 +32,7 @@ def update_catalog(
     work_funders: DataFrame | None = None,
     fresh_tags: DataFrame | None = None,
 ) -> tuple[Catalog, DataFrame]:
-    """New works of tracked people merged, signals and metrics refreshed, everything unmentioned kept.
+    """New works of tracked people merged, signals and metrics refreshed, everything unmentioned kept.
 
     The date range is a literal and reaches the scan; only works at tracked
     institutions and people with new works are shuffled against the stored state.

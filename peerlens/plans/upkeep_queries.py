@@ -459,6 +459,37 @@ def _(t: Tables):
     return out
 
 
+@query(
+    "read_contact_records", "S4",
+    """SELECT s_suppkey AS person_id, 's' || s_suppkey || '@nation' || s_nationkey || '.ac.uk' AS email, 'https://nation' || s_nationkey || '.ac.uk' AS url,
+      'NATION_' || s_nationkey AS org, CASE WHEN s_suppkey % 2 = 0 THEN 'ror' || s_nationkey END AS ror, CASE WHEN s_suppkey % 3 > 0 THEN 'Reader' END AS role,
+      CAST(1990 + s_suppkey % 30 AS INT) AS start, s_suppkey % 5 = 0 AS current FROM supplier""",
+)
+def _(t: Tables):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    host = F.concat(F.lit("nation"), n, F.lit(".ac.uk"))
+    email = F.struct(F.struct(F.array(F.struct(F.concat(F.lit("S"), k, F.lit("@"), host).alias("email"))).alias("email")).alias("emails"),
+                     F.struct(F.array(
+                         F.struct(F.struct(F.concat(F.lit("ftp://"), host).alias("value")).alias("url")),
+                         F.struct(F.struct(F.concat(F.lit(" https://"), host).alias("value")).alias("url")),
+                     ).alias("researcher-url")).alias("researcher-urls"))
+    year = lambda c: F.struct(F.struct(c.cast("string").alias("value")).alias("year"))
+    registry = F.struct(F.concat(F.lit("ror"), n).alias("disambiguated-organization-identifier"), F.when(k % 2 == 0, "ROR").otherwise("GRID").alias("disambiguation-source"))
+    job = F.struct(
+        F.when(k % 3 > 0, " Reader ").otherwise(" ").alias("role-title"), year(1990 + k % 30).alias("start-date"),
+        F.when(k % 5 > 0, year(F.lit(2021))).alias("end-date"),
+        F.struct(F.concat(F.lit("NATION_"), n).alias("name"), registry.alias("disambiguated-organization")).alias("organization"),
+    )
+    groups = F.array(F.struct(F.array(F.struct(job.alias("employment-summary"))).alias("summaries"))).alias("affiliation-group")
+    root = scratch_dir(t.spark, "contacts")
+    t.raw("supplier").select(
+        F.concat(F.lit("https://orcid.org/"), k).alias("orcid"), email.alias("person"), F.struct(F.struct(groups).alias("employments")).alias("activities-summary")
+    ).write.json(root)
+    got = readers.read_contact_records(t.spark, root)
+    joined = got["contact_emails"].drop("pos").join(got["contact_urls"].drop("pos"), "orcid").join(got["employments"], "orcid")
+    return joined.select(F.col("orcid").cast("long").alias("person_id"), "email", "url", "org", "ror", "role", "start", "current")
+
+
 @query(
     "full_build", "P11 S8 S9 S12 U1 W2",
     """, pooled AS (SELECT person_id, cites, CASE WHEN institution_id >= 20 THEN institution_id - 20 ELSE institution_id END AS home, nworks, h FROM people WHERE nworks >= 20 AND cites >= 500 AND h >= 10),

@@ -9,7 +9,9 @@ from ..operators import works as W
 from .bindings import AS_OF, Tables
 from .registry import query
 
-ISO = F.date_format("date", "yyyy-MM-dd").alias("date")
+
+def iso_date():
+    return F.date_format("date", "yyyy-MM-dd").alias("date")
 
 
 @query(
@@ -30,7 +32,7 @@ def _(t: Tables):
     "SELECT person_id, work_id, title, strftime(d, '%Y-%m-%d') AS date, position, recency FROM recent",
 )
 def _(t: Tables):
-    return t.recent.select("person_id", "work_id", "title", ISO, "position", "recency")
+    return t.recent.select("person_id", "work_id", "title", iso_date(), "position", "recency")
 
 
 @query(
@@ -137,7 +139,7 @@ def _(t: Tables):
     pubs = t.publications.select("person_id", "work_id", "title", "year", "date", "position")
     old = pubs.where(F.col("year").between(1999, 2000)).withColumn("position", F.lit(None).cast("string"))
     new = pubs.where("year >= 2000").withColumn("title", F.concat(F.lit("New "), "title"))
-    return W.merge_publications(old, new).select("person_id", "work_id", "title", ISO, "position", "recency")
+    return W.merge_publications(old, new).select("person_id", "work_id", "title", iso_date(), "position", "recency")
 
 
 @query(

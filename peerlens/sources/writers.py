@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.ranking import cut_lineage
 from ..operators.people import importance, record_chunks, to_catalog, truncate_catalog
 
 
@@ -39,7 +40,7 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
 
     Returns whether the global catalog is complete.
     """
-    rows = to_catalog(records)
+    rows = cut_lineage(to_catalog(records))  # slim rows, read up to three times
     complete = top_n is None or rows.count() <= top_n
     top = rows if complete else truncate_catalog(rows, top_n)
     top.write.mode("overwrite").parquet(f"{root}/catalog")
@@ -50,9 +51,16 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
             .partitionBy("institution_id")
             .parquet(f"{root}/catalog_by_institution")
         )
+    else:
+        _drop(rows.sparkSession, f"{root}/catalog_by_institution")  # left by an earlier, truncated build
     return complete
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_vector_index(vectors: DataFrame, centroids: DataFrame, root: str) -> None:
     """Vectors partitioned by cluster, and the centroids (S10). A large cluster is split over tasks."""
     (

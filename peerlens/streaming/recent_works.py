@@ -29,7 +29,7 @@ def newest_per_person(works: DataFrame, n: int = V.MAX_RECENT) -> DataFrame:
 
 
 def stream_recent_works(stream: DataFrame, root: str, n: int = V.MAX_RECENT, late_days: int = 30, available_now: bool = True) -> StreamingQuery:
-    """Start the job: stream(person_id, work_id, title, year, date, ts) into the log under `root`.
+    """Start the job: stream(person_id, work_id, title, year, date, ts) into the log under `root`.
 
     State holds work ids inside the overlap window only; a person with very many
     works is cut to `n` on the map side of each batch.

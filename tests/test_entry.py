@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -16,6 +20,12 @@ def test_every_check_belongs_to_a_query():
     assert set(sql) <= set(queries) and len(sql) > 100
 
 
+def test_the_contract_loads_without_a_session():
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; assert e.oracle_sql() and e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp", timeout=120)
+
+
 @pytest.mark.parametrize(
     "name", ["author_positions", "domain_weights", "seniority", "facets", "record_chunks", "emails_in_documents", "exact_matches", "update_statistics"]
 )

@@ -263,6 +263,8 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     vectors = readers.read_vectors(spark, root)
     assert ok(Q.check_vectors(vectors, everyone, 384)) == (True, 0)
     assert I.change_window(spark.read.parquet(f"{root}/runs"), d("2026-07-01"))[0] == d("2026-05-02")
+    assert writers.write_catalog(everyone, root, 100) is True
+    assert readers.read_catalog(spark, root, ["I2"]).count() == 8 and readers.read_catalog(spark, root).count() == 16
     # A smaller build leaves no partition of an institution behind.
     writers.write_records(everyone.where("institution_id = 'I1'"), str(tmp_path / "again"))
     writers.write_records(everyone.where("institution_id = 'I2'"), str(tmp_path / "again"))

@@ -42,6 +42,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(*totals: DataFrame) -> DataFrame:
+    """Several one-row aggregates as one row, without a join."""
+    rows = totals[0]
+    for t in totals[1:]:
+        rows = rows.unionByName(t, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan with fewer tasks than cores dealt out to all of them; any other plan is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -27,14 +27,17 @@ def token_index(catalog: DataFrame) -> DataFrame:
 
     Write it sorted by token and a prefix filter reads only the matching row groups.
     """
-    titles = F.coalesce(F.col("publication_titles"), F.array()) if "publication_titles" in catalog.columns else F.array()
-    text = F.concat_ws(" ", "name", "title", F.array_join(titles.cast("array<string>"), " "))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(_person_text(catalog)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return catalog.select("person_id", F.posexplode(words).alias("pos", "token")).select("token", "person_id", "pos")
 
 
+def _person_text(catalog: DataFrame) -> Column:
+    titles = [F.array_join("publication_titles", " ")] if "publication_titles" in catalog.columns else []
+    return F.concat_ws(" ", "name", "title", *titles)
+
+
 def keyword_search(catalog: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
-    """People for a keyword query, best first in `keyword_rank` order keys.
+    """People for a keyword query; order_catalog(..., "relevance") sorts them best first.
 
     Tier 0: every query word starts a word of the person's text (or, without
     an index, the query is part of the text). Tier 1: the institution's name or
@@ -56,8 +59,7 @@ def keyword_search(catalog: DataFrame, query: str, index: DataFrame | None = Non
             .select("person_id", F.lit(0).alias("tier"), "first_pos")
         )
     else:
-        text = F.lower(F.concat_ws(" ", "name", "title"))
-        hits = catalog.where(text.contains(needle)).select("person_id", F.lit(0).alias("tier"), F.lit(0).alias("first_pos"))
+        hits = catalog.where(F.lower(_person_text(catalog)).contains(needle)).select("person_id", F.lit(0).alias("tier"), F.lit(0).alias("first_pos"))
     around = catalog.where(
         F.lower("institution_name").contains(needle) | F.exists("domains", lambda d: F.lower(d).contains(needle))
     ).select("person_id", F.lit(1).alias("tier"), F.lit(0).alias("first_pos"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.ranking import side_by_side
 from .vectors import rank_cosine
 
 
@@ -74,4 +75,4 @@ def summarize_runs(runs: DataFrame, people: DataFrame | None = None, ratio: floa
     if people is None:
         return c
     unresolved = people.agg(F.count("*").alias("people"), F.count_if(F.col("person_id").isNull()).alias("people_unresolved"))
-    return c.withColumn("_k", F.lit(1)).join(unresolved.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(c, unresolved)

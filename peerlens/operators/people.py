@@ -171,8 +171,8 @@ def catalog_order(mode: str, df: DataFrame) -> list[Column]:
             return [F.coalesce("concepts_matched", F.lit(0)).desc(), blend.desc(), *tail]
         if "match_score" in has:
             return [F.coalesce("match_score", F.lit(0.0)).desc(), *tail]
-        if "keyword_rank" in has:
-            return [F.col("keyword_rank").asc_nulls_last(), *tail]
+        if {"tier", "first_pos"} <= has:  # from concepts.keyword_search
+            return [F.col("tier").asc_nulls_last(), F.col("first_pos").asc(), F.col("person_id").asc()]
     return tail
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.ranking import side_by_side
 
 
 def _row(df: DataFrame, name: str, ok: Column, message: Column, metric: Column, severity: str = "error") -> DataFrame:
@@ -44,8 +45,8 @@ def check_shared_ids(institutions: DataFrame) -> DataFrame:
 
 def check_counts(records: DataFrame, institutions: DataFrame, stated: int | None = None) -> DataFrame:
     """Institution counts add up to the people there are, and there are some (Q3). institutions(people)"""
-    listed = institutions.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("listed")).withColumn("_k", F.lit(1))
-    c = records.agg(F.count("*").alias("people")).withColumn("_k", F.lit(1)).join(listed, "_k")
+    listed = institutions.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("listed"))
+    c = side_by_side(records.agg(F.count("*").alias("people")), listed)
     expected = F.col("people") if stated is None else F.lit(stated)
     ok = (F.col("listed") == expected) & (F.col("listed") > 0)
     return _row(c, "counts", ok, F.concat_ws(" ", F.lit("institutions add up to"), "listed", F.lit("of"), expected), F.col("listed"))
@@ -99,16 +100,17 @@ def compare_builds(previous: DataFrame, current: DataFrame) -> DataFrame:
 def check_shrink(previous: DataFrame, current: DataFrame, allow: bool = False, limit: float = V.MAX_SHRINK) -> DataFrame:
     """No institution of 50 or more, and not the total, lost over a fifth (Q7). Allowed losses become a warning."""
     both = compare_builds(previous, current)
-    total_now = current.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("total_now")).withColumn("_k", F.lit(1))
+    total_now = current.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("total_now"))
     lost = (F.col("before") >= V.MIN_PREVIOUS_FOR_CHECK) & (F.col("now") < F.col("before") * (1 - limit))
-    c = both.agg(
+    losses = both.agg(
         F.count_if(lost).alias("n"), F.min(F.when(lost, F.concat_ws(" ", "name", F.col("before").cast("string"), F.lit("to"), F.col("now").cast("string")))).alias("first"),
         F.coalesce(F.sum("before"), F.lit(0)).alias("total_before"),
-    ).withColumn("_k", F.lit(1)).join(total_now, "_k")
+    )
+    c = side_by_side(losses, total_now)
     shrunk = F.col("total_now") < F.col("total_before") * (1 - limit)
-    losses = F.col("n") + shrunk.cast("int")
+    lost_count = F.col("n") + shrunk.cast("int")
     message = F.concat_ws("; ", F.when(shrunk, F.concat_ws(" ", F.lit("total"), "total_before", F.lit("to"), "total_now")), "first")
-    return _row(c, "shrink", losses == 0, message, losses, "warning" if allow else "error")
+    return _row(c, "shrink", lost_count == 0, message, lost_count, "warning" if allow else "error")
 
 
 def check_size(records: DataFrame, budget: int | None, cost: str = "bytes") -> DataFrame:
@@ -131,14 +133,13 @@ def status(checks: DataFrame, institutions: DataFrame, mode: str, as_of: dt.date
     c = checks.agg(
         F.count_if(~F.col("ok") & (F.col("severity") == "error")).alias("errors"),
         F.count_if(~F.col("ok") & (F.col("severity") == "warning")).alias("warnings"),
-    ).withColumn("_k", F.lit(1))
-    sizes = institutions.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("people"), F.count("*").alias("institutions")).withColumn("_k", F.lit(1))
-    out = c.join(sizes, "_k")
+    )
+    sizes = institutions.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("people"), F.count("*").alias("institutions"))
     if previous is not None:
-        last = previous.agg(F.max(F.when(F.col("result") == "ok", F.col("generated_at"))).alias("previous_success_at")).withColumn("_k", F.lit(1))
-        out = out.join(last, "_k")
+        last = previous.agg(F.max(F.when(F.col("result") == "ok", F.col("generated_at"))).alias("previous_success_at"))
+        out = side_by_side(c, sizes, last)
     else:
-        out = out.withColumn("previous_success_at", F.lit(None).cast("timestamp"))
+        out = side_by_side(c, sizes).withColumn("previous_success_at", F.lit(None).cast("timestamp"))
     return out.select(
         F.lit(as_of).cast("timestamp").alias("generated_at"), F.lit(mode).alias("mode"),
         F.when(F.col("errors") == 0, "ok").otherwise("failed").alias("result"),

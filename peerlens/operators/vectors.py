@@ -98,8 +98,8 @@ def pack_bits(df: DataFrame, col: str = "q", out: str = "bits") -> DataFrame:
     return df.withColumn(out, _pack(F.col(col)))
 
 
-def check_vectors_shape(df: DataFrame, dim: int, col: str = "vector", bits: str | None = None) -> DataFrame:
-    """Rows whose vector is missing, has the wrong length or holds no number."""
+def check_vectors_shape(df: DataFrame, dim: int, col: str = "vector", bits: str | None = None, model: str | None = None) -> DataFrame:
+    """Rows whose vector is missing, has the wrong length, holds no number or comes from another model."""
     checks = [
         F.when(F.col(col).isNull(), "missing"),
         F.when(F.size(col) != dim, "wrong length"),
@@ -107,6 +107,8 @@ def check_vectors_shape(df: DataFrame, dim: int, col: str = "vector", bits: str
     ]
     if bits:
         checks.append(F.when(F.col(bits).isNull() | (F.octet_length(bits) != (dim + 7) // 8), "wrong byte count"))
+    if model:
+        checks.append(F.when(F.col("model") != model, "wrong model"))
     return df.withColumn("problem", F.coalesce(*checks)).where(F.col("problem").isNotNull())
 
 

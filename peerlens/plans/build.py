@@ -84,9 +84,6 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
     recent_keywords = inputs.work_keywords.join(recent.select("work_id").distinct(), "work_id", "left_semi")
     tags = T.person_tags(topics, T.keyword_tags(recent, T.work_keywords(recent_keywords), topics))
     recent_funders = inputs.work_funders.join(recent.select("work_id").distinct(), "work_id", "left_semi")
-    tag_lists = tags.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_t")).select(
-        "person_id", F.col("_t.tag").alias("tags")
-    )
     records = P.assemble_records(
         W.with_seniority(chosen, W.role_counts(recent)),
         inputs.institutions,
@@ -95,7 +92,7 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
         W.lab_signals(recent, W.work_funder_labels(recent_funders)),
         W.output_counts(of_chosen(inputs.year_counts), as_of),
         W.publication_arrays(recent),
-        tag_lists,
+        tag_lists(tags),
     )
     records = C.with_role(P.with_contact_flags(T.with_domain_names(records)))
     if limits.require_contact:
@@ -108,24 +105,35 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
     return Built(records, recent, tags, extra)
 
 
-def publish(built: Built, inputs: Inputs, root: str, as_of: dt.datetime, limits: Limits | None = None) -> None:
+def tag_lists(tags: DataFrame) -> DataFrame:
+    """Tags (at most eight per person) folded into one ordered array."""
+    lists = tags.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_t"))
+    return lists.select("person_id", F.col("_t.tag").alias("tags"))
+
+
+def publish(
+    built: Built, institutions: DataFrame, root: str, as_of: dt.datetime, limits: Limits | None = None, kind: str = "full", **stats
+) -> None:
     """Write records, catalog, vocabulary, domains, institutions and the run's metadata under `root`."""
     limits = limits or Limits()
+    if kind == "full":
+        stats = {"last_ingestion": as_of.date(), **stats}
     spark = built.records.sparkSession
     writers.write_records(built.records, root, limits.record_chunk)
     records = spark.read.parquet(f"{root}/records")
     counts = records.groupBy("institution_id").agg(F.count("*").alias("people"))
-    writers.write_institutions(inputs.institutions.join(counts, "institution_id", "left").fillna(0, ["people"]), root)
+    writers.write_institutions(institutions.drop("people").join(counts, "institution_id", "left").fillna(0, ["people"]), root)
     complete = writers.write_catalog(P.to_catalog(records), root, limits.catalog_rows)
     kept = built.tags.join(records.select("person_id"), "person_id", "left_semi")
     T.tag_vocabulary(kept).write.mode("overwrite").parquet(f"{root}/tags")
     T.domain_list(records).write.mode("overwrite").parquet(f"{root}/domains")
     totals = records.agg(F.count("*").alias("people"), F.count("email").alias("with_email"), F.count_distinct("institution_id").alias("n")).first()
     writers.write_run_metadata(
-        spark, root, "full", as_of, last_ingestion=as_of.date(), last_cdc_run=as_of.date(), people=totals["people"],
+        spark, root, kind, as_of, last_cdc_run=as_of.date(), people=totals["people"],
         with_email=totals["with_email"], institutions=totals["n"], catalog_complete=complete,
         catalog_rows=totals["people"] if complete else limits.catalog_rows,
         pruned=built.extra.get("before_pruning", totals["people"]) - totals["people"],
+        **stats,
         per_institution=limits.per_institution, window_years=limits.window_years,
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import cut_lineage
+from ..functions.ranking import cut_lineage, side_by_side
 from ..operators import concepts as K
 from ..operators import people as P
 from ..operators import topics as T
@@ -73,10 +73,8 @@ def _(t: Tables):
 def _(t: Tables):
     rows = catalog(t)
     hits = K.keyword_search(rows, "Prof", K.token_index(rows))
-    return (
-        hits.orderBy("tier", "first_pos", "person_id").limit(24)
-        .select("person_id", (F.monotonically_increasing_id() + 1).alias("place"))
-    )
+    first = P.page(rows.join(hits, "person_id"), 0, 24, "relevance")
+    return first.select("person_id", (F.monotonically_increasing_id() + 1).alias("place"))
 
 
 # --- concepts ------------------------------------------------------------------------------------------
@@ -422,8 +420,7 @@ def _(t: Tables):
     counts = assigned.agg(F.count("*").alias("people"), F.count_distinct("person_id").alias("ids"))
     doubled = per_id.agg(F.count_if(F.col("n") > 1).cast("int").alias("in_two_clusters"))
     k = centroids.agg(F.count("*").cast("int").alias("clusters"))
-    one = F.lit(1)
-    return counts.withColumn("_k", one).join(doubled.withColumn("_k", one), "_k").join(k.withColumn("_k", one), "_k").drop("_k")
+    return side_by_side(counts, doubled, k)
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import cut_lineage
 from ..operators import incremental, people, topics, works
+from ..sources import readers, writers
+from .build import Built, Limits, publish, tag_lists
 
 
 @dataclass
@@ -61,3 +63,56 @@ def update_catalog(
     added = works.added_publications(stored.publications, merged)
     refreshed = fresh.join(stored.records.select("person_id"), "person_id", "left_semi")
     return Catalog(records, publications, tags), incremental.cdc_stats(scanned, new_pubs, added, refreshed)
+
+
+def refresh_build(
+    root: str,
+    as_of: dt.datetime,
+    changed_works: DataFrame,
+    authorships: DataFrame,
+    work_institutions: DataFrame,
+    fresh: DataFrame,
+    work_funders: DataFrame | None = None,
+    fresh_tags: DataFrame | None = None,
+    overlap_days: int = 30,
+    limits: Limits | None = None,
+    target: str | None = None,
+) -> DataFrame:
+    """Update the build under `root` and stamp the run (C2, C4, S12). Returns the statistics row.
+
+    With `target` the new build goes to another root and the old one stays
+    untouched until readers are switched; without it files are replaced in
+    place, which is why the stored tables are checkpointed first.
+    """
+    spark = changed_works.sparkSession
+    window = incremental.change_window(spark.read.parquet(f"{root}/runs"), as_of.date(), overlap_days)
+    institutions = cut_lineage(spark.read.parquet(f"{root}/institutions"))
+    if "extra_ids" not in institutions.columns:
+        none = F.lit(None).cast(f"array<{institutions.schema['institution_id'].dataType.simpleString()}>")
+        institutions = institutions.withColumn("extra_ids", none)
+    kinds = cut_lineage(spark.read.parquet(f"{root}/tags").select("tag", "kind"))
+    stored = cut_lineage(readers.read_records(spark, root))
+    pubs = stored.select("person_id", F.posexplode("recent_publications").alias("_i", "p")).select(
+        "person_id", "p.*", F.lit(None).cast(stored.schema["person_id"].dataType).alias("first_author"), (F.col("_i") + 1).alias("recency")
+    )
+    tags = stored.select("person_id", F.posexplode("tags").alias("pos", "tag")).join(kinds, "tag").select("person_id", "pos", "tag", "kind")
+    state = Catalog(stored.drop("recent_publications", "tags", "record_chunk"), pubs, tags)
+    after, stats = update_catalog(
+        state, window, institutions, changed_works, authorships, work_institutions, fresh, work_funders, fresh_tags
+    )
+    stats = cut_lineage(stats)
+    row = stats.first()
+    publications = cut_lineage(after.publications)
+    scored = after.records.drop("first_author_recent", "last_author_recent", "recent_works", "seniority_score")
+    records = works.with_seniority(scored, works.role_counts(publications))
+    if "domain_weights" in fresh.columns:
+        records = topics.with_domain_names(records.drop("domains"))
+    after_tags = cut_lineage(after.tags)
+    records = records.join(works.publication_arrays(publications), "person_id", "left").join(tag_lists(after_tags), "person_id", "left")
+    if target is not None:
+        writers.snapshot(spark, root, target)  # run history goes along
+    publish(
+        Built(cut_lineage(records), publications, after_tags), institutions, target or root, as_of, limits, "update",
+        window_from=window[0], window_to=window[1], **row.asDict(),
+    )
+    return stats

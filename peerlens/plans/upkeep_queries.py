@@ -501,6 +501,6 @@ def _(t: Tables):
     inputs = Inputs(t.authors, t.institutions, t.author_topics, t.year_counts, t.works, t.authorships, t.work_funders, t.work_keywords, t.contacts)
     limits = Limits(per_institution=5)
     root = scratch_dir(t.spark, "build")
-    publish(build_records(inputs, AS_OF, limits), inputs, root, NOW, limits)
+    publish(build_records(inputs, AS_OF, limits), t.institutions, root, NOW, limits)
     rows = readers.read_catalog(t.spark, root)
     return rows.select("person_id", "institution_id", "seniority_score", F.array_join("tags", "|").alias("tags"), "title")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.ranking import cut_lineage
 from ..operators.people import importance, record_chunks, to_catalog, truncate_catalog
+from .readers import _exists
 
 
 def write_records(records: DataFrame, root: str, chunk: int = V.RECORD_CHUNK) -> None:
@@ -110,6 +111,18 @@ def write_run_metadata(spark: SparkSession, root: str, kind: str, as_of: dt.date
     spark.createDataFrame([tuple(row.get(f) for f in fields)], RUN_SCHEMA).write.mode("append").parquet(f"{root}/runs")
 
 
+def write_status(status: DataFrame, root: str) -> None:
+    """Append a build's status row (Q9); earlier rows give the previous success."""
+    status.write.mode("append").parquet(f"{root}/status")
+
+
+def snapshot(spark: SparkSession, root: str, target: str) -> None:
+    """Copy what the next build is compared with: institutions, runs and status (Q9)."""
+    for name in ("institutions", "runs", "status"):
+        if _exists(spark, f"{root}/{name}"):
+            spark.read.parquet(f"{root}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+
+
 def assemble_partials(parts: DataFrame, expected: Sequence[str]) -> DataFrame:
     """Union of partial builds, refused unless every expected partial is there (S13). parts(partial_id, ...)"""
     found = {r[0] for r in parts.select("partial_id").distinct().limit(len(expected) + 1).collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peerlens.operators import incremental as I
 from peerlens.operators import quality as Q
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
-from peerlens.plans.update import Catalog, update_catalog
+from peerlens.plans.update import Catalog, refresh_build, update_catalog
 from peerlens.sources import readers, writers
 from peerlens.streaming import recent_works as S
 
@@ -246,7 +246,7 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     )
     limits = Limits(per_institution=8, catalog_rows=5, record_chunk=3)
     root = str(tmp_path / "build")
-    publish(build_records(inputs, NOW.date(), limits), inputs, root, NOW, limits)
+    publish(build_records(inputs, NOW.date(), limits), inputs.institutions, root, NOW, limits)
     records = readers.read_records(spark, root, ["I1"])
     assert records.count() == 8 and records.agg(F.max("record_chunk")).first()[0] == 2
     top = readers.read_catalog(spark, root)
@@ -265,7 +265,25 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     assert I.change_window(spark.read.parquet(f"{root}/runs"), d("2026-07-01"))[0] == d("2026-05-02")
     assert writers.write_catalog(everyone, root, 100) is True
     assert readers.read_catalog(spark, root, ["I2"]).count() == 8 and readers.read_catalog(spark, root).count() == 16
+    before = str(tmp_path / "before")
+    writers.snapshot(spark, root, before)
+    new = table("work_id string, title string, year int, date date", ("N1", "New insulin study", 2026, d("2026-06-20")))
+    who = table("work_id string, person_id string, position string, first_author string", ("N1", "A29", "last", "S2"))
+    where = table("work_id string, institution_id string", ("N1", "I2"))
+    stats = refresh_build(root, dt.datetime(2026, 7, 1), new, who, where, table("person_id string, citation_count long", ("A29", 99999)), limits=limits)
+    assert tuple(stats.first()) == (1, 1, 1, 1)
+    moved = str(tmp_path / "moved")
+    refresh_build(root, dt.datetime(2026, 7, 2), new, who, where, table("person_id string, citation_count long", ("A29", 5)), limits=limits, target=moved)
+    assert spark.read.parquet(f"{moved}/runs").count() == 3 and readers.read_records(spark, moved).where("citation_count = 5").count() == 1
+    again = {r.person_id: r for r in readers.read_records(spark, root).collect()}
+    assert len(again) == 16
+    a = again["A29"]
+    assert (a.citation_count, [p.work_id for p in a.recent_publications], a.tags, a.recent_works) == (99999, ["N1", "W29"], ["Peptides", "Insulin"], 2)
+    run = spark.read.parquet(f"{root}/runs").where("kind = 'update'").first()  # the moved build has its own history
+    assert (run.window_from, run.window_to, run.works_scanned, run.last_cdc_run) == (d("2026-05-02"), d("2026-07-01"), 1, d("2026-07-01"))
+    assert ok(Q.check_shrink(spark.read.parquet(f"{before}/institutions"), spark.read.parquet(f"{root}/institutions"))) == (True, 0)
     # A smaller build leaves no partition of an institution behind.
+    everyone = readers.read_records(spark, root)
     writers.write_records(everyone.where("institution_id = 'I1'"), str(tmp_path / "again"))
     writers.write_records(everyone.where("institution_id = 'I2'"), str(tmp_path / "again"))
     assert readers.read_records(spark, str(tmp_path / "again")).select("institution_id").distinct().count() == 1

@@ -2,7 +2,8 @@
 
 `top_per_group` never moves a whole group to one task: up to 1000 rows per
 group Spark's WindowGroupLimit cuts every map task's share before the shuffle;
-above that the group is salted and cut per salt first.
+above that each input partition's share is cut on its own, then bundles of
+partitions, then the group.
 
 `with_row_number` and `with_running_sum` number *all* rows of a group or of the
 whole table. They range-partition on the full sort key, so a hot group spans
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1000
-SALTS = 64
+MERGE_WIDTH = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -61,12 +62,15 @@ def top_per_group(
 ) -> DataFrame:
     """First `n` rows of every group. `order` must end in a unique column for a repeatable result."""
     rank = rank_col or "_rank"
+
+    def cut(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
     if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= n).drop("_salt", rank)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+        df = cut(df.withColumn("_part", F.spark_partition_id()), [*keys, "_part"]).drop(rank)
+        df = cut(df.withColumn("_part", F.pmod("_part", F.lit(MERGE_WIDTH))), [*keys, "_part"]).drop("_part", rank)
+    out = cut(df, list(keys))
     return out if rank_col else out.drop(rank)
 
 

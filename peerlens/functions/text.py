@@ -35,13 +35,22 @@ def unescape_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
 
+# Java's \s leaves out no-break and other wide spaces, which pages are full of.
+SPACES = r"[\s\p{Z}]+"
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.length(F.trim(c)) > 0, c)
 
 
+def given(name: str) -> Column:
+    """The text column holds something."""
+    return F.coalesce(F.length(name) > 0, F.lit(False))
+
+
 def clean_label(c: Column, size: int = 80) -> Column:
     """Squeeze white space and cut."""
-    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, size)
+    return F.substring(F.trim(F.regexp_replace(c, SPACES, " ")), 1, size)
 
 
 def short_id(c: Column) -> Column:
@@ -154,8 +163,8 @@ def evidence_words(c: Column) -> Column:
 
 def clean_topic(c: Column) -> Column:
     """One listed topic without bullets, numbering, quotes or doubled spaces."""
-    c = F.regexp_replace(c, r"^[\s\-*•\d.)]+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\"'`]", ""), r"\s+", " "))
+    c = F.regexp_replace(c, r"^[\s\p{Z}\-*•\d.)]+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\"'`]", ""), SPACES, " "))
 
 
 def dedupe_interests(topics: Column) -> Column:
@@ -173,7 +182,7 @@ def dedupe_interests(topics: Column) -> Column:
 
 def topics_from_text(c: Column) -> Column:
     """Free text split into topics."""
-    parts = F.split(c, r"(?i)[\n,;•]|\band\b|\s-\s")
+    parts = F.split(c, r"(?i)[\n,;•]|\band\b|[\s\p{Z}]-[\s\p{Z}]")
     parts = F.transform(parts, lambda p: F.regexp_replace(p, V.LEAD_INS, ""))
-    short = F.filter(parts, lambda p: F.size(F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), " ")) <= 6)
+    short = F.filter(parts, lambda p: F.size(F.split(F.trim(F.regexp_replace(p, SPACES, " ")), " ")) <= 6)
     return dedupe_interests(short)

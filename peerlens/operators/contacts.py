@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import (
+    SPACES,
     email_fits_name,
     email_host,
     fold,
@@ -221,8 +222,8 @@ def match_orgs(orgs: DataFrame, institutions: DataFrame) -> DataFrame:
 
 def title_of(c: Column) -> Column:
     """Best academic title in a text: a professorship "of" something, else the longest."""
-    found = F.regexp_extract_all(c, F.lit(V.TITLE_PATTERN), F.lit(1))
-    tidy = F.transform(found, lambda m: F.trim(F.regexp_replace(m, r"\s+", " "), F.lit(" ,-")))
+    found = F.regexp_extract_all(c, F.lit("(?U)" + V.TITLE_PATTERN), F.lit(1))
+    tidy = F.transform(found, lambda m: F.trim(F.regexp_replace(m, SPACES, " "), F.lit(" ,-")))
     start = F.struct(F.lit(None).cast("string").alias("best"), F.lit(False).alias("done"))
 
     def step(acc, m):
@@ -277,10 +278,10 @@ def employment_titles(employments: DataFrame, people: DataFrame, institutions: D
     place = F.lit(len(V.EMPLOYMENT_ORDER))
     for i, word in reversed(list(enumerate(V.EMPLOYMENT_ORDER))):
         place = F.when(role.contains(word), i).otherwise(place)
-    tidy = F.trim(F.regexp_replace("role", r"\s+", " "), F.lit(" ,;"))
+    tidy = F.trim(F.regexp_replace("role", SPACES, " "), F.lit(" ,;"))
     tidy = F.when(F.lower(tidy).isin("prof", "prof."), "Professor").otherwise(tidy)
     tidy = F.concat(F.upper(F.substring(tidy, 1, 1)), tidy.substr(F.lit(2), F.length(tidy)))
-    department = F.trim(F.regexp_replace("department", r"\s+", " "))
+    department = F.trim(F.regexp_replace("department", SPACES, " "))
     full = F.when(
         (F.length("department") > 0) & ~F.lower(tidy).contains(F.lower("department")), F.concat(tidy, F.lit(", "), department)
     ).otherwise(tidy)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.ranking import top_per_group, with_row_number, with_running_sum
+from ..functions.text import given
 from .topics import with_domain_names
 
 THIRD_PARTY_PROFILES = ["orcid", "openalex"]
@@ -92,18 +93,18 @@ def tier_lookup(requests: DataFrame, tiers: Sequence[dict]) -> DataFrame:
 
 def institutional_profile() -> Column:
     """A profile link that is the institution's own."""
-    return F.col("profile_url").isNotNull() & ~F.coalesce(F.col("profile_source").isin(THIRD_PARTY_PROFILES), F.lit(False))
+    return given("profile_url") & ~F.coalesce(F.col("profile_source").isin(THIRD_PARTY_PROFILES), F.lit(False))
 
 
 def with_contact_flags(df: DataFrame) -> DataFrame:
     """`flags`: what is missing from the contact details."""
     flags = F.array_compact(
         F.array(
-            F.when(F.col("email").isNull(), "missing_email"),
-            F.when(F.col("profile_url").isNull(), "missing_profile_url").when(
+            F.when(~given("email"), "missing_email"),
+            F.when(~given("profile_url"), "missing_profile_url").when(
                 ~institutional_profile(), "profile_not_institutional"
             ),
-            F.when(F.col("title").isNull(), "missing_title"),
+            F.when(~given("title"), "missing_title"),
         )
     )
     return df.withColumn("flags", flags)
@@ -112,7 +113,7 @@ def with_contact_flags(df: DataFrame) -> DataFrame:
 def with_verification(df: DataFrame) -> DataFrame:
     """Whether there is a vetted address, an institutional profile, and both."""
     return (
-        df.withColumn("has_email", F.col("email").isNotNull())
+        df.withColumn("has_email", given("email"))
         .withColumn("has_profile", institutional_profile())
         .withColumn("verified", F.col("has_email") & F.col("has_profile"))
     )
@@ -121,8 +122,8 @@ def with_verification(df: DataFrame) -> DataFrame:
 def require_contact(df: DataFrame) -> DataFrame:
     """People with an address or an institutional profile."""
     return df.where(
-        F.col("email").isNotNull()
-        | (F.col("profile_url").isNotNull() & ~F.array_contains("flags", "profile_not_institutional"))
+        given("email")
+        | (given("profile_url") & ~F.array_contains("flags", "profile_not_institutional"))
     )
 
 
@@ -147,7 +148,7 @@ def importance() -> list[Column]:
 
 def publish_order(records: DataFrame) -> DataFrame:
     """Both contacts, then address, then profile, then institution rank and citations (K4)."""
-    profile, email = institutional_profile(), F.col("email").isNotNull()
+    profile, email = institutional_profile(), given("email")
     return records.orderBy(
         (email & profile).desc(), email.desc(), profile.desc(), F.col("rank").asc_nulls_last(), *_most_cited()
     )
@@ -231,7 +232,7 @@ def prune_to_budget(records: DataFrame, budget: int | None, cost: str = "bytes")
     return running.where(F.col("_running") <= budget).drop("_running", "_pos")
 
 
-def pick_scope(institutions: DataFrame, cap: int, people: str = "people") -> DataFrame:
+def pick_scope(institutions: DataFrame, cap: int = V.FILTER_SCOPE_ROWS, people: str = "people") -> DataFrame:
     """Best-ranked institutions until the cap would be passed; the first is always taken.
 
     Counts are not negative, so once the running sum passes the cap it stays
@@ -254,7 +255,7 @@ def to_catalog(records: DataFrame) -> DataFrame:
     """Slim row per person."""
     if "domains" not in records.columns:
         records = with_domain_names(records)
-    records = records.withColumn("has_email", F.col("email").isNotNull()).withColumn(
+    records = records.withColumn("has_email", given("email")).withColumn(
         "citation_count", F.coalesce("citation_count", F.lit(0))
     )
     return records.select(*[c for c in CATALOG_FIELDS if c in records.columns])

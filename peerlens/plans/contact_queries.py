@@ -8,7 +8,6 @@ from ..functions.text import clean_label
 from ..operators import contacts as C
 from ..operators import pages as G
 from ..operators import profiles as R
-from ..operators import topics as T
 from ..operators import works as W
 from .bindings import Tables
 from .people_queries import records

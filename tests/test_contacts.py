@@ -68,6 +68,7 @@ def test_address_fits_name(table, email, name, fits):
         ("Jane is Associate Professor of Materials Science and Engineering\nRoom 5", "Associate Professor of Materials Science and Engineering"),
         ("Lecturer, then Professor; Emeritus Professor of Law.", "Emeritus Professor of Law"),
         ("Reader. Senior Lecturer.", "Reader"),
+        ("Associate Professor\u00a0of\u00a0Law.", "Associate Professor of Law"),
         ("nothing", None),
         (None, None),
     ],

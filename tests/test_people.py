@@ -38,7 +38,7 @@ def test_tiers(table, size, expected):
 def test_flags_and_contact(table):
     df = table(
         "person_id int, email string, profile_url string, profile_source string, title string",
-        (1, "a@b.edu", "u", "directory", "Prof"), (2, None, "u", "orcid", None), (3, None, None, None, "x"),
+        (1, "a@b.edu", "u", "directory", "Prof"), (2, None, "u", "orcid", None), (3, "", None, None, "x"),
     )
     flagged = P.with_contact_flags(df)
     assert [r.flags for r in flagged.orderBy("person_id").collect()] == [

@@ -5,7 +5,8 @@ profiles(profile_id, vector); centroids(cluster, vector).
 
 Scoring is a matrix product per Arrow batch against a broadcast block of
 profiles. Blocks are cut to a fixed size, one pass over the vectors per block,
-and every task keeps `k` rows per profile before the shuffle.
+and every task keeps `k` rows per profile before the shuffle. Beyond a few
+blocks both sides are shuffled into a grid of bounded blocks instead.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from ..functions.text import evidence_words
 BLOCK_BYTES = 32 << 20
 BLOCK_RESULTS = 4_000_000
 MERGE_WIDTH = 32
+MAX_ROUNDS = 8
+GRID_PROFILES = 2_000
+GRID_VECTORS = 50_000
 CENTROID_BLOCK_BYTES = 128 << 20
 DIGITS = 6
 
@@ -156,13 +160,14 @@ class _Best:
         self.scores[profile], self.rows[profile] = scores[order], (ids[order], extra[order])
 
 
-def _blocks(profiles: DataFrame, k: int, columns: Sequence[str]) -> Iterator[list]:
-    """Profiles in blocks small enough to broadcast; each block is one bounded collect."""
+def _block_count(profiles: DataFrame, k: int) -> int:
     size = profiles.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if not size["n"]:
-        return
-    per_block = max(1, min(BLOCK_BYTES // (8 * max(size["d"], 1)), BLOCK_RESULTS // max(k, 1)))
-    blocks = max(1, math.ceil(size["n"] / per_block))
+    per_block = max(1, min(BLOCK_BYTES // (8 * max(size["d"] or 1, 1)), BLOCK_RESULTS // max(k, 1)))
+    return math.ceil(size["n"] / per_block)
+
+
+def _blocks(profiles: DataFrame, blocks: int, columns: Sequence[str]) -> Iterator[list]:
+    """Profiles in blocks small enough to broadcast; each block is one bounded collect."""
     for i in range(blocks):
         part = profiles.where(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == i) if blocks > 1 else profiles
         rows = part.select(*columns).collect()
@@ -178,8 +183,12 @@ def _rank(profiles: DataFrame, vectors: DataFrame, k: int, value: str, clip: boo
     schema = f"profile_id {profile_type}, person_id {id_type}, institution_id {inst_type}, score double"
     columns = ["person_id", "institution_id", value] + (["cluster"] if probed else [])
     best_first = [F.col("score").desc(), F.col("person_id").asc()]
+    blocks = _block_count(profiles, k)
+    if blocks > MAX_ROUNDS:
+        grid = _rank_grid(profiles, vectors.select(*columns), k, value, clip, scale, probed, schema)
+        return top_per_group(grid, ["profile_id"], best_first, k, "rank")
     out = None
-    for rows in _blocks(profiles, k, ["profile_id", "vector"] + (["clusters"] if probed else [])):
+    for rows in _blocks(profiles, blocks, ["profile_id", "vector"] + (["clusters"] if probed else [])):
         matrix = _unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64))
         by_cluster: dict[int, list[int]] = {}
         for i, r in enumerate(rows):
@@ -235,6 +244,57 @@ def _rank(profiles: DataFrame, vectors: DataFrame, k: int, value: str, clip: boo
     return top_per_group(out, ["profile_id"], best_first, k, "rank")
 
 
+def _rank_grid(profiles: DataFrame, vectors: DataFrame, k: int, value: str, clip: bool, scale: float, probed: bool, schema: str) -> DataFrame:
+    """Ranking for more profiles than broadcasts can carry: blocks of profiles meet blocks of vectors.
+
+    Both sides are dealt into blocks of bounded size within each cluster (one
+    cluster when there are none), so a large cluster is a larger grid, not a
+    larger task. Every cell returns `k` rows per profile.
+    """
+    bits = vectors.schema[value].dataType.typeName() == "binary"
+    rows = vectors.where(F.col(value).isNotNull())
+    asked = profiles.select("profile_id", F.col("vector").cast("array<double>").alias("vector"), *(["clusters"] if probed else []))
+    if probed:
+        asked = asked.select("profile_id", "vector", F.explode("clusters").alias("cluster"))
+    else:
+        rows, asked = rows.withColumn("cluster", F.lit(0)), asked.withColumn("cluster", F.lit(0))
+    tall = rows.groupBy("cluster").agg(F.ceil(F.count("*") / GRID_VECTORS).cast("int").alias("_across"))
+    wide = asked.groupBy("cluster").agg(F.ceil(F.count("*") / GRID_PROFILES).cast("int").alias("_down"))
+    grid = tall.join(wide, "cluster")  # one row per cluster
+    left = asked.join(grid, "cluster").select(
+        "profile_id", "vector", "cluster", F.pmod(F.xxhash64("profile_id"), F.col("_down")).cast("int").alias("_d"),
+        F.explode(F.sequence(F.lit(0), F.col("_across") - 1)).alias("_a"),
+    )
+    right = rows.join(grid, "cluster").select(
+        "person_id", "institution_id", value, "cluster", F.pmod(F.xxhash64("person_id"), F.col("_across")).cast("int").alias("_a"),
+        F.explode(F.sequence(F.lit(0), F.col("_down") - 1)).alias("_d"),
+    )
+
+    def cell(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ["profile_id", "person_id", "institution_id", "score"]
+        if not len(asked) or not len(rows):
+            return pd.DataFrame(columns=columns)
+        queries = _unit_rows(np.stack(asked["vector"].to_numpy()).astype(np.float64))
+        if bits:
+            x = np.unpackbits(np.frombuffer(b"".join(rows[value]), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32) * 2 - 1
+        else:
+            x = _unit_rows(np.stack(rows[value].to_numpy()).astype(np.float64))
+        ids, extra = rows["person_id"].to_numpy(), rows["institution_id"].to_numpy(dtype=object)
+        best = _Best(len(asked), k)
+        for start in range(0, len(asked), 64):
+            scores = queries[start : start + 64] @ x.T * scale
+            scores = np.round(np.minimum(scores, 1.0) if clip else scores, DIGITS)
+            for j, row in enumerate(scores):
+                best.add(start + j, row, ids, extra)
+        found = []
+        for name, scores, kept in zip(asked["profile_id"], best.scores, best.rows):
+            found.append(pd.DataFrame({"profile_id": [name] * len(scores), "person_id": kept[0], "institution_id": kept[1], "score": scores}))
+        return pd.concat(found, ignore_index=True)[columns]
+
+    keys = ["cluster", "_d", "_a"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
+
+
 def _arrow_type(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[name]
 

@@ -157,6 +157,29 @@ def test_exact_ranking_equals_brute_force_in_any_partitioning(spark, monkeypatch
         assert ranked(X.rank_cosine(profile_table(spark, profiles), v.repartition(parts), 25)) == want
     monkeypatch.setattr(X, "BLOCK_RESULTS", 60)  # several passes over the vectors
     assert ranked(X.rank_cosine(profile_table(spark, profiles), v, 25)) == want
+    monkeypatch.setattr(X, "MAX_ROUNDS", 0)  # a grid of blocks
+    monkeypatch.setattr(X, "GRID_PROFILES", 4)
+    monkeypatch.setattr(X, "GRID_VECTORS", 150)
+    assert ranked(X.rank_cosine(profile_table(spark, profiles), v, 25)) == want
+
+
+def test_grid_ranking_of_bits_and_clusters(spark, monkeypatch):
+    people = unit_rows(400, 16, 8)
+    v = vector_table(spark, people)
+    profiles = profile_table(spark, people[:6])
+    bits = X.pack_bits(X.quantize(v)).drop("vector", "q")
+    centroids = X.train_centroids(v)
+    assigned = X.assign_clusters(v, centroids)
+    few = spark.createDataFrame([(399,), (3,)], "person_id long")
+    run = lambda: (
+        ranked(X.rank_bits(profiles, bits, 16, 9)), ranked(X.search_ivf(profiles, assigned, centroids, 7, probe_start=2, probe_max=4)),
+        ranked(X.rank_cosine(profiles, v, 5, few)),
+    )
+    broadcast = run()
+    monkeypatch.setattr(X, "MAX_ROUNDS", 0)
+    monkeypatch.setattr(X, "GRID_PROFILES", 2)
+    monkeypatch.setattr(X, "GRID_VECTORS", 30)
+    assert run() == broadcast
 
 
 def test_copies_tie_by_id_and_allowed_limits(spark):

@@ -125,8 +125,9 @@ def snapshot(spark: SparkSession, root: str, target: str) -> None:
 
 def assemble_partials(parts: DataFrame, expected: Sequence[str]) -> DataFrame:
     """Union of partial builds, refused unless every expected partial is there (S13). parts(partial_id, ...)"""
-    found = {r[0] for r in parts.select("partial_id").distinct().limit(len(expected) + 1).collect()}
+    wanted = parts.where(F.col("partial_id").isin(list(expected)))
+    found = {r[0] for r in wanted.select("partial_id").distinct().collect()}  # at most the expected ids
     missing = sorted(set(expected) - found)
     if missing:
         raise ValueError(f"partial results missing: {', '.join(missing)}")
-    return parts.where(F.col("partial_id").isin(list(expected))).drop("partial_id")
+    return wanted.drop("partial_id")

@@ -164,7 +164,7 @@ def test_dictionary_round_trip(table):
 
 
 def test_partials_need_every_part(table):
-    parts = table("partial_id string, person_id string", ("p1", "A"), ("p2", "B"))
+    parts = table("partial_id string, person_id string", ("p1", "A"), ("p2", "B"), *[(f"other{i}", "Z") for i in range(9)])
     assert writers.assemble_partials(parts, ["p1", "p2"]).count() == 2
     with pytest.raises(ValueError, match="p3"):
         writers.assemble_partials(parts, ["p1", "p2", "p3"])

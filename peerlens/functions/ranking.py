@@ -24,11 +24,14 @@ MERGE_WIDTH = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; a local folder only when none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Use the folder named in `spark.checkpoint.dir`. Without one, only a one-machine master gets a folder of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="peerlens-checkpoint-"))
+    if shared is None and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="peerlens-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ modulo a power of two, plus their number. The sum does not depend on the order,
 and a paragraph is put in or taken out by adding or subtracting its vector.
 
 - `EQUAL` dense lanes modulo 2**32, all touched by every paragraph: equality.
-- `SPARSE` lanes modulo 2**16, one touched by each paragraph: the lanes that
-  differ between two texts tell how many paragraphs differ
-  (d = -SPARSE * ln(share of equal lanes)), and with both numbers of paragraphs
-  the likeness 2 * shared / all.
+- `SPARSE` lanes modulo 2**16, `TOUCHED` of them touched by each paragraph: of
+  two texts, the lanes that differ tell how many different paragraphs do not occur
+  equally often, and the lanes in use how many there are at all; k lanes stand for
+  about -SPARSE / TOUCHED * ln(1 - k / SPARSE) paragraphs.
 
 All of it is SQL functions on one row; nothing is exploded or shuffled.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bind
 
-EQUAL, SPARSE = 8, 256
+EQUAL, SPARSE, TOUCHED = 8, 512, 2
 BITS_EQUAL, BITS_SPARSE = 32, 16
 
 
@@ -38,15 +38,24 @@ def vector(hashes: Column) -> Column:
     def dense(j):
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.xxhash64(h, j).bitwiseAND(F.lit((1 << BITS_EQUAL) - 1))) % F.lit(1 << BITS_EQUAL)
 
-    def sparse(j):
-        def put(s, h):
-            value = F.shiftright(h, 16).bitwiseAND(F.lit((1 << BITS_SPARSE) - 1)).bitwiseOR(F.lit(1))
-            return s + F.when(h.bitwiseAND(F.lit(SPARSE - 1)) == j, value).otherwise(F.lit(0))
+    width = 1 << BITS_SPARSE
+    zero = F.lit(0).cast("long")
 
-        return F.aggregate(hashes, F.lit(0).cast("long"), put) % F.lit(1 << BITS_SPARSE)
+    def touched(h):
+        """TOUCHED longs, lane * 2**16 + value, from other bits of one hash."""
+        again = [F.xxhash64(h, F.lit(-1 - t)) for t in range(TOUCHED)]
+        return F.array(*[F.pmod(x, F.lit(SPARSE * width)).bitwiseOR(F.lit(1)) for x in again])
 
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), dense), F.transform(F.sequence(F.lit(0), F.lit(SPARSE - 1)), sparse)
-    return F.concat(F.array((F.size(hashes).cast("long") % F.lit(1 << BITS_EQUAL))), *lanes)
+    def put(lanes, e):
+        """The sorted entries fill the lanes from the left: the last lane grows, or zeros and a new lane follow."""
+        lane, value = F.shiftright(e, BITS_SPARSE).cast("int"), e % F.lit(width)
+        last = F.concat(F.slice(lanes, F.lit(1), lane), F.array((F.get(lanes, lane) + value) % F.lit(width)))
+        return F.when(F.size(lanes) > lane, last).otherwise(F.concat(lanes, F.array_repeat(zero, lane - F.size(lanes)), F.array(value)))
+
+    entries = F.array_sort(F.flatten(F.transform(hashes, touched)))
+    filled = F.aggregate(entries, F.array().cast("array<bigint>"), put, lambda x: F.concat(x, F.array_repeat(zero, F.lit(SPARSE) - F.size(x))))
+    number = F.array((F.size(hashes).cast("long") % F.lit(1 << BITS_EQUAL)))
+    return F.concat(number, F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), dense), filled)
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
@@ -64,13 +73,19 @@ def fingerprint(vec: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of paragraphs in common, 0 to 1; exactly 1 for equal vectors."""
-    lanes = F.zip_with(F.slice(a, EQUAL + 2, SPARSE), F.slice(b, EQUAL + 2, SPARSE), lambda x, y: (x != y).cast("int"))
-    off = F.aggregate(lanes, F.lit(0), lambda s, v: s + v)
-    both = a[0] + b[0]
-    differ = F.when(off >= SPARSE, both.cast("double")).otherwise(-SPARSE * F.log((SPARSE - F.least(off, F.lit(SPARSE - 1))) / F.lit(float(SPARSE))))
-    differ = F.greatest(differ, F.abs(a[0] - b[0]).cast("double"))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - differ / F.greatest(both, F.lit(1))))
+    """2 * j / (1 + j), j the estimated share of different paragraphs that both have equally often; exactly 1 for equal vectors."""
+
+    def add(s, v):
+        return s + v
+
+    def paragraphs(lanes):
+        return -F.log(F.lit(1.0) - F.least(lanes, F.lit(SPARSE - 0.5)) / F.lit(float(SPARSE)))
+
+    x, y = F.slice(a, EQUAL + 2, SPARSE), F.slice(b, EQUAL + 2, SPARSE)
+    off = F.aggregate(F.zip_with(x, y, lambda u, v: (u != v).cast("int")), F.lit(0), add)
+    used = F.aggregate(F.zip_with(x, y, lambda u, v: ((u != 0) | (v != 0)).cast("int")), F.lit(0), add)
+    j = F.lit(1.0) - paragraphs(off) / F.greatest(paragraphs(used), F.lit(1e-9))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 2 * j / (1 + j)))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -94,7 +109,7 @@ def with_successor(rows: DataFrame, id_col: str, carried: list[str], rows_per_st
     stretch = F.lit(0)
     if borders:
         lists = F.array(*[F.lit(b) for b in borders])
-        stretch = F.coalesce(F.size(F.filter(lists, lambda b: b > F.col(id_col))), F.lit(len(borders)))
+        stretch = F.when(F.col(id_col).isNull(), F.lit(len(borders))).otherwise(F.size(F.filter(lists, lambda b: b > F.col(id_col))))
     rows = rows.withColumn("_stretch", stretch)
     following = F.struct(*[F.col(c) for c in carried])
     order = F.col(id_col).desc_nulls_last()

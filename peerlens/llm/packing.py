@@ -43,11 +43,11 @@ class Plan:
 
 
 def cheapest(length: int, capacities: tuple[int, ...], cost: Callable[[int], float], filler: int) -> int:
-    """Capacity with the least cost per token; room beyond whole pieces of this length counts as far as shorter pieces can fill it."""
+    """Capacity with the least cost per token; room beyond whole pieces of this length counts if shorter pieces can fill it."""
 
     def per_token(c):
-        own = c // length * length
-        return cost(c) / (own + min(c - own, max(0, filler)))
+        spare = c % length
+        return cost(c) / (c - spare + (spare if filler >= spare else 0))
 
     return min((c for c in capacities if c >= length), key=lambda c: (per_token(c), c))
 
@@ -101,8 +101,10 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
             filler = shorter - open_room
             capacity = cheapest(length, capacities, cost, filler)
             each = min(capacity // length, left)
-            spare = capacity - capacity // length * length
-            number = max(1, min(left // each, filler // spare if spare and filler >= spare else (left // each if not spare else 1)))
+            spare = capacity % length
+            number = left // each  # as many as the shorter pieces can fill up; the choice is made again for the rest
+            if spare and filler >= spare:
+                number = min(number, filler // spare)
             place(next_bin, number, each, 0, capacity)
             next_bin += number
     for runs in rooms.values():

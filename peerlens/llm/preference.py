@@ -108,7 +108,7 @@ def preference_pairs(rows: DataFrame, partners: int = PAIRS, seed: int = 0) -> D
     a = numbered.where("_good").select(F.col("_at").cast("long").alias("_g"), F.col("_x").alias("_u"))
     b = numbered.where("not _good").select(F.col("_at").cast("long").alias("_b"), F.col("_x").alias("_v"))
     joined = numbers.join(a, "_g").join(b, "_b")
-    return joined.select("id", F.zip_with("_u", "_v", lambda u, v: u - v).alias("difference"))
+    return joined.select("id", F.zip_with("_u", "_v", lambda u, v: F.round(u - v, 9)).alias("difference"))  # equal features differ by exactly 0
 
 
 def train(
@@ -128,7 +128,8 @@ def train(
     stats = known.agg(*[f(F.col("_f")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     if stats[0] is None:
         raise ValueError("preference pairs need labelled documents of both kinds")
-    centre, spread = np.array(stats[0::2], float), np.maximum(np.array(stats[1::2], float), 1e-6)
+    centre, spread = np.array(stats[0::2], float), np.array(stats[1::2], float)
+    spread = np.where(spread > 1e-6, spread, np.inf)  # a feature that does not vary counts for nothing
 
     def expand(batch: pd.Series) -> pd.Series:
         return pd.Series(list(basis(np.stack(batch.to_list()), centre, spread)), dtype=object)

@@ -195,7 +195,7 @@ def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def _settled(gathered: list[tuple], decided_only: bool = False) -> Iterator[pa.RecordBatch]:
+def _settled(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Group a partition's candidates: windows of all but the smallest id are decided, those of the smallest go on."""
     ids, marks, starts, hashes = (np.concatenate(x) for x in zip(*gathered, strict=True))
     order = np.lexsort((starts, marks, ids, hashes[:, 1], hashes[:, 0]))
@@ -271,15 +271,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Windows are judged on the input. Ids are whole numbers; rows that repeat an id never take words from each other, and a
     null id comes after all others. Null and short texts lose nothing. Columns of those names are replaced. No rows give no rows.
     """
-    kept = fresh(docs, "n_words", "n_removed", "kept_text", "_sub_id", "_sub_mark", "starts", "_out")
+    kept = fresh(docs, "n_words", "n_removed", "kept_text", "_sub_id", "_sub_mark", "_sub_starts", "_out")
     keyed = kept.withColumn("_sub_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_sub_mark", F.xxhash64(text_col))
     rows = keyed.select(F.col("_sub_id").alias("id"), F.col("_sub_mark").alias("mark"), F.col(text_col).alias("text"))
     bits = sketch_bits(docs.agg(F.sum(F.length(text_col))).first()[0] or 0)
     lost = covered_windows(rows, repeated_sketch(rows, bits, window), bits, window)
-    joined = keyed.join(lost.select(F.col("id").alias("_sub_id"), F.col("mark").alias("_sub_mark"), "starts"), ["_sub_id", "_sub_mark"], "left")
+    joined = keyed.join(lost.select(F.col("id").alias("_sub_id"), F.col("mark").alias("_sub_mark"), F.col("starts").alias("_sub_starts")), ["_sub_id", "_sub_mark"], "left")
 
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without_repeats(t, s, window) for t, s in zip(texts, starts, strict=True)], columns=["n_words", "n_removed", "kept_text"])
 
-    out = joined.withColumn("_out", F.pandas_udf(cut, "n_words long, n_removed long, kept_text string")(F.col(text_col), F.col("starts")))
+    out = joined.withColumn("_out", F.pandas_udf(cut, "n_words long, n_removed long, kept_text string")(F.col(text_col), F.col("_sub_starts")))
     return out.select(*[F.col(f"`{c}`") for c in kept.columns], "_out.n_words", "_out.n_removed", "_out.kept_text")

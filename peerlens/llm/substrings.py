@@ -6,8 +6,8 @@ whether a counter is 0, 1 or more, as bitmaps cut into slices; the slices of all
 partitions are merged as a stream. A counter of 2 or more never misses a
 repeated window, it only takes in some that are not.
 
-Pass 2 hashes again and groups exactly, by 128 bits, only windows whose two
-counters both reached 2. Each partition first settles what it can: of several
+Pass 2 hashes again and groups exactly, by 96 bits of the hash, only windows whose
+two counters both reached 2. Each partition first settles what it can: of several
 documents with one window all but the smallest id lose it there and then, and
 only that one goes on, so a window that a third of all documents share is one row
 per partition in the shuffle.
@@ -32,10 +32,10 @@ from .common import fresh
 
 WINDOW = 13
 LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 28, 22
-CHUNK_WORDS = 300_000  # words hashed at a time
-FLUSH = 4_000_000  # windows of a partition gathered before a sketch is written
-SETTLE = 1_500_000  # candidate windows gathered before they are settled
-VOCABULARY = 400_000  # words whose hashes a task keeps
+CHUNK_WORDS = 150_000  # words hashed at a time
+FLUSH = 2_500_000  # windows of a partition gathered before a sketch is written
+SETTLE = 500_000  # candidate windows gathered before they are settled
+VOCABULARY = 200_000  # words whose hashes a task keeps
 NO_ID = (1 << 63) - 1  # null ids come after all others
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd multipliers of the two polynomials
 
@@ -187,7 +187,7 @@ def repeated_sketch(rows: DataFrame, bits: int, window: int = WINDOW) -> list[np
     return sketch
 
 
-_CANDIDATE = pa.schema([("decided", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("starts", pa.list_(pa.int32()))])
+_CANDIDATE = pa.schema([("decided", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32()), ("id", pa.int64()), ("mark", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
 
 def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -199,7 +199,7 @@ def _settled(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Group a partition's candidates: windows of all but the smallest id are decided, those of the smallest go on."""
     ids, marks, starts, hashes = (np.concatenate(x) for x in zip(*gathered, strict=True))
     order = np.lexsort((starts, marks, ids, hashes[:, 1], hashes[:, 0]))
-    ids, marks, starts, hashes = ids[order], marks[order], starts[order], hashes[order].view(np.int64)
+    ids, marks, starts, hashes = ids[order], marks[order], starts[order], hashes[order]
     new = np.ones(len(ids), bool)
     new[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
     smallest = ids[new][np.cumsum(new) - 1]
@@ -211,11 +211,14 @@ def _settled(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
             continue
         if decided:
             by = np.lexsort((s, m, i))
-            i, m, s, h = i[by], m[by], s[by], np.stack([i[by], m[by]], axis=1)
+            i, m, s, h = i[by], m[by], s[by], np.zeros((len(i), 2), np.uint64)
         cut = np.ones(len(i), bool)
         cut[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (h[1:] != h[:-1]).any(axis=1)
         at = np.flatnonzero(cut)
-        out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(at), decided)), *(pa.array(np.ascontiguousarray(x[at])) for x in (h[:, 0], h[:, 1], i, m)), _lists(at, s)], schema=_CANDIDATE))
+        # What is decided is dealt out by document.
+        keys = (i[at], m[at]) if decided else (h[at, 0].view(np.int64), (h[at, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        columns = [np.full(len(at), decided), keys[0], keys[1].astype(np.int32), i[at], m[at].astype(np.int32)]
+        out.append(pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), _lists(at, s)], schema=_CANDIDATE))
     yield from out
 
 
@@ -240,7 +243,7 @@ def covered_windows(rows: DataFrame, sketch: list[np.ndarray], bits: int, window
         if n:
             yield from _settled(gathered)
 
-    found = rows.mapInArrow(candidates, "decided boolean, h1 long, h2 long, id long, mark long, starts array<int>")
+    found = rows.mapInArrow(candidates, "decided boolean, h1 long, h2 int, id long, mark int, starts array<int>")
     # At most one row per settled portion and window, so that no group grows with the documents that share it.
     first = F.min("id").over(Window.partitionBy("decided", "h1", "h2"))
     lost = found.withColumn("_first", first).where(F.col("decided") | (F.col("id") > F.col("_first")))
@@ -272,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     null id comes after all others. Null and short texts lose nothing. Columns of those names are replaced. No rows give no rows.
     """
     kept = fresh(docs, "n_words", "n_removed", "kept_text", "_sub_id", "_sub_mark", "_sub_starts", "_out")
-    keyed = kept.withColumn("_sub_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_sub_mark", F.xxhash64(text_col))
+    keyed = kept.withColumn("_sub_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_sub_mark", F.hash(text_col))
     rows = keyed.select(F.col("_sub_id").alias("id"), F.col("_sub_mark").alias("mark"), F.col(text_col).alias("text"))
     bits = sketch_bits(docs.agg(F.sum(F.length(text_col))).first()[0] or 0)
     lost = covered_windows(rows, repeated_sketch(rows, bits, window), bits, window)

@@ -13,7 +13,7 @@ only that one goes on, so a window that a third of all documents share is one ro
 per partition in the shuffle.
 
 The sketch is broadcast. Its size follows the input up to 2 * 2**MOST_BITS bits
-(64 MB); beyond that more windows pass to the exact step, and none is lost.
+(128 MB); beyond that more windows pass to the exact step, and none is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 WINDOW = 13
-LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 28, 22
+LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 29, 22
 CHUNK_WORDS = 150_000  # words hashed at a time
 FLUSH = 2_500_000  # windows of a partition gathered before a sketch is written
 SETTLE = 500_000  # candidate windows gathered before they are settled
@@ -264,8 +264,8 @@ def without_repeats(text: str | None, starts: list[int] | np.ndarray | None, win
 
 
 def sketch_bits(characters: int) -> int:
-    """Two counters for each window to be expected (a word of six characters and its blank), within the limits."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, characters) / 6 * 2))))
+    """Four counters a row for each window to be expected (a word of six characters with its blank), within the limits."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, characters) / 6 * 4))))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,9 +8,9 @@ is the sum over all its segmentations, by the forward recursion in log space;
 a text's is the product over its words and one end mark.
 
 Pieces do not cross words, so a word is scored once, wherever it occurs: words
-are counted over the whole corpus, scored as a table, and brought back. The
-`FREQUENT` most frequent words, a fixed number, are broadcast; other words are
-joined, and none of those has a large share of all tokens.
+are counted over the whole corpus, scored as a table, and brought back. Words with
+1 / FREQUENT of all tokens or more, at most FREQUENT of them, are broadcast; other
+words are joined, and none of those is hot.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-FREQUENT = 200_000
+FREQUENT = 1_000_000  # a word with this share of all tokens or more is frequent; so there are no more of them than this
 FLUSH = 400_000  # different words that a task counts before it sends them on
 SPACE = "▁"  # how the vocabulary writes the blank before a word
 PRIOR = 1000.0  # pieces' worth of the vocabulary's own weights
@@ -248,8 +248,8 @@ def score_texts(
     table = score_words(counts, pieces, logs, end_log)
     base = F.log10((F.col("c") + F.lit(0.1)) / F.lit(tokens + 0.1 * (known + 1)))
     table = cut_lineage(table.withColumn("base", base))
-    ordered = table.orderBy(F.col("c").desc(), "word").limit(FREQUENT)
-    top = {r["word"].encode(): (int(r["c"] > 0), r["base"], r["log"]) for r in ordered.toLocalIterator()}  # FREQUENT rows at most
+    common = table.where((F.col("c") > 0) & (F.col("c") * FREQUENT >= tokens)).select("word", "base", "log")
+    top = {r["word"].encode(): (1, r["base"], r["log"]) for r in common.toLocalIterator()}  # FREQUENT rows at most
     shared = docs.sparkSession.sparkContext.broadcast(top)
     # The end mark is looked up even if the corpus has no training row, and so no such count.
     nothing = (0, math.log10(0.1 / (tokens + 0.1 * (known + 1))), end_log / math.log(10))

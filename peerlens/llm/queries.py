@@ -96,7 +96,7 @@ _REPEATS = r"""
 owners AS (SELECT seq, min(doc_id) AS owner FROM windows GROUP BY seq),
 gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN owners USING (seq), range(13) AS t(k) WHERE owner < doc_id),
 kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE g.at IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.at) FILTER (WHERE g.at IS NULL), '') AS kept
+  SELECT doc_id, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs) p LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept USING (doc_id)

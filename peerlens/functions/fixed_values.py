@@ -16,6 +16,7 @@ IMAGE_ENDINGS = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp"]
 EMAIL_LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 EMAIL_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL_TLD = r"[A-Za-z]{2,24}"
+EMAIL_LABELS = 126  # before the last one: a domain name has 127 labels at most
 
 # --- domains ----------------------------------------------------------------
 SECOND_LEVEL = ["ac", "edu", "co", "com", "org", "gov", "net"]
@@ -31,9 +32,13 @@ ORG_FILLER = [
 ]
 
 # --- titles and roles -----------------------------------------------------------
+# Possessive (*+, ++): Java walks such a group in a loop, where a plain one recurses once per repeat. What follows a run of
+# these words can never be one of them, so both accept the same; a title starts at the first word of its run.
+_BEFORE_TITLE = (
+    "Distinguished |Regius |University |Emeritus |Emerita |Senior |Principal |Visiting |Adjunct |Research |Clinical |Full "
+)
 TITLE_PATTERN = (
-    r"\b((?:Distinguished |Regius |University |Emeritus |Emerita |Senior |Principal |Visiting |Adjunct "
-    r"|Research |Clinical |Full )*(?:Assistant |Associate )?(?:Professor|Lecturer|Reader|Fellow|Chair)"
+    rf"(?<!\b(?:{_BEFORE_TITLE}))\b((?:{_BEFORE_TITLE})*+(?:Assistant |Associate )?(?:Professor|Lecturer|Reader|Fellow|Chair)"
     r"(?:\s+(?:of|in)\s+[A-Z][A-Za-z&,\- ]{2,80}?)?)(?=\s*(?:[.;|\n<]|,\s|$| at | in the ))"
 )
 ROLE_RULES = [
@@ -83,7 +88,7 @@ NOISE_LINE = (
     r"(?i)(@|https?://|www\.|linkedin\.com|github\.com|scholar\.google|orcid\.org|curriculum\s+vitae"
     r"|\bpage\s+\d+|\+?\d[\d\s().-]{8,}\d)"
 )
-LEAD_INS = r"(?i)^(i am |i'm |also |interested in |working on |my research is )+"
+LEAD_INS = r"(?i)^(?:i am |i'm |also |interested in |working on |my research is )++"
 QUICK_TEXT_CHARS = 1000
 PROFILE_TEXT_CHARS = 1200
 MAX_INTERESTS = 15

@@ -44,7 +44,7 @@ def keyword_search(catalog: DataFrame, query: str, index: DataFrame | None = Non
     an area contains the query. -> person_id, tier, first_pos
     """
     needle = query.strip().lower()
-    terms = [w for w in "".join(c if c.isalnum() else " " for c in needle).split() if w]
+    terms = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in needle).split()))
     if index is not None and terms:
         starts = F.array(*[F.when(F.col("token").startswith(w), F.lit(i)) for i, w in enumerate(terms)])
         any_term = F.col("token").startswith(terms[0])
@@ -55,7 +55,7 @@ def keyword_search(catalog: DataFrame, query: str, index: DataFrame | None = Non
             .select("person_id", "pos", F.explode(F.array_compact(starts)).alias("_term"))
             .groupBy("person_id")
             .agg(F.count_distinct("_term").alias("_n"), F.min("pos").alias("first_pos"))
-            .where(F.col("_n") == len(set(terms)))
+            .where(F.col("_n") == len(terms))
             .select("person_id", F.lit(0).alias("tier"), "first_pos")
         )
     else:

@@ -28,9 +28,9 @@ from ..functions.text import (
 
 # Java's \b and \s cover all letters and spaces only under (?U).
 _SPELLED_DOMAIN = (
-    rf"{V.EMAIL_LABEL}(?:(?:\.|\s+dot\s+){V.EMAIL_LABEL})*(?:\.|\s+dot\s+){V.EMAIL_TLD}"
+    rf"{V.EMAIL_LABEL}(?:(?:\.|\s+dot\s+){V.EMAIL_LABEL}){{0,{V.EMAIL_LABELS}}}(?:\.|\s+dot\s+){V.EMAIL_TLD}"
 )
-_ADDRESS = rf"(?U)\b{V.EMAIL_LOCAL}@{V.EMAIL_LABEL}(?:\.{V.EMAIL_LABEL})*\.{V.EMAIL_TLD}\b"
+_ADDRESS = rf"(?U)\b{V.EMAIL_LOCAL}+@{V.EMAIL_LABEL}(?:\.{V.EMAIL_LABEL}){{0,{V.EMAIL_LABELS}}}\.{V.EMAIL_TLD}\b"
 _GAP = r"[\s\p{Z}]"
 _SPELLED_AT = rf"at{_GAP}+[a-z0-9-]+(?:\.[a-z0-9]|{_GAP}+dot{_GAP}|{_GAP}*[\[({{<])|[\[({{<]{_GAP}*at{_GAP}*[\])}}>]"
 
@@ -51,7 +51,7 @@ def plain_addresses(c: Column) -> Column:
     # Spelled-out dots right of an "@": each match starts at the "@" or where the last one ended.
     return F.regexp_replace(
         c,
-        rf"(?iU)(@{V.EMAIL_LABEL}|(?!^)\G{V.EMAIL_LABEL})(?:\.|\s+dot\s+)(?=(?:{V.EMAIL_LABEL}(?:\.|\s+dot\s+))*{V.EMAIL_TLD})",
+        rf"(?iU)(@{V.EMAIL_LABEL}|(?!^)\G{V.EMAIL_LABEL})(?:\.|\s+dot\s+)(?=(?:{V.EMAIL_LABEL}(?:\.|\s+dot\s+)){{0,{V.EMAIL_LABELS}}}{V.EMAIL_TLD})",
         "$1.",
     )
 

@@ -153,38 +153,93 @@ def page_contacts(pages: DataFrame, people: DataFrame, institutions: DataFrame)
 
 # --- directories ------------------------------------------------------------------------------------
 
-_STEP = re.compile(r"([.#]?)([\w-]+)|\[([\w-]+)(?:[*^$~|]?=\"?([^\]\"]*)\"?)?\]|(\*)")
-
-
-def _fits(element: _Element, compound: str) -> bool:
-    for mark, word, attr, value, _any in _STEP.findall(compound):
-        if mark == ".":
-            ok = word in (element.attrs.get("class") or "").split()
-        elif mark == "#":
-            ok = element.attrs.get("id") == word
-        elif attr:
-            ok = attr in element.attrs and (not value or element.attrs[attr] == value)
+_TOKEN = re.compile(r"(?:\[[^\]]*\]|[^\s>,\[])+|[>,]")
+_TEST = re.compile(r"""([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]*))\s*)?\]|(\*)""")
+_COMPARE = {
+    "=": lambda have, want: have == want,
+    "*=": lambda have, want: want != "" and want in have,
+    "^=": lambda have, want: want != "" and have.startswith(want),
+    "$=": lambda have, want: want != "" and have.endswith(want),
+    "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+}
+
+
+def _compound(text: str) -> list[tuple]:
+    """Tests of one element: (kind, name, comparison, value)."""
+    tests, at = [], 0
+    while at < len(text):
+        m = _TEST.match(text, at)
+        if not m:
+            raise ValueError(f"selector is not supported: {text!r}")
+        mark, word, attr, op, *values, _any = m.groups()
+        if attr:
+            tests.append(("attr", attr, op, next((v for v in values if v is not None), "")))
+        elif word:
+            tests.append(({".": "class", "#": "id", "": "tag"}[mark], word if mark else word.lower(), None, None))
+        at = m.end()
+    return tests
+
+
+def parse_selector(selector: str) -> list[list[tuple[str, list[tuple]]]]:
+    """Alternatives of steps (" " inside, ">" child of, tests). Anything but types, classes, ids and attributes raises."""
+    paths: list[list] = [[]]
+    link = " "
+    for token in _TOKEN.findall(selector):
+        if token == ",":
+            paths.append([])
+            link = " "
+        elif token == ">":
+            if link == ">" or not paths[-1]:
+                raise ValueError(f"selector is not supported: {selector!r}")
+            link = ">"
+        else:
+            paths[-1].append((link, _compound(token)))
+            link = " "
+    if link == ">" or not all(paths):
+        raise ValueError(f"selector is not supported: {selector!r}")
+    return paths
+
+
+def _fits(element: _Element, tests: list[tuple]) -> bool:
+    for kind, name, op, value in tests:
+        if kind == "class":
+            ok = name in (element.attrs.get("class") or "").split()
+        elif kind == "id":
+            ok = element.attrs.get("id") == name
+        elif kind == "attr":
+            ok = name in element.attrs and (op is None or _COMPARE[op](element.attrs[name] or "", value))
         else:
-            ok = not word or element.tag == word.lower()
+            ok = element.tag == name
         if not ok:
             return False
     return True
 
 
-def _selected(element: _Element, selector: str) -> bool:
-    """Type, class, id and attribute selectors, joined by spaces (inside) or commas (or)."""
-    for path in selector.split(","):
-        steps = path.split()
-        if not steps or not _fits(element, steps[-1]):
-            continue
-        node, rest = element.parent, steps[:-1]
-        while rest and node is not None:
-            if _fits(node, rest[-1]):
-                rest = rest[:-1]
-            node = node.parent
-        if not rest:
-            return True
-    return False
+def _selected(element: _Element, paths: list) -> bool:
+    return any(_ends_at(element, steps) for steps in paths)
+
+
+def _ends_at(element: _Element, steps: list) -> bool:
+    """The steps fit a chain of elements that ends here; the elements that fit each step are followed outwards together."""
+    *outer, (link, tests) = steps
+    if not _fits(element, tests):
+        return False
+    here = [element]
+    for before, tests in reversed(outer):
+        found: dict[int, _Element] = {}
+        for node in here:
+            parent = node.parent
+            while parent is not None:
+                if _fits(parent, tests):
+                    found[id(parent)] = parent
+                if link == ">":
+                    break
+                parent = parent.parent
+        if not found:
+            return False
+        here, link = list(found.values()), before
+    return True
 
 
 def _card_rows(selector: str | None):

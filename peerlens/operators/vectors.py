@@ -330,17 +330,17 @@ def cluster_count(n: int) -> int:
     return max(1, min(n, round(math.sqrt(n))))
 
 
-def train_centroids(vectors: DataFrame, k: int | None = None, seed: int = 0, sample: int = V.KMEANS_SAMPLE) -> DataFrame:
-    """Unit centroids by cosine k-means on at most about `sample` rows (V7).
+def train_centroids(vectors: DataFrame, k: int | None = None, seed: int = 0, sample: int | None = None) -> DataFrame:
+    """Unit centroids by cosine k-means on all rows, or on about `sample` of them where the caller says so (V7).
 
-    The sample is taken by a hash of the id, so it does not depend on partitioning.
+    A sample is taken by a hash of the id, so it does not depend on partitioning.
     """
     n = vectors.count()
     k = k or cluster_count(n)
     rows = with_unit(vectors, "vector").select("person_id", "vector")
-    if n > sample:
+    if sample is not None:
         buckets = 1 << 20
-        rows = rows.where(F.pmod(F.xxhash64("person_id", F.lit(seed)), F.lit(buckets)) < int(buckets * sample / n))
+        rows = rows.where(F.pmod(F.xxhash64("person_id", F.lit(seed)), F.lit(buckets)) < int(buckets * min(1.0, sample / max(1, n))))
     training = rows.where(F.exists("vector", lambda x: x != 0)).select(array_to_vector("vector").alias("features"))
     model = KMeans(k=k, maxIter=V.KMEANS_ITERATIONS, distanceMeasure="cosine", seed=seed).fit(training)
     centers = _unit_rows(np.array(model.clusterCenters(), dtype=np.float64))

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from .common import fresh
 WINDOW = 13
 LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 29, 22
 CHUNK_WORDS = 150_000  # words hashed at a time
-FLUSH = 2_500_000  # windows of a partition gathered before a sketch is written
-SETTLE = 500_000  # candidate windows gathered before they are settled
+FLUSH = 3_000_000  # windows of a partition gathered before a sketch is written
+SETTLE = 600_000  # candidate windows gathered before they are settled
 VOCABULARY = 200_000  # words whose hashes a task keeps
 NO_ID = (1 << 63) - 1  # null ids come after all others
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd multipliers of the two polynomials
@@ -119,9 +120,9 @@ def _sketch_rows(gathered: list[np.ndarray], bits: int) -> Iterator[pa.RecordBat
         borders = np.searchsorted(positions, np.arange(0, (1 << (bits - step)) + 1, dtype=np.int64) << step)
         for part in np.flatnonzero(np.diff(borders)):
             inside = (positions[borders[part] : borders[part + 1]] & np.uint32((1 << step) - 1)).astype(np.int64)
-            more = inside[1:][inside[1:] == inside[:-1]]
+            more = np.unique(inside[1:][inside[1:] == inside[:-1]])
             yield pa.RecordBatch.from_pydict(
-                {"row": pa.array([row], pa.int32()), "part": pa.array([int(part)], pa.int32()), "once": [_pack(inside, step)], "twice": [_pack(more, step) if len(more) else None]},
+                {"row": pa.array([row], pa.int32()), "part": pa.array([int(part)], pa.int32()), "once": [_pack(np.unique(inside))], "twice": [_pack(more) if len(more) else None]},
                 schema=_SKETCH,
             )
 
@@ -129,15 +130,18 @@ def _sketch_rows(gathered: list[np.ndarray], bits: int) -> Iterator[pa.RecordBat
 _SKETCH = pa.schema([("row", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _pack(positions: np.ndarray, step: int) -> bytes:
-    bitmap = np.zeros(1 << step, np.uint8)
-    bitmap[positions] = 1
-    return pa.compress(np.packbits(bitmap).tobytes(), codec="zstd", asbytes=True)
+def _pack(positions: np.ndarray) -> bytes:
+    """Sorted positions as differences, byte by byte, compressed: near one byte for each."""
+    steps = np.diff(positions, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return len(positions).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes | None, step: int) -> np.ndarray:
-    size = (1 << step) // 8
-    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8) if data else np.zeros(size, np.uint8)
+def _unpack(data: bytes | None) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
 def repeated_sketch(rows: DataFrame, bits: int, window: int = WINDOW) -> list[np.ndarray]:
@@ -163,7 +167,7 @@ def repeated_sketch(rows: DataFrame, bits: int, window: int = WINDOW) -> list[np
         at, once, twice = None, None, None
 
         def done():
-            return pa.RecordBatch.from_pydict({"row": pa.array([at[0]], pa.int32()), "part": pa.array([at[1]], pa.int32()), "once": [None], "twice": [pa.compress(twice.tobytes(), codec="zstd", asbytes=True)]}, schema=_SKETCH)
+            return pa.RecordBatch.from_pydict({"row": pa.array([at[0]], pa.int32()), "part": pa.array([at[1]], pa.int32()), "once": [None], "twice": [pa.compress(np.packbits(twice).tobytes(), codec="zstd", asbytes=True)]}, schema=_SKETCH)
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -171,10 +175,11 @@ def repeated_sketch(rows: DataFrame, bits: int, window: int = WINDOW) -> list[np
                 if key != at:
                     if at is not None:
                         yield done()
-                    at, once, twice = key, np.zeros((1 << step) // 8, np.uint8), np.zeros((1 << step) // 8, np.uint8)
-                seen = _unpack(batch.column(2)[r].as_py(), step)
-                twice |= _unpack(batch.column(3)[r].as_py(), step) | (once & seen)
-                once |= seen
+                    at, once, twice = key, np.zeros(1 << step, np.uint8), np.zeros(1 << step, np.uint8)
+                seen = _unpack(batch.column(2)[r].as_py())
+                twice[seen[once[seen] == 1]] = 1
+                twice[_unpack(batch.column(3)[r].as_py())] = 1
+                once[seen] = 1
         if at is not None:
             yield done()
 
@@ -183,47 +188,42 @@ def repeated_sketch(rows: DataFrame, bits: int, window: int = WINDOW) -> list[np
     sketch = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     size = (1 << step) // 8
     for r in parts.select("row", "part", "twice").toLocalIterator():  # 2 * 2**(bits - step) slices at most
-        sketch[r["row"]][r["part"] * size : (r["part"] + 1) * size] = _unpack(bytes(r["twice"]), step)
+        sketch[r["row"]][r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(pa.decompress(bytes(r["twice"]), size, codec="zstd", asbytes=True), np.uint8)
     return sketch
 
 
-_CANDIDATE = pa.schema([("decided", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32()), ("id", pa.int64()), ("mark", pa.int32()), ("starts", pa.list_(pa.int32()))])
-
-
-def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
-    offsets = np.append(cuts, len(values)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+# h1, the upper half of h2 with the mark below it, id, and a span: first start * 2**24 + number of starts, as its bitwise
+# complement (negative) where the span is decided.
+_CANDIDATE = pa.schema([("h1", pa.int64()), ("h2_mark", pa.int64()), ("id", pa.int64()), ("span", pa.int64())])
+LONGEST = (1 << 24) - 1
 
 
 def _settled(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Group a partition's candidates: windows of all but the smallest id are decided, those of the smallest go on."""
     ids, marks, starts, hashes = (np.concatenate(x) for x in zip(*gathered, strict=True))
-    order = np.lexsort((starts, marks, ids, hashes[:, 1], hashes[:, 0]))
-    ids, marks, starts, hashes = ids[order], marks[order], starts[order], hashes[order]
+    order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
+    ids, marks, starts, hashes = ids[order], marks[order] & 0xFFFFFFFF, starts[order].astype(np.int64), hashes[order]
     new = np.ones(len(ids), bool)
     new[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
-    smallest = ids[new][np.cumsum(new) - 1]
-    lost = ids > smallest
-    out = []
-    for take, decided in ((lost, True), (~lost, False)):
-        i, m, s, h = ids[take], marks[take], starts[take], hashes[take]
-        if not len(i):
-            continue
-        if decided:
-            by = np.lexsort((s, m, i))
-            i, m, s, h = i[by], m[by], s[by], np.zeros((len(i), 2), np.uint64)
-        cut = np.ones(len(i), bool)
-        cut[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (h[1:] != h[:-1]).any(axis=1)
-        at = np.flatnonzero(cut)
+    lost = ids > ids[new][np.cumsum(new) - 1]
+    out = ~lost
+    upper = (hashes[out, 1] >> np.uint64(32)).astype(np.int64) << 32
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[out, 0].view(np.int64), upper | marks[out], ids[out], starts[out] << 24 | 1)], schema=_CANDIDATE)
+    if lost.any():
+        ids, marks, starts = ids[lost], marks[lost], starts[lost]
+        order = np.lexsort((starts, marks, ids))
+        ids, marks, starts = ids[order], marks[order], starts[order]
+        cut = np.ones(len(ids), bool)
+        cut[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (starts[1:] > starts[:-1] + 1)
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(ids)) - 1
+        length = np.minimum(starts[last] - starts[first] + 1, LONGEST)
         # What is decided is dealt out by document.
-        keys = (i[at], m[at]) if decided else (h[at, 0].view(np.int64), (h[at, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        columns = [np.full(len(at), decided), keys[0], keys[1].astype(np.int32), i[at], m[at].astype(np.int32)]
-        out.append(pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), _lists(at, s)], schema=_CANDIDATE))
-    yield from out
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first] ^ marks[first], marks[first], ids[first], ~(starts[first] << 24 | length))], schema=_CANDIDATE)
 
 
 def covered_windows(rows: DataFrame, sketch: list[np.ndarray], bits: int, window: int = WINDOW) -> DataFrame:
-    """(id, mark, starts): starts of windows that a document with a smaller id has too. `rows`: (id, mark, text)."""
+    """(id, mark, spans): (first start, number of starts) of windows that a document with a smaller id has too. `rows`: (id, mark, text)."""
     shared = rows.sparkSession.sparkContext.broadcast([s.tobytes() for s in sketch])
 
     def candidates(batches):
@@ -243,22 +243,28 @@ def covered_windows(rows: DataFrame, sketch: list[np.ndarray], bits: int, window
         if n:
             yield from _settled(gathered)
 
-    found = rows.mapInArrow(candidates, "decided boolean, h1 long, h2 int, id long, mark int, starts array<int>")
-    # At most one row per settled portion and window, so that no group grows with the documents that share it.
-    first = F.min("id").over(Window.partitionBy("decided", "h1", "h2"))
-    lost = found.withColumn("_first", first).where(F.col("decided") | (F.col("id") > F.col("_first")))
-    return lost.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # at most a document's own windows
-
-
-def without_repeats(text: str | None, starts: list[int] | np.ndarray | None, window: int = WINDOW) -> tuple[int, int, str]:
-    """(words, words removed, the kept words joined by one blank)."""
+    found = rows.mapInArrow(candidates, "h1 long, h2_mark long, id long, span long").repartition("h1")
+    # A window has a row per settled portion at most, or one per occurrence in one document, so no group grows with the
+    # documents that share it.
+    decided = (F.col("span") < 0).alias("decided")
+    half = F.shiftright("h2_mark", 32).alias("h2")
+    keyed = found.select("h1", half, decided, "id", F.col("h2_mark").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), "span")
+    first = F.min("id").over(Window.partitionBy("h1", "h2", "decided"))
+    lost = keyed.withColumn("_first", first).where(F.col("decided") | (F.col("id") > F.col("_first")))
+    plain = F.when(F.col("decided"), F.bitwise_not("span")).otherwise(F.col("span"))
+    pair = F.struct(F.shiftright(plain, 24).alias("start"), plain.bitwiseAND(F.lit(LONGEST)).alias("n"))
+    return lost.select("id", "mark", pair.alias("pair")).groupBy("id", "mark").agg(F.collect_list("pair").alias("spans"))  # at most a document's own windows
+
+
+def without_repeats(text: str | None, spans: list | np.ndarray | None, window: int = WINDOW) -> tuple[int, int, str]:
+    """(words, words removed, the kept words joined by one blank); spans are (first start, number of starts)."""
     words = text_words(text)
-    if starts is None or not len(starts):
+    if spans is None or not len(spans):
         return len(words), 0, b" ".join(words).decode("utf-8")
     edge = np.zeros(len(words) + 1, np.int64)
-    begin = np.unique(np.asarray(starts, np.int64))
-    edge[begin] += 1
-    edge[begin + window] -= 1
+    begin = np.array([s["start"] for s in spans], np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + np.array([s["n"] for s in spans], np.int64) - 1 + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8")
 
@@ -274,15 +280,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Windows are judged on the input. Ids are whole numbers; rows that repeat an id never take words from each other, and a
     null id comes after all others. Null and short texts lose nothing. Columns of those names are replaced. No rows give no rows.
     """
-    kept = fresh(docs, "n_words", "n_removed", "kept_text", "_sub_id", "_sub_mark", "_sub_starts", "_out")
-    keyed = kept.withColumn("_sub_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_sub_mark", F.hash(text_col))
+    kept = fresh(docs, "n_words", "n_removed", "kept_text", "_sub_id", "_sub_mark", "_sub_spans", "_sub_text", "_out")
+    mark = F.hash(text_col).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    keyed = kept.withColumn("_sub_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_sub_mark", mark)
     rows = keyed.select(F.col("_sub_id").alias("id"), F.col("_sub_mark").alias("mark"), F.col(text_col).alias("text"))
     bits = sketch_bits(docs.agg(F.sum(F.length(text_col))).first()[0] or 0)
     lost = covered_windows(rows, repeated_sketch(rows, bits, window), bits, window)
-    joined = keyed.join(lost.select(F.col("id").alias("_sub_id"), F.col("mark").alias("_sub_mark"), F.col("starts").alias("_sub_starts")), ["_sub_id", "_sub_mark"], "left")
+    # Texts travel to their spans once, compressed.
+    packed = keyed.withColumn("_sub_text", F.pandas_udf(_shrink, "binary")(F.col(text_col))).drop(text_col)
+    joined = packed.join(lost.select(F.col("id").alias("_sub_id"), F.col("mark").alias("_sub_mark"), F.col("spans").alias("_sub_spans")), ["_sub_id", "_sub_mark"], "left")
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        whole = [_grow(t) for t in texts]
+        rest = [without_repeats(t, s, window) for t, s in zip(whole, spans, strict=True)]
+        return pd.DataFrame([(t, *r) for t, r in zip(whole, rest, strict=True)], columns=["text", "n_words", "n_removed", "kept_text"])
+
+    out = joined.withColumn("_out", F.pandas_udf(cut, "text string, n_words long, n_removed long, kept_text string")("_sub_text", "_sub_spans"))
+    own = [F.col("_out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
+    return out.select(*own, "_out.n_words", "_out.n_removed", "_out.kept_text")
+
+
+def _shrink(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else zstandard.compress(t.encode("utf-8", "replace"), 3) for t in texts], dtype=object)
 
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without_repeats(t, s, window) for t, s in zip(texts, starts, strict=True)], columns=["n_words", "n_removed", "kept_text"])
 
-    out = joined.withColumn("_out", F.pandas_udf(cut, "n_words long, n_removed long, kept_text string")(F.col(text_col), F.col("_sub_starts")))
-    return out.select(*[F.col(f"`{c}`") for c in kept.columns], "_out.n_words", "_out.n_removed", "_out.kept_text")
+def _grow(data: bytes | None) -> str | None:
+    return None if data is None else zstandard.decompress(data).decode("utf-8")

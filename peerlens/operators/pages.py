@@ -243,15 +243,17 @@ def _ends_at(element: _Element, steps: list) -> bool:
 
 
 def _card_rows(selector: str | None):
+    paths = parse_selector(selector) if selector else None
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
                 for e in _read(html).elements():
-                    if not (_selected(e, selector) if selector else e.tag in _CARDS):
+                    if not (_selected(e, paths) if paths else e.tag in _CARDS):
                         continue
                     text, mails = e.text(), _mailtos(e)
-                    if not selector and not mails and not re.search(r"@|\bat\b", text, re.I):
+                    if not paths and not mails and not re.search(r"@|\bat\b", text, re.I):
                         continue  # cannot hold an address
                     heading = next((h for h in e.elements() if h.tag in _HEADINGS), None)
                     name = heading.text(" ") if heading is not None else text.split("\n", 1)[0]

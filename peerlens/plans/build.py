@@ -16,7 +16,7 @@ from ..operators import topics as T
 from ..operators import works as W
 from ..operators import vectors as X
 from ..operators.profiles import with_person_text
-from ..sources import writers
+from ..sources import readers, writers
 
 
 @dataclass
@@ -120,7 +120,7 @@ def publish(
         stats = {"last_ingestion": as_of.date(), **stats}
     spark = built.records.sparkSession
     writers.write_records(built.records, root, limits.record_chunk)
-    records = spark.read.parquet(f"{root}/records")
+    records = readers.read_records(spark, root)
     counts = records.groupBy("institution_id").agg(F.count("*").alias("people"))
     writers.write_institutions(institutions.drop("people").join(counts, "institution_id", "left").fillna(0, ["people"]), root)
     complete = writers.write_catalog(P.to_catalog(records), root, limits.catalog_rows)

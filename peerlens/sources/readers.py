@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_per_group
@@ -185,8 +185,21 @@ def read_vectors(
     return df if clusters is None else df.where(F.col("cluster").isin(list(clusters)))
 
 
+# Folders are named after the institution with a letter in front, so that no id of digits is read back as a number; the id
+# itself is a column of the files.
+PART = "institution_part"
+
+
+def part_name(institution: Column) -> Column:
+    return F.concat(F.lit("i"), institution.cast("string"))
+
+
 def _pruned(df: DataFrame, institutions: Sequence | None) -> DataFrame:
-    return df if institutions is None else df.where(F.col("institution_id").isin(list(institutions)))
+    if institutions is not None:
+        df = df.where(F.col("institution_id").isin(list(institutions)))
+        if PART in df.columns:
+            df = df.where(F.col(PART).isin([f"i{x}" for x in institutions]))
+    return df.drop(PART)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

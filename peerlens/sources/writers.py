@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.ranking import cut_lineage
 from ..operators.people import importance, record_chunks, to_catalog, truncate_catalog
-from .readers import _exists
+from .readers import PART, _exists, part_name
 
 
 def write_records(records: DataFrame, root: str, chunk: int = V.RECORD_CHUNK) -> None:
@@ -24,10 +24,11 @@ def write_records(records: DataFrame, root: str, chunk: int = V.RECORD_CHUNK) ->
     (
         chunked.hint("rebalance", F.col("institution_id"), F.col("record_chunk"))
         .sortWithinPartitions("institution_id", *importance())
+        .withColumn(PART, part_name(F.col("institution_id")))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .option("maxRecordsPerFile", chunk)
-        .partitionBy("institution_id")
+        .partitionBy(PART)
         .parquet(f"{root}/records")
     )
 
@@ -48,8 +49,9 @@ def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bo
     if not complete:
         (
             rows.hint("rebalance", F.col("institution_id"))
+            .withColumn(PART, part_name(F.col("institution_id")))
             .write.mode("overwrite")
-            .partitionBy("institution_id")
+            .partitionBy(PART)
             .parquet(f"{root}/catalog_by_institution")
         )
     else:

@@ -307,3 +307,30 @@ def test_addresses_do_not_depend_on_partitioning(spark):
     df = spark.range(40).select("id", F.format_string("p%d [at] u dot edu", "id").alias("text"))
     one = {tuple(r) for r in C.extract_emails(df.repartition(1), "text", ["id"]).collect()}
     assert one == {tuple(r) for r in C.extract_emails(df.repartition(7), "text", ["id"]).collect()} and len(one) == 40
+
+
+def test_long_runs_of_title_words_and_lead_ins_end_quickly(table):
+    from peerlens.functions.text import topics_from_text
+    from peerlens.operators.contacts import addresses, title_of
+
+    rows = table("t string", ("Senior " * 100_000 + "Professor of Physics.",), ("Senior " * 100_000,))
+    assert [r[0] is not None for r in rows.select(title_of(F.col("t"))).collect()] == [True, False]
+    led = table("t string", ("i am " * 20_000 + "graph theory",))
+    assert led.select(topics_from_text(F.col("t"))).first()[0] == ["graph theory"]
+    dotted = table("t string", ("a@" + "b." * 3000 + "edu",), ("see jane@uni.edu",))
+    assert [len(r[0]) <= 1 for r in dotted.select(addresses(F.col("t"))).collect()] == [True, True]
+
+
+def test_selectors_with_children_and_parts_of_attributes():
+    import pytest
+
+    from peerlens.operators.pages import _read, _selected, parse_selector
+
+    html = '<ul><li class="x">a</li><span><li data-k="my-card-1">b</li></span></ul><div class="card big"><p>c</p></div>'
+    found = lambda s: [e.tag for e in _read(html).elements() if _selected(e, parse_selector(s))]
+    assert found("ul > li") == ["li"] and found("ul li") == ["li", "li"] and found("ul > span > li") == ["li"]
+    assert found('[data-k*="card"]') == ["li"] and found("[data-k^=my]") == ["li"] and found("[data-k$='-1'], div > p") == ["li", "p"]
+    assert found('[class~="big"]') == ["div"] and found("[data-k|=my]") == ["li"] and found("li[data-k=other]") == []
+    for bad in ("li:first-child", "a + b", "a ~ b", "> li", "a >", ""):
+        with pytest.raises(ValueError):
+            parse_selector(bad)

@@ -14,15 +14,15 @@ class NoFullBuild(RuntimeError):
     """An update was asked for before any full build."""
 
 
-def change_window(runs: DataFrame, as_of: dt.date, overlap_days: int = 30) -> tuple[dt.date, dt.date]:
-    """Dates to scan: from the last run less the overlap until `as_of`.
+def change_window(runs: DataFrame, as_of: dt.date, overlap_days: int = 30, since: dt.date | None = None) -> tuple[dt.date, dt.date]:
+    """Dates to scan: from the last run less the overlap, or from `since` where it is given, until `as_of`.
 
     Refuses when no full build was recorded (C4). runs(last_ingestion, last_cdc_run)
     """
     marks = runs.agg(F.max("last_ingestion").alias("i"), F.max("last_cdc_run").alias("c")).first()  # one row
     if marks is None or marks["i"] is None:
         raise NoFullBuild("no full build is recorded; run one before updating")
-    return (marks["c"] or marks["i"]) - dt.timedelta(days=overlap_days), as_of
+    return since or (marks["c"] or marks["i"]) - dt.timedelta(days=overlap_days), as_of
 
 
 def refresh_people(records: DataFrame, fresh: DataFrame) -> DataFrame:

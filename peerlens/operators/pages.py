@@ -132,8 +132,7 @@ def page_contacts(pages: DataFrame, people: DataFrame, institutions: DataFrame)
 
     people(person_id, name, institution_id, page_id). The first address that
     fits the name and, when the institution's domains are known, is on one;
-    mailto targets come before the text. The title is read from the first 4000
-    characters of the visible text, as a profile page's head carries it.
+    mailto targets come before the text. The title is read from the whole visible text.
     """
     read = extract_pages(pages.join(people.select("page_id").distinct(), "page_id", "left_semi"))
     mine = read.join(people.select("page_id", "person_id", "institution_id"), "page_id")
@@ -147,7 +146,7 @@ def page_contacts(pages: DataFrame, people: DataFrame, institutions: DataFrame)
         fitting.join(domains, "institution_id", "left_anti"), allowMissingColumns=True
     )
     best = on_domain.groupBy("person_id").agg(F.min_by("email", "pos").alias("email"))
-    titles = mine.select("person_id", title_of(F.substring("text", 1, 4000)).alias("title"))
+    titles = mine.select("person_id", title_of(F.col("text")).alias("title"))
     return titles.join(best, "person_id", "left").select("person_id", "email", "title")
 
 

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -119,8 +120,13 @@ def check_vectors_shape(df: DataFrame, dim: int, col: str = "vector", bits: str
 # --- ranking ------------------------------------------------------------------------------------------------
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
+    """Vectors as rows of a matrix; null vectors and vectors of different lengths raise (`check_vectors` finds them)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.list_value_length(column)
+    span = pc.min_max(lengths).as_py()
+    if lengths.null_count or span["min"] != span["max"]:
+        raise ValueError("vectors are missing or differ in length")
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 

@@ -37,10 +37,15 @@ def author_positions(lines: DataFrame) -> DataFrame:
 
 
 def works_of(people: DataFrame, works: DataFrame, authorships: DataFrame) -> DataFrame:
-    """One row per tracked person and work, blank titles out."""
-    mine = authorships.join(people.select("person_id").distinct(), "person_id", "left_semi")
+    """One row per tracked person and work, blank titles out.
+
+    Works come first: when they are a date window, its filter also thins `authorships` out, and only the
+    window's rows are dealt out by person.
+    """
     titled = works.where(F.length(F.trim("title")) > 0)
-    return mine.join(titled, "work_id")
+    return authorships.join(titled, "work_id").join(people.select("person_id").distinct(), "person_id", "left_semi").select(
+        "work_id", *[c for c in authorships.columns if c != "work_id"], *[c for c in works.columns if c != "work_id"]
+    )
 
 
 def works_at(works: DataFrame, work_institutions: DataFrame, institutions: DataFrame) -> DataFrame:
@@ -48,7 +53,9 @@ def works_at(works: DataFrame, work_institutions: DataFrame, institutions: DataF
     tracked = institutions.select(
         F.explode(F.array_compact(F.concat(F.array("institution_id"), F.coalesce("extra_ids", F.array())))).alias("institution_id")
     ).distinct()
-    hits = work_institutions.join(tracked, "institution_id", "left_semi").select("work_id").distinct()
+    # The works' own filter, such as a date window, is applied before anything is dealt out by institution.
+    near = work_institutions.join(works.select("work_id"), "work_id", "left_semi")
+    hits = near.join(tracked, "institution_id", "left_semi").select("work_id")
     return works.join(hits, "work_id", "left_semi")
 
 

@@ -97,14 +97,18 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
     records = C.with_role(P.with_contact_flags(T.with_domain_names(records)))
     if limits.require_contact:
         records = P.require_contact(records)
-    extra = {}
-    if limits.size_budget is not None:
-        sized = cut_lineage(P.estimated_bytes(records, limits.vector_format))
-        extra["before_pruning"] = sized.count()
-        records = P.prune_to_budget(sized, limits.size_budget).drop("bytes")
+    records, extra = within_budget(records, limits)
     return Built(records, recent, tags, extra)
 
 
+def within_budget(records: DataFrame, limits: Limits) -> tuple[DataFrame, dict]:
+    """The most important people that fit the size budget, and how many there were before the cut."""
+    if limits.size_budget is None:
+        return records, {}
+    sized = cut_lineage(P.estimated_bytes(records, limits.vector_format))
+    return P.prune_to_budget(sized, limits.size_budget).drop("bytes"), {"before_pruning": sized.count()}
+
+
 def tag_lists(tags: DataFrame) -> DataFrame:
     """Tags (at most eight per person) folded into one ordered array."""
     lists = tags.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_t"))

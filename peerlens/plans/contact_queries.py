@@ -92,24 +92,24 @@ def _(t: Tables):
     return C.with_registered_domain(t.texts("pages"), "url").select("page_id", "registered_domain")
 
 
-# Names: the first three words of a text, folded, letters only.
+# Names: whole texts, folded, letters only.
 NAMES_SQL = """, words AS (
-  SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS name, lang, source, n_chars FROM documents),
+  SELECT doc_id, text AS name, lang, source, n_chars FROM documents),
 tok AS (SELECT *, list_filter(regexp_split_to_array(strip_accents(lower(name)), '[^a-z]+'), lambda x: x <> '' AND x NOT IN
   ('dr','prof','professor','mr','mrs','ms','sir','dame','phd','md','frs','jr','sr')) AS tk FROM words),
 keyed AS (SELECT *, CASE WHEN len(tk) > 0 THEN substr(tk[1], 1, 1) || '|' || tk[-1] END AS name_key FROM tok),
-bench AS (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(array_to_string(string_split(text, ' ')[1:3], ' '))), '[^a-z]+'), lambda x: x <> '' AND x NOT IN
+bench AS (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z]+'), lambda x: x <> '' AND x NOT IN
   ('dr','prof','professor','mr','mrs','ms','sir','dame','phd','md','frs','jr','sr')) AS tk FROM benchmark),
 bkeyed AS (SELECT item_id, CASE WHEN len(tk) > 0 THEN substr(tk[1], 1, 1) || '|' || tk[-1] END AS name_key FROM bench)
 """
 
 
 def named_documents(t: Tables):
-    return t.texts("documents").select("doc_id", F.substring_index("text", " ", 3).alias("name"), "lang", "source", "n_chars")
+    return t.texts("documents").select("doc_id", F.col("text").alias("name"), "lang", "source", "n_chars")
 
 
 def named_benchmark(t: Tables):
-    return t.raw("benchmark").select("item_id", F.substring_index("text", " ", 3).alias("name"))
+    return t.raw("benchmark").select("item_id", F.col("text").alias("name"))
 
 
 @query("name_keys", "F3", NAMES_SQL + "SELECT doc_id, name_key FROM keyed")

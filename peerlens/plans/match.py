@@ -19,20 +19,25 @@ def match_people(
     institutions: Sequence | None = None,
     sizes: DataFrame | None = None,
     k: int = V.MAX_MATCHES,
-    cap: int = V.MATCH_SCOPE_PEOPLE,
+    cap: int | None = None,
     dim: int | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Choose how to rank (V10): exact over picked institutions, else the clustered index, else the default scope.
+    """Rank exactly, over picked institutions or everyone, unless the caller asks for less.
 
-    `sizes(institution_id, rank, people)` limits the default scope when a
-    truncated build publishes no index; without it everyone is ranked.
+    `approximate` searches the clustered index of `centroids` and may miss matches. `cap` people, the best-ranked
+    institutions by `sizes(institution_id, rank, people)`, limit the scope where a caller wants that.
     """
+    if approximate and (centroids is None or "cluster" not in people_vectors.columns):
+        raise ValueError("an approximate search needs centroids and clustered vectors")
+    if cap is not None and sizes is None:
+        raise ValueError("a cap needs the sizes of institutions")
     if institutions is not None:
         picked = people_vectors.where(F.col("institution_id").isin(list(institutions)))
         return exact(profiles, picked, k, dim)
-    if centroids is not None and "cluster" in people_vectors.columns:
+    if approximate:
         return vectors.search_ivf(profiles, people_vectors, centroids, k, dim=dim)
-    if sizes is not None:
+    if cap is not None:
         scope = pick_scope(sizes, cap).select("institution_id")
         people_vectors = people_vectors.join(scope, "institution_id", "left_semi")
     return exact(profiles, people_vectors, k, dim)

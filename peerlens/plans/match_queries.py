@@ -456,7 +456,7 @@ def _(t: Tables):
 def _(t: Tables):
     v = people_vectors(t)
     centroids = X.train_centroids(v, seed=7)
-    return match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20)
+    return match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20, approximate=True)
 
 
 @query(
@@ -466,10 +466,24 @@ def _(t: Tables):
 def _(t: Tables):
     v = people_vectors(t)
     centroids = X.train_centroids(v, seed=7)
-    found = match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20)
+    found = match_people(label_profiles(t), X.assign_clusters(v, centroids), centroids, k=20, approximate=True)
     return found.where("rank = 1").select("profile_id", "person_id", "score")
 
 
+@query(
+    "trained_index_recall", "V7 V8 V9 V10",
+    "SELECT DISTINCT label AS profile_id, true AS enough FROM embeddings",
+)
+def _(t: Tables):
+    """Whether the trained index finds nine of ten of the exact ranking's matches."""
+    v, profiles = people_vectors(t), label_profiles(t)
+    centroids = X.train_centroids(v, seed=7)
+    found = match_people(profiles, X.assign_clusters(v, centroids), centroids, k=20, approximate=True)
+    exact = match_people(profiles, v, k=20)
+    hits = exact.join(found.select("profile_id", "person_id", F.lit(1).alias("hit")), ["profile_id", "person_id"], "left")
+    return hits.groupBy("profile_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(
     "hybrid_matches", "V11",
     OVERLAP_SQL + """, b AS (SELECT profile_id, row_number() OVER (ORDER BY profile_id) % 10 AS label FROM prof),

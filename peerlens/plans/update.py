@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import cut_lineage
 from ..operators import incremental, people, topics, works
 from ..sources import readers, writers
-from .build import Built, Limits, publish, tag_lists
+from .build import Built, Limits, publish, tag_lists, within_budget
 
 
 @dataclass
@@ -77,15 +77,17 @@ def refresh_build(
     overlap_days: int = 30,
     limits: Limits | None = None,
     target: str | None = None,
+    since: dt.date | None = None,
 ) -> DataFrame:
     """Update the build under `root` and stamp the run (C2, C4, S12). Returns the statistics row.
 
-    With `target` the new build goes to another root and the old one stays
+    Works are scanned from `since`, or from the last run less the overlap. The size budget of `limits` holds as in a full
+    build. With `target` the new build goes to another root and the old one stays
     untouched until readers are switched; without it files are replaced in
     place, which is why the stored tables are checkpointed first.
     """
     spark = changed_works.sparkSession
-    window = incremental.change_window(spark.read.parquet(f"{root}/runs"), as_of.date(), overlap_days)
+    window = incremental.change_window(spark.read.parquet(f"{root}/runs"), as_of.date(), overlap_days, since)
     institutions = cut_lineage(spark.read.parquet(f"{root}/institutions"))
     if "extra_ids" not in institutions.columns:
         none = F.lit(None).cast(f"array<{institutions.schema['institution_id'].dataType.simpleString()}>")
@@ -109,10 +111,11 @@ def refresh_build(
         records = topics.with_domain_names(records.drop("domains"))
     after_tags = cut_lineage(after.tags)
     records = records.join(works.publication_arrays(publications), "person_id", "left").join(tag_lists(after_tags), "person_id", "left")
+    records, extra = within_budget(records, limits or Limits())
     if target is not None:
         writers.snapshot(spark, root, target)  # run history goes along
     publish(
-        Built(cut_lineage(records), publications, after_tags), institutions, target or root, as_of, limits, "update",
+        Built(cut_lineage(records), publications, after_tags, extra), institutions, target or root, as_of, limits, "update",
         window_from=window[0], window_to=window[1], **row.asDict(),
     )
     return stats

@@ -17,22 +17,18 @@ from ..functions.ranking import top_per_group
 from ..operators.works import newest_first
 
 
-def distinct_works(stream: DataFrame, ts: str = "ts", late_days: int = 30) -> DataFrame:
-    """Each person's work once; rows older than the watermark are left out."""
-    return stream.withWatermark(ts, f"{late_days} days").dropDuplicatesWithinWatermark(["person_id", "work_id"])
-
-
 def newest_per_person(works: DataFrame, n: int = V.MAX_RECENT) -> DataFrame:
-    """Newest `n` works per person, one row per work."""
-    distinct = works.dropDuplicates(["person_id", "work_id"])
-    return top_per_group(distinct, ["person_id"], newest_first(), n)
+    """Newest `n` works per person; of several versions of a work the one with the latest `ts` counts."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in works.columns])
+    latest = works.groupBy("person_id", "work_id").agg(F.max_by(whole, F.struct("ts", F.xxhash64(*works.columns))).alias("_row"))
+    return top_per_group(latest.select("_row.*"), ["person_id"], newest_first(), n)
 
 
-def stream_recent_works(stream: DataFrame, root: str, n: int = V.MAX_RECENT, late_days: int = 30, available_now: bool = True) -> StreamingQuery:
+def stream_recent_works(stream: DataFrame, root: str, n: int = V.MAX_RECENT, available_now: bool = True) -> StreamingQuery:
     """Start the job: stream(person_id, work_id, title, year, date, ts) into the log under `root`.
 
-    State holds work ids inside the overlap window only; a person with very many
-    works is cut to `n` on the map side of each batch.
+    The query holds no state: works repeated over batches meet when the log is read, so no row is too late. A
+    person with very many works is cut to `n` in each batch.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -40,7 +36,7 @@ def stream_recent_works(stream: DataFrame, root: str, n: int = V.MAX_RECENT, lat
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(f"{root}/log")
 
-    writer = distinct_works(stream, late_days=late_days).writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoint")
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -253,6 +253,16 @@ def test_picking_the_search(spark):
     sizes = spark.createDataFrame([(0, 1, 20), (1, 2, 20), (2, 3, 20)], "institution_id int, rank int, people int")
     assert {r.institution_id for r in match_people(profiles, v, sizes=sizes, k=60, cap=40).collect()} == {0, 1}
     assert match_people(profiles, v, k=60).count() == 60
+    assert match_people(profiles, v, sizes=sizes, k=60).count() == 60  # no cap unless asked for
+    with pytest.raises(ValueError):
+        match_people(profiles, v, k=5, approximate=True)
+
+
+def test_vectors_of_different_lengths_raise(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0])], "person_id long, vector array<double>").coalesce(1)
+    profiles = spark.createDataFrame([(0, [1.0, 0.0])], "profile_id long, vector array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        X.rank_cosine(profiles, ragged, 2).collect()
 
 
 def test_hybrid_is_clamped_and_needs_the_catalog(table, vocabulary):

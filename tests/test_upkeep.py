@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import incremental as I
 from peerlens.operators import quality as Q
+from peerlens.operators.people import estimated_bytes
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
 from peerlens.plans.update import Catalog, refresh_build, update_catalog
 from peerlens.sources import readers, writers
@@ -103,6 +104,7 @@ def runs(table, *rows):
 def test_change_window(table):
     assert I.change_window(runs(table, (d("2026-01-31"), None)), d("2026-03-01")) == (d("2026-01-01"), d("2026-03-01"))
     assert I.change_window(runs(table, (d("2026-01-31"), d("2026-02-10"))), d("2026-03-01"), 10)[0] == d("2026-01-31")
+    assert I.change_window(runs(table, (d("2026-01-31"), None)), d("2026-03-01"), since=d("2025-01-01"))[0] == d("2025-01-01")
 
 
 def test_update_without_a_full_build_is_refused(table):
@@ -165,6 +167,14 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
     assert {(r.person_id, r.work_id) for r in S.read_recent_works(spark, str(tmp_path / "compact")).collect()} == want
 
 
+def test_the_newest_version_of_a_work_counts(table):
+    schema = "person_id string, work_id string, title string, year int, date date, ts string"
+    old, new = ("A", "W", "first", 2020, d("2020-01-01"), "2024-01-01"), ("A", "W", "second", 2021, d("2021-01-01"), "2024-02-01")
+    late = ("A", "V", "late", 2019, d("2019-01-01"), "2010-01-01")
+    got = S.newest_per_person(table(schema, old, new, late).withColumn("ts", F.to_timestamp("ts")))
+    assert {(r.work_id, r.title) for r in got.collect()} == {("W", "second"), ("V", "late")}
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 SIZES = "institution_id string, institution_name string, people long"
@@ -275,6 +285,12 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     moved = str(tmp_path / "moved")
     refresh_build(root, dt.datetime(2026, 7, 2), new, who, where, table("person_id string, citation_count long", ("A29", 5)), limits=limits, target=moved)
     assert spark.read.parquet(f"{moved}/runs").count() == 3 and readers.read_records(spark, moved).where("citation_count = 5").count() == 1
+    half = estimated_bytes(readers.read_records(spark, root)).agg(F.sum("bytes")).first()[0] // 2
+    small, budget = str(tmp_path / "small"), Limits(per_institution=8, size_budget=half)
+    refresh_build(root, dt.datetime(2026, 7, 3), new, who, where, table("person_id string, citation_count long", ("A29", 5)), limits=budget, target=small, since=d("2026-06-21"))
+    left = readers.read_records(spark, small).count()
+    run = spark.read.parquet(f"{small}/runs").where("window_from = '2026-06-21'").first()
+    assert 0 < left < 16 and (run.works_scanned, run.pruned) == (0, 16 - left)
     again = {r.person_id: r for r in readers.read_records(spark, root).collect()}
     assert len(again) == 16
     a = again["A29"]

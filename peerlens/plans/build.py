@@ -43,7 +43,7 @@ class Limits:
     window_years: int = 10
     require_contact: bool = False
     size_budget: int | None = None
-    catalog_rows: int | None = 100_000
+    catalog_rows: int | None = None  # everyone, unless a shorter list is asked for
     record_chunk: int = V.RECORD_CHUNK
     vector_format: str = "bits"
 

@@ -89,9 +89,6 @@ NOISE_LINE = (
     r"|\bpage\s+\d+|\+?\d[\d\s().-]{8,}\d)"
 )
 LEAD_INS = r"(?i)^(?:i am |i'm |also |interested in |working on |my research is )++"
-QUICK_TEXT_CHARS = 1000
-PROFILE_TEXT_CHARS = 1200
-MAX_INTERESTS = 15
 
 # --- sizes -------------------------------------------------------------------------------
 MAX_DOMAINS = 5

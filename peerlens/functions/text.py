@@ -48,9 +48,14 @@ def given(name: str) -> Column:
     return F.coalesce(F.length(name) > 0, F.lit(False))
 
 
-def clean_label(c: Column, size: int = 80) -> Column:
-    """Squeeze white space and cut."""
-    return F.substring(F.trim(F.regexp_replace(c, SPACES, " ")), 1, size)
+def cut(c: Column, size: int | None) -> Column:
+    """The first `size` characters, or with None all of them."""
+    return c if size is None else F.substring(c, 1, size)
+
+
+def clean_label(c: Column, size: int | None = None) -> Column:
+    """Squeeze white space, and cut where a size is asked for."""
+    return cut(F.trim(F.regexp_replace(c, SPACES, " ")), size)
 
 
 def short_id(c: Column) -> Column:
@@ -167,22 +172,26 @@ def clean_topic(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[\"'`]", ""), SPACES, " "))
 
 
-def dedupe_interests(topics: Column) -> Column:
-    """Cleaned topics, at most 80 characters each, first of a case-insensitive pair, at most 15."""
-    cleaned = F.filter(F.transform(topics, clean_topic), lambda t: (t != "") & (F.length(t) <= 80))
-    pairs = F.transform(cleaned, lambda t: F.struct(t.alias("topic"), F.lower(t).alias("key")))
-    start = F.array().cast("array<struct<topic:string,key:string>>")
+def dedupe_interests(topics: Column, most: int | None = None, size: int | None = None) -> Column:
+    """Cleaned topics in order, the first of a case-insensitive pair.
+
+    With `size` longer topics are left out, with `most` only the first so many stay. Equal topics meet by sorting, so a
+    list of any length costs n log n.
+    """
+    cleaned = F.filter(F.transform(topics, clean_topic), lambda t: (t != "") if size is None else (t != "") & (F.length(t) <= size))
+    keyed = F.array_sort(F.transform(cleaned, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("at"), t.alias("topic"))))
 
-    def step(kept, t):
-        fresh = (F.size(kept) < V.MAX_INTERESTS) & ~F.array_contains(kept["key"], t["key"])
-        return F.when(fresh, F.array_append(kept, t)).otherwise(kept)
+    def firsts(pairs):
+        return F.filter(pairs, lambda p, i: (i == 0) | (F.get(pairs, i - 1)["key"] != p["key"]))
 
-    return F.aggregate(pairs, start, step, lambda kept: kept["topic"])
+    first = F.transform(F.array(keyed), firsts)[0]  # sorted once, however often the filter names it
+    kept = F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["at"], p["topic"]))), lambda p: p["topic"])
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def topics_from_text(c: Column) -> Column:
-    """Free text split into topics."""
+def topics_from_text(c: Column, words: int = 6) -> Column:
+    """Free text split into topics (D5). A part of more than `words` words is a sentence and no topic."""
     parts = F.split(c, r"(?i)[\n,;•]|\band\b|[\s\p{Z}]-[\s\p{Z}]")
     parts = F.transform(parts, lambda p: F.regexp_replace(p, V.LEAD_INS, ""))
-    short = F.filter(parts, lambda p: F.size(F.split(F.trim(F.regexp_replace(p, SPACES, " ")), " ")) <= 6)
+    short = F.filter(parts, lambda p: F.size(F.split(F.trim(F.regexp_replace(p, SPACES, " ")), " ")) <= words)
     return dedupe_interests(short)

@@ -287,7 +287,7 @@ def employment_titles(employments: DataFrame, people: DataFrame, institutions: D
     ).otherwise(tidy)
     rank = F.struct(place.alias("o"), (-F.coalesce("start", F.lit(0))).alias("s"), F.col("org").alias("n"), F.col("role").alias("r"), F.col("department").alias("d"))
     return jobs.groupBy("person_id").agg(
-        F.min_by(F.substring(full, 1, 160), F.when(F.col("_here") & (F.length("role") > 0), rank)).alias("title"),
+        F.min_by(full, F.when(F.col("_here") & (F.length("role") > 0), rank)).alias("title"),
         F.when(F.max("_here"), "match").otherwise("elsewhere").alias("affiliation"),
     )
 

@@ -49,13 +49,13 @@ def _most_cited() -> list[Column]:
     return [F.coalesce("citation_count", F.lit(0)).desc(), F.col("person_id").asc()]
 
 
-def top_people(people: DataFrame, n: int, key: str = "institution_id") -> DataFrame:
-    """The `n` most cited people of every institution."""
-    return top_per_group(people, [key], _most_cited(), n)
+def top_people(people: DataFrame, n: int | None, key: str = "institution_id") -> DataFrame:
+    """The `n` most cited people of every institution (W1); everyone with None."""
+    return people if n is None else top_per_group(people, [key], _most_cited(), n)
 
 
-def pool_institutions(people: DataFrame, aliases: DataFrame, n: int) -> DataFrame:
-    """People of an institution and of its predecessors in one list, each once, `n` most cited.
+def pool_institutions(people: DataFrame, aliases: DataFrame, n: int | None) -> DataFrame:
+    """People of an institution and of its predecessors in one list, each once, `n` most cited or everyone.
 
     aliases(institution_id, extra_id): people filed under `extra_id` count for `institution_id`.
     """

@@ -80,13 +80,13 @@ def topic_tags(author_topics: DataFrame, n: int = V.MAX_TOPIC_TAGS) -> DataFrame
     )
 
 
-def work_keywords(keywords: DataFrame, n: int = 5, rounding=F.round) -> DataFrame:
-    """A work's keywords worth keeping: score at least 0.3, rounded to 2, best `n` (A10)."""
+def work_keywords(keywords: DataFrame, n: int | None = None, rounding=F.round, least: float = V.MIN_KEYWORD_SCORE) -> DataFrame:
+    """A work's keywords worth keeping: score at least `least`, rounded to 2; all of them or the best `n` (A10)."""
     kept = keywords.withColumn("keyword", clean_label(F.col("keyword"))).where(
-        (F.length("keyword") > 0) & (F.coalesce("score", F.lit(0.0)) >= V.MIN_KEYWORD_SCORE)
+        (F.length("keyword") > 0) & (F.coalesce("score", F.lit(0.0)) >= least)
     )
     kept = kept.withColumn("score", rounding("score", 2))
-    return top_per_group(kept, ["work_id"], [F.col("score").desc(), F.col("keyword").asc()], n, "keyword_rank")
+    return kept if n is None else top_per_group(kept, ["work_id"], [F.col("score").desc(), F.col("keyword").asc()], n)
 
 
 def keyword_tags(recent: DataFrame, keywords: DataFrame, topics: DataFrame, n: int = V.MAX_KEYWORD_TAGS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.ranking import top_per_group
+from ..functions.text import cut
 
 
 def author_positions(lines: DataFrame) -> DataFrame:
@@ -152,13 +153,13 @@ def lab_sizes(recent: DataFrame) -> DataFrame:
     return out.where(F.col("lab_first_authors") > 0)
 
 
-def work_funder_labels(work_funders: DataFrame) -> DataFrame:
-    """At most two funders per work in listed order, names cut to 60 characters.
+def work_funder_labels(work_funders: DataFrame, n: int | None = None, size: int | None = None) -> DataFrame:
+    """Named funders of every work (A7); with `n` the first listed ones, with `size` names cut to it.
 
     work_funders(work_id, pos, funder)
     """
-    named = work_funders.withColumn("funder", F.substring(F.trim("funder"), 1, 60)).where(F.col("funder") != "")
-    return top_per_group(named, ["work_id"], [F.col("pos"), F.col("funder")], 2)
+    named = work_funders.withColumn("funder", cut(F.trim("funder"), size)).where(F.col("funder") != "")
+    return named if n is None else top_per_group(named, ["work_id"], [F.col("pos"), F.col("funder")], n)
 
 
 def top_funders(recent: DataFrame, work_funders: DataFrame, n: int = 3) -> DataFrame:

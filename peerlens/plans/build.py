@@ -36,7 +36,7 @@ class Inputs:
 
 @dataclass
 class Limits:
-    per_institution: int = 1000
+    per_institution: int | None = None  # everyone who meets the other criteria, unless a shorter list is asked for
     min_works: int = 20
     min_citations: int = 500
     min_h_index: int = 10

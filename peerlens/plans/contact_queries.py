@@ -385,13 +385,12 @@ def _(t: Tables):
     r""", raw AS (SELECT doc_id, lang, source, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
     ln AS (SELECT doc_id, generate_subscripts(l, 1) AS i, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS s FROM raw),
     bare AS (SELECT doc_id, i, trim(regexp_replace(s, '^[\s*•·▪◦‣\d.)-]+', '')) AS s FROM ln WHERE s <> ''),
-    prose AS (SELECT doc_id, i, substr(s, 1, 400) AS s FROM bare WHERE len(string_split(trim(s), ' ')) >= 4
+    prose AS (SELECT doc_id, i, s FROM bare WHERE len(string_split(trim(s), ' ')) >= 4
       AND NOT regexp_matches(s, '(?i)(@|https?://|www\.|linkedin\.com|github\.com|scholar\.google|orcid\.org|curriculum\s+vitae|\bpage\s+\d+|\+?\d[\d\s().-]{8,}\d)')),
     parts AS (SELECT doc_id, 0 AS i, lang || ' poetry, ' || source AS s FROM raw WHERE doc_id % 3 = 0 UNION ALL SELECT * FROM prose),
-    run AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(s) AS upto FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    fit AS (SELECT *, bool_and(k = 1 OR upto <= 1000) OVER (PARTITION BY doc_id ORDER BY k) AS kept FROM run)
+    whole AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS t FROM parts GROUP BY doc_id)
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' poetry|' || source ELSE '' END AS interests,
-      coalesce((SELECT string_agg(s, ' ' ORDER BY k) FROM fit f WHERE f.doc_id = raw.doc_id AND kept), '') AS text FROM raw""",
+      coalesce(t, '') AS text FROM raw LEFT JOIN whole USING (doc_id)""",
 )
 def _(t: Tables):
     docs = t.texts("documents").withColumn(
@@ -406,8 +405,8 @@ TOPICS_SQL = r""", parts AS (SELECT id, generate_subscripts(p, 1) AS i, unnest(p
 bare AS (SELECT id, i, regexp_replace(s, '(?i)^(i am |i''m |also |interested in |working on |my research is )+', '') AS s FROM parts),
 few AS (SELECT * FROM bare WHERE len(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ')) <= 6),
 cleaned AS (SELECT id, i, trim(regexp_replace(regexp_replace(regexp_replace(s, '^[\s*•\d.)-]+', ''), '["''`]', '', 'g'), '\s+', ' ', 'g')) AS topic FROM few),
-firsts AS (SELECT id, arg_min(topic, i) AS topic, min(i) AS i FROM cleaned WHERE topic <> '' AND length(topic) <= 80 GROUP BY id, lower(topic)),
-numbered AS (SELECT id, topic, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM firsts QUALIFY pos < 15)
+firsts AS (SELECT id, arg_min(topic, i) AS topic, min(i) AS i FROM cleaned WHERE topic <> '' GROUP BY id, lower(topic)),
+numbered AS (SELECT id, topic, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM firsts)
 """
 
 
@@ -443,9 +442,8 @@ def _(t: Tables):
     "publication_profiles", "D7",
     """, best AS (SELECT person_id, topic, row_number() OVER (PARTITION BY person_id ORDER BY max(n) DESC, topic) AS k FROM topics GROUP BY person_id, topic QUALIFY k <= 8),
     head AS (SELECT person_id, string_agg(topic, '|' ORDER BY k) AS interests, 'Research areas: ' || string_agg(topic, ', ' ORDER BY k) || '.' AS h FROM best GROUP BY 1),
-    newest AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY d DESC, work_id) AS k FROM pubs QUALIFY k <= 25),
-    fit AS (SELECT n.*, length(h) + sum(length(title) + 1) OVER (PARTITION BY person_id ORDER BY k) AS used FROM newest n JOIN head USING (person_id))
-    SELECT person_id, interests, h || ' ' || (SELECT string_agg(title, ' ' ORDER BY k) FROM fit f WHERE f.person_id = head.person_id AND used <= 1000) AS text FROM head""",
+    newest AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY d DESC, work_id) AS k FROM pubs QUALIFY k <= 25)
+    SELECT person_id, interests, h || ' ' || (SELECT string_agg(title, ' ' ORDER BY k) FROM newest f WHERE f.person_id = head.person_id) AS text FROM head""",
 )
 def _(t: Tables):
     out = R.publication_profiles(t.author_topics, t.publications)
@@ -471,7 +469,7 @@ def _(t: Tables):
     "merged_profiles", "A22",
     """, s AS (SELECT user_id AS profile_id, event_id AS pos, event_type || ' ' || event_id % 30 AS topic, CASE WHEN event_id % 5 = 0 THEN props END AS summary, 't' || event_id % 20 AS text FROM events),
     f AS (SELECT profile_id, lower(topic) AS key, arg_min(topic, pos) AS topic, min(pos) AS pos FROM s GROUP BY 1, 2),
-    k AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY pos) AS r FROM f QUALIFY r <= 15),
+    k AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY pos) AS r FROM f),
     x AS (SELECT profile_id, text, min(pos) AS pos FROM s GROUP BY 1, 2)
     SELECT profile_id, (SELECT string_agg(topic, '|' ORDER BY r) FROM k WHERE k.profile_id = p.profile_id) AS interests,
       coalesce((SELECT arg_max(summary, pos) FROM s WHERE s.profile_id = p.profile_id AND summary IS NOT NULL), '') AS summary,
@@ -501,7 +499,7 @@ def _(t: Tables):
 
 @query(
     "profile_texts", "F12",
-    """SELECT doc_id, 'Research areas: ' || lang || ', ' || source || '. about ' || lang || ' ' || substr(text, 1, 1200 - length('Research areas: ' || lang || ', ' || source || '. about ' || lang)) AS embedding_text FROM documents""",
+    """SELECT doc_id, 'Research areas: ' || lang || ', ' || source || '. about ' || lang || ' ' || text AS embedding_text FROM documents""",
 )
 def _(t: Tables):
     profiles = t.texts("documents").select(
@@ -536,7 +534,7 @@ def _(t: Tables):
     return R.verify_pins(people, docs.select(F.col("doc_id").alias("person_id"), "name"))
 
 
-@query("clean_labels", "F14", r"""SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80) AS label, CAST(doc_id AS VARCHAR) AS id FROM documents""")
+@query("clean_labels", "F14", r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS label, CAST(doc_id AS VARCHAR) AS id FROM documents""")
 def _(t: Tables):
     linked = t.texts("documents").select("doc_id", clean_label(F.col("text")).alias("label"), F.concat(F.lit("https://openalex.org/"), "doc_id", F.lit("/")).alias("id"))
     return R.with_short_ids(linked, "id")
@@ -544,11 +542,11 @@ def _(t: Tables):
 
 @query(
     "affiliation_strings", "S5",
-    """, hit AS (SELECT doc_id % 10 AS person_id, substr(trim(text), 1, 300) AS text FROM documents WHERE text LIKE '%@%')
+    """, hit AS (SELECT doc_id % 10 AS person_id, trim(text) AS text FROM documents WHERE text LIKE '%@%')
     SELECT person_id, count(DISTINCT text) AS strings FROM hit GROUP BY 1""",
 )
 def _(t: Tables):
     from ..sources.readers import affiliation_strings
 
     rows = t.texts("documents").select((F.col("doc_id") % 10).alias("person_id"), F.col("doc_id").alias("pos"), "text")
-    return affiliation_strings(rows, n=1000).groupBy("person_id").agg(F.count("*").alias("strings"))
+    return affiliation_strings(rows).groupBy("person_id").agg(F.count("*").alias("strings"))

@@ -88,10 +88,8 @@ ttags AS (
     SELECT person_id, topic, row_number() OVER (PARTITION BY person_id ORDER BY max(n) DESC, topic) AS rk
     FROM topics GROUP BY person_id, topic) WHERE rk <= 6),
 kw AS (
-  SELECT work_id, keyword, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, keyword) AS rk FROM (
-      SELECT l_orderkey AS work_id, 'K ' || p_brand AS keyword, CAST(round(CAST(max(l_quantity) / 50 AS DECIMAL(18, 9)), 2) AS DOUBLE) AS score
-      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING max(l_quantity) / 50 >= 0.3)) WHERE rk <= 5),
+  SELECT l_orderkey AS work_id, 'K ' || p_brand AS keyword, CAST(round(CAST(max(l_quantity) / 50 AS DECIMAL(18, 9)), 2) AS DOUBLE) AS score
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING max(l_quantity) / 50 >= 0.3),
 ktags AS (
   SELECT person_id, keyword AS tag, rk FROM (
     SELECT person_id, keyword, row_number() OVER (PARTITION BY person_id ORDER BY round(sum(score), 6) DESC, lower(keyword)) AS rk

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_per_group
-from ..functions.text import blank_to_null, clean_label, short_id
+from ..functions.text import blank_to_null, clean_label, cut, short_id
 from ..operators.people import join_institutions, to_catalog
 
 AUTHOR_SCHEMA = """
@@ -104,13 +104,14 @@ def read_works(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """Topic list: subfield and at most twelve cleaned keywords per topic (S3)."""
+def read_topics(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """Topic list: subfield and cleaned keywords of every topic, all of them or the first `n` (S3)."""
     raw = _read(spark, path, TOPIC_SCHEMA)
     keywords = F.filter(F.transform("keywords", lambda k: clean_label(k)), lambda k: k != "")
+    keywords = F.coalesce(keywords, F.array().cast("array<string>"))
     return raw.select(
         clean_label(F.col("display_name")).alias("topic"), F.col("subfield.display_name").alias("subfield"),
-        F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 12).alias("keywords"),
+        (keywords if n is None else F.slice(keywords, 1, n)).alias("keywords"),
     ).where("topic <> ''")
 
 
@@ -143,14 +144,14 @@ def read_contact_records(spark: SparkSession, path: str) -> dict[str, DataFrame]
     }
 
 
-def affiliation_strings(texts: DataFrame, n: int = 10, size: int = 300) -> DataFrame:
-    """Distinct affiliation strings with an address per person, cut to `size`, first `n`.
+def affiliation_strings(texts: DataFrame, n: int | None = None, size: int | None = None) -> DataFrame:
+    """Distinct affiliation strings with an address per person (S5); with `size` cut to it, with `n` the first so many.
 
     texts(person_id, pos, text)
     """
-    cut = texts.where(F.col("text").contains("@")).withColumn("text", F.substring(F.trim("text"), 1, size))
-    first = cut.groupBy("person_id", "text").agg(F.min("pos").alias("pos"))
-    return top_per_group(first, ["person_id"], [F.col("pos"), F.col("text")], n)
+    trimmed = texts.where(F.col("text").contains("@")).withColumn("text", cut(F.trim("text"), size))
+    first = trimmed.groupBy("person_id", "text").agg(F.min("pos").alias("pos"))
+    return first if n is None else top_per_group(first, ["person_id"], [F.col("pos"), F.col("text")], n)
 
 
 def read_records(spark: SparkSession, root: str, institutions: Sequence | None = None) -> DataFrame:

@@ -192,9 +192,8 @@ def test_profile_page(table):
 
 # --- profiles --------------------------------------------------------------------------------------
 
-def profile(table, text):
-    return R.document_profiles(table("doc_id int, text string", (1, text))).first()
-
+def profile(table, text, **limits):
+    return R.document_profiles(table("doc_id int, text string", (1, text)), **limits).first()
 
 
 
@@ -215,9 +214,29 @@ def test_summary_section_gives_text_only(table):
     assert got.interests == [] and got.text == "I build large models for climate science and energy systems."
 
 
-def test_long_text_is_cut(table):
-    got = profile(table, "\n".join(["many words make up this long line of text number %d" % i for i in range(100)]))
+def test_long_text_is_whole_unless_cut(table):
+    lines = ["many words make up this long line of text number %d" % i for i in range(100)]
+    assert profile(table, "\n".join(lines)).text == " ".join(lines)
+    got = profile(table, "\n".join(lines), chars=1000)
     assert len(got.text) <= 1000 and got.text.startswith("many words")
+    assert profile(table, "\n".join(lines[:2]), line_chars=10).text == "many words many words"
+
+
+def test_long_section(table):
+    lines = [f"point {i} about graphs" for i in range(40)]
+    text = "\n".join(["Research interests", *lines])
+    assert profile(table, text).interests == lines
+    assert profile(table, text, section_lines=12).interests == lines[:12]
+
+
+def test_very_many_topics(table):
+    from peerlens.functions.text import dedupe_interests
+
+    names = [f"Topic {i}" for i in range(50_000)]
+    df = table("t array<string>", (["b", "A", " a", "B", *names, "x" * 200, *names],))
+    out = df.select(dedupe_interests(F.col("t")).alias("all"), dedupe_interests(F.col("t"), most=3, size=80).alias("few")).first()
+    assert out["all"] == ["b", "A", *names, "x" * 200]
+    assert out["few"] == ["b", "A", "Topic 0"]
 
 
 def test_free_text_topics(table):
@@ -243,8 +262,11 @@ def test_publication_profile(table):
     pubs = table("person_id string, work_id int, title string, date string", *[("A", i, f"Title {i} " + "x" * 90, f"2020-01-{i + 10}") for i in range(20)], ("B", 1, "Only", "2020-01-01"))
     got = {r.person_id: r for r in R.publication_profiles(topics, pubs).collect()}
     assert got["A"].interests == [f"T{i}" for i in range(9, 1, -1)]
-    assert got["A"].text.startswith("Research areas: T9, T8") and len(got["A"].text) <= 1000 and "Title 19" in got["A"].text
+    assert got["A"].text.startswith("Research areas: T9, T8") and all(f"Title {i} " in got["A"].text for i in range(20))
     assert (got["B"].interests, got["B"].text) == ([], "Only")
+    got = {r.person_id: r.text for r in R.publication_profiles(topics, pubs, chars=1000).collect()}
+    assert got["A"].startswith("Research areas: T9, T8") and len(got["A"]) <= 1000 and "Title 19" in got["A"]
+    assert got["B"] == "Only"
 
 
 @pytest.mark.parametrize(
@@ -272,7 +294,8 @@ def test_texts(table):
     person = table("title string, domains array<string>, recent_publications array<struct<title:string>>", ("Reader", ["x", "y"], [("p",), ("",), ("q",)]), (None, [], []))
     assert [r.embedding_text for r in R.with_person_text(person).collect()] == ["Reader. Research areas: x, y. Recent work: p; q.", ""]
     prof = table("interests array<string>, summary string, text string", (["a"], "s", "t" * 2000), ([], None, "u"))
-    got = [r.embedding_text for r in R.with_profile_text(prof).collect()]
+    assert [r.embedding_text for r in R.with_profile_text(prof).collect()] == ["Research areas: a. s " + "t" * 2000, "u"]
+    got = [r.embedding_text for r in R.with_profile_text(prof, limit=1200).collect()]
     assert got[0].startswith("Research areas: a. s ttt") and len(got[0]) == 1201 and got[1] == "u"
 
 

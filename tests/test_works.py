@@ -54,10 +54,12 @@ def lab_rows(table):
 
 def test_lab_signals(table):
     funders = table("work_id int, pos int, funder string", (1, 0, "NIH"), (2, 0, "NIH"), (2, 1, "ERC"), (3, 0, "NSF"), (3, 1, "ERC"), (3, 2, "DFG"))
-    got = {r.person_id: r for r in W.lab_signals(lab_rows(table), W.work_funder_labels(funders)).collect()}
+    got = {r.person_id: r for r in W.lab_signals(lab_rows(table), W.work_funder_labels(funders, n=2)).collect()}
     assert set(got) == {"P"}
     assert (got["P"].lab_first_authors, got["P"].lab_senior_papers) == (2, 3)
     assert got["P"].recent_funders == ["ERC", "NIH", "NSF"]
+    every = W.lab_signals(lab_rows(table), W.work_funder_labels(funders)).first()
+    assert every.recent_funders == ["ERC", "NIH", "DFG"]
 
 
 def test_lab_merge_keeps_the_larger_lab(table):

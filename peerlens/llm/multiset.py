@@ -94,28 +94,50 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return hashed.withColumn("fingerprint", fingerprint(F.col("vector")))
 
 
-def with_successor(rows: DataFrame, id_col: str, carried: list[str], rows_per_stretch: int = 2000, most: int = 1000) -> DataFrame:
-    """Add next_<column> from the row that follows by descending id; after the last comes the first. Ids should be unique.
+MOST_BORDERS = 1000
 
-    Ids are cut at quantiles into stretches of about `rows_per_stretch` rows (at most `most` stretches; null ids, last in
-    the order, join the last). Within one, `lead` finds the next row; a stretch's last row takes the first row of the
-    next stretch from a table with one row per stretch. Rows with texts are shuffled once, by stretch.
+
+def _stretch(rows: DataFrame, id_col: str, rows_per_stretch: int) -> DataFrame:
+    """Add `_stretch`, a long that grows as ids fall; about `rows_per_stretch` rows have the same.
+
+    Two levels of quantiles, each near the square root of the number of stretches, so a row is compared with few
+    borders: the upper ones are literals, the lower ones a table with a row per upper stretch. Both are bounded by
+    MOST_BORDERS, the table by its square in numbers, so it is broadcast. Null ids come last.
     """
     total = rows.agg(F.count("*")).first()[0]
-    pieces = max(1, min(most, math.ceil(total / rows_per_stretch)))
-    marks = F.percentile_approx(id_col, [i / pieces for i in range(1, pieces)] or [0.5], 10_000)
-    borders = (rows.agg(marks).first()[0] or []) if pieces > 1 else []
-    borders = sorted(set(borders), reverse=True)
-    stretch = F.lit(0)
-    if borders:
-        lists = F.array(*[F.lit(b) for b in borders])
-        stretch = F.when(F.col(id_col).isNull(), F.lit(len(borders))).otherwise(F.size(F.filter(lists, lambda b: b > F.col(id_col))))
-    rows = rows.withColumn("_stretch", stretch)
+    pieces = max(1, math.ceil(total / rows_per_stretch))
+    upper = min(MOST_BORDERS, math.ceil(math.sqrt(pieces)))
+    lower = min(MOST_BORDERS, math.ceil(pieces / upper))
+    none = F.col(id_col).isNull()
+
+    def quantiles(n):
+        return F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)
+
+    def above(borders):
+        return F.size(F.filter(borders, lambda b: b > F.col(id_col)))
+
+    borders = (rows.agg(quantiles(upper)).first()[0] or []) if upper > 1 else []
+    first = F.when(none, F.lit(len(borders))).otherwise(above(F.array(*[F.lit(b) for b in borders]))) if borders else F.lit(0)
+    rows = rows.withColumn("_upper", first)
+    table = rows.groupBy("_upper").agg(quantiles(lower).alias("_lower"))
+    rows = rows.join(F.broadcast(table), "_upper")
+    second = F.when(none, F.coalesce(F.size("_lower"), F.lit(0))).otherwise(above("_lower"))
+    return rows.withColumn("_stretch", F.col("_upper").cast("long") * (MOST_BORDERS + 1) + second).drop("_upper", "_lower")
+
+
+def with_successor(rows: DataFrame, id_col: str, carried: list[str], rows_per_stretch: int = 2000) -> DataFrame:
+    """Add next_<column> from the row that follows by descending id; after the last comes the first. Ids are numbers and should be unique.
+
+    Ids are cut at quantiles into stretches of about `rows_per_stretch` rows (null ids, last in the order, join the
+    last). Within one, `lead` finds the next row; a stretch's last row takes the first row of the next stretch from a
+    table with one row per stretch. Rows with texts are shuffled once, by stretch.
+    """
+    rows = _stretch(rows, id_col, rows_per_stretch)
     following = F.struct(*[F.col(c) for c in carried])
     order = F.col(id_col).desc_nulls_last()
     heads = rows.groupBy("_stretch").agg(F.max_by(following, F.struct(F.col(id_col).isNotNull(), F.col(id_col))).alias("_head"))
     inner = Window.partitionBy("_stretch").orderBy(order)
-    # One row per stretch, at most `most`: where the next stretch that has rows begins.
+    # One number per stretch: where the next stretch that has rows begins.
     turns = Window.orderBy("_stretch")
     bounds = heads.select("_stretch").withColumn("_first", F.min("_stretch").over(turns.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     bounds = bounds.withColumn("_after", F.coalesce(F.lead("_stretch").over(turns), F.col("_first"))).select("_stretch", "_after")

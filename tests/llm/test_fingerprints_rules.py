@@ -43,7 +43,7 @@ def test_sum_is_homomorphic_and_orderless(table):
 
 
 def test_successor_of_every_row(spark, table):
-    for n, size in ((1, 5), (2, 1), (50, 7), (1000, 10)):
+    for n, size in ((1, 5), (2, 1), (50, 7), (1000, 10), (3000, 1)):
         rows = spark.range(n).select((F.col("id") * 3).alias("i"), F.col("id").cast("string").alias("t"))
         got = {r["i"]: r["next_t"] for r in multiset.with_successor(rows, "i", ["t"], size).collect()}
         assert got == {3 * i: str((i - 1) % n) for i in range(n)}

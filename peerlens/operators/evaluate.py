@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.ranking import side_by_side
-from .vectors import rank_cosine
+from .vectors import own_ranks, rank_cosine
 
 
 def self_rank(matches: DataFrame, identities: DataFrame) -> DataFrame:
-    """Best rank at which a person meets their own record (W9). identities(profile_id, person_id)"""
+    """Best rank at which a person meets their own record among given matches (W9); see `own_ranks` for all people. identities(profile_id, person_id)"""
     return matches.join(identities, ["profile_id", "person_id"], "left_semi").groupBy("profile_id").agg(F.min("rank").alias("self_rank"))
 
 
@@ -40,12 +40,15 @@ def run_status(runs: DataFrame, matches: DataFrame) -> DataFrame:
     return out.withColumn("status", status).withColumn("reason", reason).withColumn("top_score", F.when(scored, F.col("top_score")))
 
 
-def evaluate(runs: DataFrame, vectors: DataFrame, identities: DataFrame, k: int = 50) -> DataFrame:
-    """Rank every attempted run and judge it (E1). -> runs with status, reason, top_score, self_rank"""
+def evaluate(runs: DataFrame, vectors: DataFrame, identities: DataFrame) -> DataFrame:
+    """Rank every attempted run and judge it (E1). -> runs with status, reason, top_score, self_rank
+
+    `self_rank` is the place among all of `vectors`; null only for who is not among them.
+    """
     attempted = runs.where(F.col("reference").isNotNull() & F.col("vector").isNotNull())
-    matches = rank_cosine(attempted.select("profile_id", "vector"), vectors, k)
-    judged = run_status(runs, matches)
-    return judged.join(self_rank(matches, identities), "profile_id", "left").drop("vector")
+    asked = attempted.select("profile_id", "vector")
+    judged = run_status(runs, rank_cosine(asked, vectors, 1))
+    return judged.join(own_ranks(asked, vectors, identities), "profile_id", "left").drop("vector")
 
 
 def showcase(runs: DataFrame, min_score: float = V.SHOWCASE_MIN_SCORE) -> DataFrame:

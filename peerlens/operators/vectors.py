@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from ..functions.ranking import top_per_group
+from ..functions.ranking import cut_lineage, top_per_group
 from ..functions.text import evidence_words
 
 BLOCK_BYTES = 32 << 20
@@ -320,6 +320,55 @@ def rank_cosine(profiles: DataFrame, vectors: DataFrame, k: int = V.MAX_MATCHES,
     return _rank(profiles, _with_institution(vectors, allowed), k, value, clip=False, scale=1.0)
 
 
+def own_ranks(profiles: DataFrame, vectors: DataFrame, identities: DataFrame, value: str = "vector") -> DataFrame:
+    """Place of a profile's own person among all of `vectors` by cosine, however far down it is.
+
+    identities(profile_id, person_id); of several own people the best counts, profiles without one in `vectors` are left
+    out. Scores and ties are those of `rank_cosine`. One pass over the vectors per block of profiles counts who comes
+    before; a task sends one number per profile. Cuts a checkpoint. -> profile_id, self_rank
+    """
+    spark = vectors.sparkSession
+    profile_type, id_type = profiles.schema["profile_id"].dataType, vectors.schema["person_id"].dataType
+
+    @F.pandas_udf("double")
+    def closeness(asked: pd.Series, own: pd.Series) -> pd.Series:
+        a, b = (_unit_rows(np.stack(x.to_numpy()).astype(np.float64)) for x in (asked, own))
+        return pd.Series(np.round((a * b).sum(axis=1), DIGITS))
+
+    rows = vectors.where(F.col(value).isNotNull()).select("person_id", F.col(value).alias("_row"))
+    own = profiles.select("profile_id", "vector").join(identities.select("profile_id", F.col("person_id").cast(id_type)), "profile_id")
+    own = own.join(rows, "person_id").select("profile_id", "vector", "person_id", closeness("vector", "_row").alias("score"))
+    best = cut_lineage(top_per_group(own, ["profile_id"], [F.col("score").desc(), F.col("person_id").asc()], 1))
+    out = None
+    for block in _blocks(best, _block_count(best, 1), ["profile_id", "vector", "person_id", "score"]):
+        matrix = _unit_rows(np.array([r["vector"] for r in block], dtype=np.float64))
+        people = np.array([r["person_id"] for r in block])
+        shared = spark.sparkContext.broadcast(([r["profile_id"] for r in block], matrix, people, np.array([r["score"] for r in block])))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, queries, people, scores = shared.value
+            before = np.zeros(len(names), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, ids = _unit_rows(_matrix(batch.column(1))), batch.column(0).to_numpy(zero_copy_only=False)
+                for start in range(0, len(names), 256):
+                    mine, score = people[start : start + 256], scores[start : start + 256]
+                    found = np.round(queries[start : start + 256] @ x.T, DIGITS)
+                    at, who = np.nonzero(found >= score[:, None])
+                    ahead = ((found[at, who] > score[at]) | (ids[who] < mine[at])) & (ids[who] != mine[at])
+                    before[start : start + 256] += np.bincount(at[ahead], minlength=len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(names, type=name_type), pa.array(before)], names=["profile_id", "n"])
+
+        name_type = _arrow_type(profile_type.simpleString())
+        counted = rows.mapInArrow(count, f"profile_id {profile_type.simpleString()}, n long")
+        out = counted if out is None else out.unionByName(counted)
+    if out is None:
+        return best.select("profile_id", F.lit(1).alias("self_rank"))
+    ahead = out.groupBy("profile_id").agg((F.sum("n") + 1).cast("int").alias("self_rank"))
+    return best.select("profile_id").join(ahead, "profile_id")
+
+
 def bit_scale(dim: int) -> float:
     """Brings sign products to the scale of the cosine: 1 / (sqrt(dim) * sqrt(2 / pi))."""
     return 1 / (math.sqrt(dim) * math.sqrt(2 / math.pi))

@@ -269,7 +269,7 @@ first_ AS (SELECT label AS profile_id, min(vec_id) AS own FROM embeddings GROUP
 p AS (SELECT profile_id, own, embedding::DOUBLE[] AS pe FROM first_ JOIN embeddings ON vec_id = own),
 cand AS (SELECT * FROM v WHERE person_id NOT IN (SELECT own FROM first_ WHERE profile_id % 2 = 1)),
 m AS (SELECT profile_id, person_id, own, round(list_cosine_similarity(pe, e), 6) AS score, row_number() OVER (PARTITION BY profile_id ORDER BY round(list_cosine_similarity(pe, e), 6) DESC, person_id) AS rk
-      FROM p, cand QUALIFY rk <= 50),
+      FROM p, cand),
 r AS (SELECT profile_id, CASE WHEN profile_id <> 9 THEN own END AS reference, profile_id * 50 AS chars,
    (SELECT max(score) FROM m WHERE m.profile_id = p.profile_id) AS top, (SELECT min(rk) FROM m WHERE m.profile_id = p.profile_id AND person_id = m.own) AS self_rank FROM p),
 j AS (SELECT *, CASE WHEN reference IS NULL THEN 'skipped' WHEN chars < 200 THEN 'failed' WHEN top >= 0.3 THEN 'passed' ELSE 'failed' END AS status FROM r)
@@ -321,7 +321,19 @@ def _(t: Tables):
 def _(t: Tables):
     own = t.raw("embeddings").groupBy(F.col("label").alias("profile_id")).agg(F.min("vec_id").alias("person_id"))
     candidates = people_vectors(t).join(own.where("profile_id % 2 = 1").select("person_id"), "person_id", "left_anti")
-    return V.self_rank(X.rank_cosine(label_profiles(t), candidates, 50), own)
+    return X.own_ranks(label_profiles(t), candidates, own)
+
+
+@query(
+    "distant_self_ranks", "W9",
+    EVAL_SQL + """, late AS (SELECT label AS profile_id, max(vec_id) AS last FROM embeddings GROUP BY 1)
+    SELECT profile_id, CAST(rk AS INT) AS self_rank FROM m JOIN late USING (profile_id) WHERE person_id = last""",
+)
+def _(t: Tables):
+    by_label = t.raw("embeddings").groupBy(F.col("label").alias("profile_id"))
+    own, late = (by_label.agg(f("vec_id").alias("person_id")) for f in (F.min, F.max))
+    candidates = people_vectors(t).join(own.where("profile_id % 2 = 1").select("person_id"), "person_id", "left_anti")
+    return X.own_ranks(label_profiles(t), candidates, late)
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------

@@ -312,6 +312,10 @@ def test_evaluation(spark, table):
     assert got[1][:3] == ("failed", "too little text", None)
     assert got[2][:2] == ("skipped", "no reference")
     assert got[3][0] == "failed"
+    far = V.evaluate(runs, vector_table(spark, people), spark.createDataFrame([(0, 9), (0, 60), (1, 4)], "profile_id int, person_id long"))
+    unit = people / np.linalg.norm(people, axis=1, keepdims=True)
+    want = {p: [int(i) for i in np.lexsort((np.arange(50), -np.round(unit @ unit[p], 6)))].index(who) + 1 for p, who in ((0, 9), (1, 4))}
+    assert {r.profile_id: r.self_rank for r in far.collect()} == {**want, 2: None, 3: None}
     s = V.summarize_runs(judged).first()
     assert (s.runs_attempted, s.runs_passed, s.runs_skipped, s.pass_ratio, s.status) == (3, 1, 1, 0.333, "failing")
     assert V.summarize_runs(judged.where("status = 'skipped'")).first().status == "not_run"

@@ -236,7 +236,7 @@ def score_texts(
 ) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`; logarithms to base 10.
 
-    `train` says which rows may be learned from (null: no). A null text is empty; an empty text is its end mark. Rows
+    Ids are whole numbers, or null. `train` says which rows may be learned from (null: no). A null text is empty; an empty text is its end mark. Rows
     repeated with one id and text come back as often. Without training rows the base knows no tokens and the pieces keep
     the vocabulary's weights. `base_score` is the smoothed unigram of whole words, see the query's contract.
     """
@@ -253,7 +253,9 @@ def score_texts(
     shared = docs.sparkSession.sparkContext.broadcast(top)
     # The end mark is looked up even if the corpus has no training row, and so no such count.
     nothing = (0, math.log10(0.1 / (tokens + 0.1 * (known + 1))), end_log / math.log(10))
-    fields = pa.schema([("id", docs.select(id_col).schema[0].dataType.simpleString() and pa.int64()), ("train", pa.bool_()), ("mark", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("log", pa.float64())])
+    fields = pa.schema(
+        [("id", pa.int64()), ("train", pa.bool_()), ("mark", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("log", pa.float64())]
+    )
 
     def split(batches):
         frequent = shared.value

@@ -4,9 +4,12 @@ Strong findings stand alone: assignments, access identifiers and long
 hexadecimal strings. Weak candidates (a mixed string that could be a secret, an
 endpoint, an account name) are reported only when a complementary part lies in
 the same scope: each weak interval is joined with the intervals of the
-complementary roles within `scope` code points before or behind it. Both sides
-are sorted by position, so the join looks only at the nearest neighbour on each
-side and costs n log n for any number of parts.
+complementary roles within `scope` code points before or behind it. A partner
+is another piece of text: an interval that overlaps the candidate does not
+count, and a mixed string in the host, path or fragment of an endpoint is a part of that
+link and no candidate. One in the userinfo or query of an endpoint stays, and
+the two complete each other. Both sides are sorted by position, so the join looks only at the nearest
+neighbour on each side and costs n log n for any number of parts.
 
 Everything a document needs is in its own row, so nothing is shuffled.
 """
@@ -32,6 +35,8 @@ LEAST_VALUE = 8
 # Weak parts: a string of 20 or more with letters in both cases and digits, a place to connect to, a named account.
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+")
+# What stands before the host: up to the last @ of the authority, or of the rest if the colon is not that of a port (passwords may hold a slash).
+USERINFO = re.compile(r"[^/?#:@]*:(?!\d*(?:[/?#]|$)).*@|[^/?#]*@")
 ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]+)""", re.IGNORECASE | re.ASCII)
 # What completes what: a string needs an identifier or an endpoint, an endpoint or an account needs something secret.
 PARTNERS = {"weak": ("access", "account", "endpoint"), "endpoint": ("assign", "access", "weak"), "account": ("assign", "weak")}
@@ -42,8 +47,29 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
+def _may_hold(text: str, endpoint: tuple[int, int]) -> list[tuple[int, int]]:
+    """Userinfo and query of an endpoint, where secrets stand; the rest says where to connect to."""
+    host, end = text.index("://", *endpoint) + 3, endpoint[1]
+    held = []
+    if user := USERINFO.match(text, host, end):
+        held.append((host, user.end()))
+        host = user.end()
+    fragment = text.find("#", host, end)
+    query = text.find("?", host, end if fragment < 0 else fragment)
+    return [*held, (query, end if fragment < 0 else fragment)] if query >= 0 else held
+
+
+def _around(spans: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | None:
+    """The one of some disjoint spans that holds (a, b)."""
+    at = bisect.bisect_right(spans, a, key=lambda s: s[0]) - 1
+    return spans[at] if at >= 0 and b <= spans[at][1] else None
+
+
 def find_parts(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Intervals of every kind, in code points, each list by start. Weak ones that touch a strong one are left out."""
+    """Intervals of every kind, in code points, each list by start.
+
+    Weak ones that touch a strong one are left out, and so are mixed strings in an endpoint beside its userinfo and query.
+    """
     parts: dict[str, list[tuple[int, int]]] = {
         "assign": [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE],
         "access": [m.span() for m in ACCESS.finditer(text)],
@@ -61,7 +87,17 @@ def find_parts(text: str) -> dict[str, list[tuple[int, int]]]:
         return before < 0 or reach[before] <= span[0]
 
     endpoints = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
-    parts["weak"] = [m.span() for m in WEAK.finditer(text) if _mixed(m[0]) and clear(m.span())]
+    holding: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def apart(span):
+        link = _around(endpoints, *span)
+        if link is None:
+            return True
+        if link not in holding:
+            holding[link] = _may_hold(text, link)
+        return any(c < span[1] and span[0] < d for c, d in holding[link])
+
+    parts["weak"] = [m.span() for m in WEAK.finditer(text) if _mixed(m[0]) and clear(m.span()) and apart(m.span())]
     parts["endpoint"] = [s for s in endpoints if clear(s)]
     parts["account"] = [m.span() for m in ACCOUNT.finditer(text) if clear(m.span())]
     return parts
@@ -73,19 +109,19 @@ def linked_spans(text: str | None, scope: int = SCOPE) -> list[tuple[str, int, i
         return []
     parts = find_parts(text)
     starts = {kind: [a for a, _ in spans] for kind, spans in parts.items()}
-    tails = {}
-    for kind, spans in parts.items():
-        furthest, tails[kind] = -1, []
-        for _, b in spans:
-            furthest = max(furthest, b)
-            tails[kind].append(furthest)
+    ends = {kind: [b for _, b in spans] for kind, spans in parts.items()}  # spans of a kind are disjoint, so these are sorted too
+    inside = {(a, b): link for a, b in parts["weak"] if (link := _around(parts["endpoint"], a, b))}
+    joined = {"weak": inside.keys(), "endpoint": set(inside.values()), "account": ()}
 
     def complete(kind, a, b):
+        if (a, b) in joined[kind]:
+            return True
         for role in PARTNERS[kind]:
-            behind = bisect.bisect_left(starts[role], a)
-            if behind < len(starts[role]) and starts[role][behind] - b <= scope:
+            ahead = bisect.bisect_left(starts[role], b)
+            if ahead < len(starts[role]) and starts[role][ahead] - b <= scope:
                 return True
-            if behind and a - tails[role][behind - 1] <= scope:
+            behind = bisect.bisect_right(ends[role], a)
+            if behind and a - ends[role][behind - 1] <= scope:
                 return True
         return False
 

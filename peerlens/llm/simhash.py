@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import cut_lineage
-from .common import fresh
+from .common import fresh, join_null_safe
 from .components import components
 
 K = 3
@@ -245,17 +245,34 @@ def near_duplicates(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
     return rows.join(classes, "fp").select("id", "fp", "root", "component_id")
 
 
+def _in_fixed_order(df: DataFrame) -> Column:
+    """Something to order rows by that depends on their values alone; maps and variants, which Spark cannot hash, are left out."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def without_near_duplicates(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that of the smallest id; of rows repeated under that id one stays.
+    """One document of each component stays: that of the smallest id; of rows repeated under that id one of the component stays.
 
-    A component whose rows all lack an id keeps one of them. Columns of `docs` come back as they were.
+    Where an id stands on different texts, each component of that smallest id keeps a row of its own. A component whose
+    rows all lack an id keeps one of them. Among equal candidates a hash of the row decides, so the choice is
+    repeatable. Columns of `docs` come back as they were.
     """
-    classes = cut_lineage(near_duplicates(docs, k, id_col, text_col).groupBy("root", "component_id").agg(F.min("fp").alias("_near_fp")))
-    rows = fresh(docs, "_near_id", "_near_fp", "_near_row")
+    near = cut_lineage(near_duplicates(docs, k, id_col, text_col))
+    # Of the rows that a component may keep, those of one fingerprint.
+    classes = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("fp").alias("_near_fp"))
+    mixed = near.where("id is not null").groupBy("id").agg((F.min("fp") != F.max("fp")).alias("_mixed"))
+    classes = cut_lineage(classes.join(mixed, "id", "left").select(F.col("id").alias("_near_id"), "_near_fp", "_mixed"))
+    rows = fresh(docs, "_near_id", "_near_fp", "_near_row", "_near_order", "_mixed")
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_near_row")
-    ids = classes.where("component_id is not null").select(F.col("component_id").alias("_near_id")).distinct()
-    named = rows.join(ids, F.col(id_col) == F.col("_near_id"), "left_semi").groupBy(F.col(id_col)).agg(F.first(whole).alias("_near_row"))
-    bare = rows.where(F.col(id_col).isNull()).withColumn("_near_fp", fingerprint_column(F.col(text_col)))
-    bare = bare.join(classes.where("component_id is null").select("_near_fp"), "_near_fp").groupBy("_near_fp").agg(F.first(whole).alias("_near_row"))
-    kept = named.select("_near_row").unionByName(bare.select("_near_row"))
+    keyed = rows.select(F.col(id_col).alias("_near_id"), F.col(text_col).alias("_near_text"), whole, _in_fixed_order(rows).alias("_near_order"))
+    first = F.min_by("_near_row", "_near_order").alias("_near_row")
+    # An id on one fingerprint is in one component: no need to look at its text again.
+    named = keyed.join(classes.where("not _mixed").select("_near_id"), "_near_id", "left_semi").groupBy("_near_id").agg(first).select("_near_row")
+    bare = keyed.where("_near_id is null")
+    several = classes.where("_mixed").select("_near_id").distinct()
+    if several.take(1):
+        bare = bare.unionByName(keyed.join(several, "_near_id", "left_semi"))
+    bare = bare.withColumn("_near_fp", fingerprint_column(F.col("_near_text")))
+    wanted = classes.where("_near_id is null or _mixed").select("_near_id", "_near_fp")
+    kept = named.unionByName(join_null_safe(bare, wanted, ["_near_id", "_near_fp"]).groupBy("_near_id", "_near_fp").agg(first).select("_near_row"))
     return kept.select(*[F.col(f"_near_row.`{c}`") for c in docs.columns])

@@ -128,6 +128,19 @@ def test_simhash_of_odd_rows(table):
     assert simhash.near_duplicates(docs.where("false")).collect() == [] and simhash.without_near_duplicates(docs.where("false")).collect() == []
 
 
+def test_each_component_keeps_a_row_where_an_id_has_several_texts(table):
+    one = "one two three four five six seven eight nine ten " * 3
+    two = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
+    rows = [(5, one, "a"), (5, two, "b"), (9, two, "c"), (5, two, "d")]
+    for extra, want in (([], [(5, one), (5, two)]), ([(3, one, "e")], [(3, one), (5, two)]), ([(None, "no id " * 9, "f"), (None, "no number " * 9, "g")], [(5, one), (5, two), (None, "no id " * 9), (None, "no number " * 9)])):
+        found = []
+        for order in (1, -1):
+            docs = table("doc_id long, text string, more string", *(rows + extra)[::order])
+            found.append(sorted(map(tuple, simhash.without_near_duplicates(docs).collect()), key=str))
+        assert [r[:2] for r in found[0]] == sorted(want, key=str)
+        assert found[0] == found[1]
+
+
 def _removed(docs, window=13):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs.items()}
     owner = {}

@@ -217,9 +217,12 @@ def _settled(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
         cut[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (starts[1:] > starts[:-1] + 1)
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(ids)) - 1
-        length = np.minimum(starts[last] - starts[first] + 1, LONGEST)
+        length = starts[last] - starts[first] + 1
+        pieces = -(-length // LONGEST)  # a longer run becomes several spans
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, length = np.repeat(first, pieces), np.minimum(np.repeat(length, pieces) - piece * LONGEST, LONGEST)
         # What is decided is dealt out by document.
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first] ^ marks[first], marks[first], ids[first], ~(starts[first] << 24 | length))], schema=_CANDIDATE)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first] ^ marks[first], marks[first], ids[first], ~(starts[first] + piece * LONGEST << 24 | length))], schema=_CANDIDATE)
 
 
 def covered_windows(rows: DataFrame, sketch: list[np.ndarray], bits: int, window: int = WINDOW) -> DataFrame:

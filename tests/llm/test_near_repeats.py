@@ -185,6 +185,20 @@ def test_repeats_of_odd_rows(table):
     assert substrings.remove_repeats(docs.where("false")).collect() == []
 
 
+def test_runs_longer_than_a_span_are_split(monkeypatch, table):
+    monkeypatch.setattr(substrings, "LONGEST", 3)
+    n = 10
+    hashes = np.arange(2 * n, dtype=np.uint64).reshape(n, 2)
+    gathered = [(np.full(n, i), np.full(n, 7), np.arange(n), hashes) for i in (1, 2)]
+    decided = list(substrings._settled(gathered))[1]
+    spans = [(~x >> 24, ~x & 0xFFFFFF) for x in decided["span"].to_pylist()]
+    assert spans == [(0, 3), (3, 3), (6, 3), (9, 1)] and decided["id"].to_pylist() == [2] * 4 and decided["h2_mark"].to_pylist() == [7] * 4
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = table("doc_id long, text string", (1, passage), (2, f"{passage} end"), (3, f"start {passage}")).repartition(1)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: (60, 0, passage), 2: (61, 60, "end"), 3: (61, 60, "start")}
+
+
 def test_a_window_shared_by_all_is_one_row_per_portion(spark):
     """What goes into the shuffle does not grow with the documents that share a window."""
     passage = " ".join(f"p{i}" for i in range(13))

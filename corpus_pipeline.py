@@ -15,8 +15,8 @@ from peerlens.llm import mixing, packing, preference, secrets, simhash  # noqa:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking puts below its cut go. All labels may be learned from."""
-    model = preference.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the pairwise ranking puts below its cut go. All labels may be learned from; without both kinds all stay."""
+    model = preference.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), one_sided="neutral")
     return preference.keep_good(docs, model)
 
 

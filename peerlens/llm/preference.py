@@ -70,7 +70,10 @@ def feature_column(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class PairwiseModel:
-    """score = weights . (features - centre) / spread, clipped at 4 spreads; shown as sigmoid((score - cut) * slope)."""
+    """score = weights . (features - centre) / spread, clipped at 4 spreads; shown as sigmoid((score - cut) * slope).
+
+    `NEUTRAL` is the model of no preference: every score is 1/2, the cut, so it keeps everything.
+    """
 
     centre: tuple[float, ...]
     spread: tuple[float, ...]
@@ -91,6 +94,9 @@ def basis(rows: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarra
     return np.concatenate([z, z * z / 4], axis=1)
 
 
+NEUTRAL = PairwiseModel((0.0,) * len(FEATURES), (1.0,) * len(FEATURES), (0.0,) * 2 * len(FEATURES), 0.0, 1.0)
+
+
 def preference_pairs(rows: DataFrame, partners: int = PAIRS, seed: int = 0) -> DataFrame:
     """Feature differences (good minus bad) of `partners` pairs per document of the rarer side and at least one of the other.
 
@@ -112,12 +118,14 @@ def preference_pairs(rows: DataFrame, partners: int = PAIRS, seed: int = 0) -> D
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0,
+    one_sided: str = "raise",
 ) -> PairwiseModel:
     """Learn from about `sample` rows of `labels` (id, label) at most; null ids and labels are left out. Runs jobs.
 
     The sampled labels are bounded by `sample`, so they are broadcast to the documents and no text is shuffled. Documents
-    repeated under one id count once. Raises without both kinds of label.
+    repeated under one id count once. Without any labelled document, as with empty tables, the model is NEUTRAL. Where all
+    labelled documents are of one kind this raises, or gives NEUTRAL with `one_sided="neutral"`.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("_good"))
     share = min(1.0, sample / max(1, known.count()))
@@ -127,7 +135,9 @@ def train(
     width = len(FEATURES)
     stats = known.agg(*[f(F.col("_f")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     if stats[0] is None:
-        raise ValueError("preference pairs need labelled documents of both kinds")
+        return NEUTRAL
+    if one_sided == "neutral" and known.agg(F.count_distinct("_good")).first()[0] < 2:
+        return NEUTRAL
     centre, spread = np.array(stats[0::2], float), np.array(stats[1::2], float)
     spread = np.where(spread > 1e-6, spread, np.inf)  # a feature that does not vary counts for nothing
 

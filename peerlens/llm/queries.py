@@ -85,7 +85,7 @@ def op9_linked_secrets(spark: SparkSession, root: str) -> DataFrame:
 
 def op10_pairwise_quality(spark: SparkSession, root: str) -> DataFrame:
     docs, labels = documents(spark, root).select("doc_id", "text"), documents(spark, root, "labels")
-    model = preference.train(docs, labels.where(~held_out(HELD_OUT_THIRD)))
+    model = preference.train(docs, labels.where(~held_out(HELD_OUT_THIRD)), one_sided="neutral")
     scored = preference.quality_scores(docs, model)
     return scored.select("doc_id", held_out(HELD_OUT_THIRD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

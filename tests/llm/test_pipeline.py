@@ -1,7 +1,7 @@
 import os
 
 import corpus_pipeline
-from peerlens.llm import mixing, packing, preference, secrets, simhash
+from peerlens.llm import mixing, packing, preference, queries, secrets, simhash
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -41,6 +41,21 @@ def test_run_is_the_stages_in_a_row(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_empty_tables_and_labels_of_one_kind(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{ROOT}/{name}.parquet") for name in ("documents", "labels"))
+    some = docs.limit(40).localCheckpoint()
+    cases = {"no_docs": (docs.where("false"), labels), "no_labels": (some, labels.where("false")), "nothing": (docs.where("false"), labels.where("false")), "one_kind": (some, labels.where("quality = 1"))}
+    for name, (d, l) in cases.items():
+        root = str(tmp_path / name)
+        d.write.parquet(f"{root}/documents.parquet")
+        l.write.parquet(f"{root}/labels.parquet")
+        scored = queries.op10_pairwise_quality(spark, root).collect()
+        assert len(scored) == d.count() and all(r["score"] == 0.5 and r["predicted"] == 1 for r in scored), name
+        assert corpus_pipeline.quality(spark, d, root).count() == d.count(), name
+        if name != "one_kind":
+            assert (corpus_pipeline.run(spark, root).count() > 0) == (name == "no_labels"), name
+
+
 def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(corpus_pipeline.__file__)
     for folder, _, names in os.walk(f"{root}/peerlens"):

@@ -6,8 +6,9 @@ the weights. The cut is a quantile of the scores of the labelled documents, the
 share of bad ones among them, and a score is shown as sigmoid(score - cut), so
 that 1/2 is the cut.
 
-Labels are the only bounded part: at most `sample` labelled rows, the first by a
-seeded hash of the id, are learned from. Scoring covers every text and has no shuffle.
+Only the weights come from a bounded part: at most `sample` labelled rows, the first by a
+seeded hash of the id, are learned from. The cut is taken over all labelled
+documents. Scoring covers every text and has no shuffle.
 """
 
 from __future__ import annotations
@@ -117,19 +118,49 @@ def preference_pairs(rows: DataFrame, partners: int = PAIRS, seed: int = 0) -> D
     return joined.select("id", F.zip_with("_u", "_v", lambda u, v: F.round(u - v, 9)).alias("difference"))  # equal features differ by exactly 0
 
 
+def _at_ranks(scores: DataFrame, ranks: set[int], few: int = 100_000, bins: int = 1 << 16) -> dict[int, float]:
+    """Values of `raw` at ranks counted from 0, exact for any number of rows: bins are counted, and those of the ranks opened.
+
+    The bin number never falls as `raw` rises, so bins keep the order; the driver sees `bins` counts or `few` values at a time.
+    """
+    low, high, n = scores.agg(F.min("raw"), F.max("raw"), F.count("raw")).first()
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if n <= few:
+        values = sorted(r["raw"] for r in scores.select("raw").collect())
+        return {r: values[r] for r in ranks}
+    at = F.floor((F.col("raw") - low) / (high - low) * bins)
+    out, below = {}, 0
+    for bin_, held in sorted((r["at"], r["n"]) for r in scores.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()):
+        if inside := {r - below for r in ranks if below <= r < below + held}:
+            out |= {r + below: v for r, v in _at_ranks(scores.where(at == bin_), inside, few, bins).items()}
+        below += held
+    return out
+
+
+def _quantiles(scores: DataFrame, shares: list[float]) -> list[float]:
+    """Quantiles of `raw`, between two ranks in proportion."""
+    last = scores.count() - 1
+    places = [s * last for s in shares]
+    values = _at_ranks(scores, {f(p) for p in places for f in (math.floor, math.ceil)})
+    return [values[math.floor(p)] + (values[math.ceil(p)] - values[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0,
     one_sided: str = "raise",
 ) -> PairwiseModel:
     """Learn from about `sample` rows of `labels` (id, label) at most; null ids and labels are left out. Runs jobs.
 
-    The sampled labels are bounded by `sample`, so they are broadcast to the documents and no text is shuffled. Documents
+    The sampled labels are bounded by `sample`, so they are broadcast to the documents and no text is shuffled. The cut
+    comes from the scores of all labelled documents; where not all were learned from, all documents are scored once for
+    it, and only their ids and scores are shuffled. Documents
     repeated under one id count once. Without any labelled document, as with empty tables, the model is NEUTRAL. Where all
     labelled documents are of one kind this raises, or gives NEUTRAL with `one_sided="neutral"`.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("_good"))
-    share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(seeded(seed, "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("_good"))
+    share = min(1.0, sample / max(1, labelled.count()))
+    known = labelled.where(F.pmod(seeded(seed, "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
     known = cut_lineage(texts.select("_id", "_good", feature_column(F.col("_text")).alias("_f")).groupBy("_id", "_good").agg(F.min("_f").alias("_f")))
     width = len(FEATURES)
@@ -152,10 +183,20 @@ def train(
     data = cut_lineage(pairs.select(array_to_vector(signed).alias("features"), turned.cast("double").alias("label")))
     fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(data)
     weights = np.array(fitted.coefficients.toArray())
-    raw = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = rows.select("_good", raw.alias("raw"))
+    if share < 1:
+        fit = PairwiseModel(tuple(centre), tuple(spread), tuple(weights), 0.0, 1.0)
+
+        def raw_of(texts: pd.Series) -> pd.Series:
+            return pd.Series(fit.raw(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))
+
+        every = docs.select(F.col(id_col).alias("_doc"), F.pandas_udf(raw_of, "double")(F.col(text_col)).alias("raw"))
+        scored = every.join(labelled, F.col("_doc") == F.col("_id")).groupBy("_id", "_good").agg(F.min("raw").alias("raw"))
+    else:
+        raw = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        scored = rows.select("_good", raw.alias("raw"))
+    scored = cut_lineage(scored.select("_good", "raw"))
     share = scored.agg(F.avg((~F.col("_good")).cast("double"))).first()[0]
-    cut, low, high = scored.agg(F.percentile("raw", share), F.percentile("raw", share / 2), F.percentile("raw", (1 + share) / 2)).first()
+    cut, low, high = _quantiles(scored, [share, share / 2, (1 + share) / 2])
     # The cut lies between the best of the bad share and the next one above.
     above = scored.where(F.col("raw") > cut).agg(F.min("raw")).first()[0]
     cut = (cut + above) / 2 if above is not None else cut

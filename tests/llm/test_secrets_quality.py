@@ -147,3 +147,23 @@ def test_quality_of_odd_rows(spark, table):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.where("doc_id < 60").collect()} == set(range(1, 60, 2))
     with pytest.raises(ValueError):
         preference.train(docs, labels.where("quality = 1"))
+
+
+def test_the_cut_covers_labels_beyond_the_sample(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice([*words, "###", "!!"] if i % 4 else words) for _ in range(rng.randint(20, 200))) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 4 = 0 OR id % 13 = 1 AS INT) AS quality")
+    model = preference.train(docs, labels, sample=60)
+    below = preference.quality_scores(docs, model).where("score < 0.5").count()
+    assert below == labels.where("quality = 0").count()
+
+
+def test_ranks_are_exact(spark):
+    rng = random.Random(12)
+    values = [rng.gauss(0, 1) for _ in range(500)] + [0.25] * 300 + [1e9, -1e9, 0.25 + 1e-12]
+    frame = spark.createDataFrame([(v,) for v in values], "raw double")
+    ranks = {0, 1, 200, 399, 400, 600, len(values) - 1}
+    assert preference._at_ranks(frame, ranks, few=20, bins=8) == {r: sorted(values)[r] for r in ranks}
+    assert preference._quantiles(frame, [0.1, 0.5, 0.93]) == pytest.approx(list(preference.np.quantile(values, [0.1, 0.5, 0.93])))

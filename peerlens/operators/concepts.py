@@ -9,7 +9,7 @@ are ties on every run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_per_group
@@ -292,15 +292,23 @@ def concept_reach(reached: DataFrame, examples: int = 6) -> DataFrame:
 # --- profiles ---------------------------------------------------------------------------------------------------
 
 def profile_tags(
-    profiles: DataFrame, vocabulary: DataFrame, synonyms: DataFrame | None = None, total: int | None = None, limit: int = 12
+    profiles: DataFrame,
+    vocabulary: DataFrame,
+    synonyms: DataFrame | None = None,
+    total: int | None = None,
+    limit: int | None = 12,
+    share: float | None = 0.2,
 ) -> DataFrame:
     """Vocabulary tags whose significant words all occur in a profile, rarer first.
 
-    profiles(profile_id, interests, summary, text). Tags more than a fifth of
-    the people carry are left out. A tag meets only profiles that hold its
+    profiles(profile_id, interests, summary, text). T10's own rule leaves out
+    tags that more than `share` of the people carry and keeps the best `limit`
+    of a profile; with None for both every tag stays. A tag meets only profiles that hold its
     rarest word, then containment is checked in full.
     """
-    vocabulary = with_total(vocabulary.select("tag", "people"), total).where(F.col("people") / F.col("total") <= 0.2)
+    vocabulary = with_total(vocabulary.select("tag", "people"), total)
+    if share is not None:
+        vocabulary = vocabulary.where(F.col("people") / F.col("total") <= share)
     names = vocabulary.select("tag", F.lit(1.0).alias("factor"), F.col("tag").alias("text"))
     if synonyms is not None:
         known = synonyms.join(vocabulary.select("tag"), "tag", "left_semi")
@@ -338,7 +346,10 @@ def profile_tags(
     scored = best.select(
         "profile_id", "tag", F.round(F.col("_fit") * rarity(F.col("people"), F.col("total")), 9).alias("weight")
     )
-    return top_per_group(scored, ["profile_id"], [F.col("weight").desc(), F.col("tag").asc()], limit, "tag_rank")
+    order = [F.col("weight").desc(), F.col("tag").asc()]
+    if limit is None:
+        return scored.withColumn("tag_rank", F.row_number().over(Window.partitionBy("profile_id").orderBy(*order)))  # the vocabulary at most
+    return top_per_group(scored, ["profile_id"], order, limit, "tag_rank")
 
 
 def profile_overlap(tags: DataFrame, person_tags: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

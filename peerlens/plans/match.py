@@ -58,9 +58,11 @@ def hybrid_matches(
     synonyms: DataFrame | None,
     person_tags: DataFrame,
     catalog: DataFrame,
+    tag_limit: int | None = 12,
+    tag_share: float | None = 0.2,
 ) -> DataFrame:
-    """Matches with the tag overlap blended in, limited to people in the catalog."""
-    tags = concepts.profile_tags(profiles, vocabulary, synonyms)
+    """Matches with the tag overlap blended in, limited to people in the catalog (V11). `tag_limit`, `tag_share`: see `profile_tags`."""
+    tags = concepts.profile_tags(profiles, vocabulary, synonyms, limit=tag_limit, share=tag_share)
     listed = matches.join(catalog.select("person_id"), "person_id", "left_semi")
     overlap = concepts.profile_overlap(tags, person_tags, listed)
     return vectors.hybrid_scores(listed, overlap)

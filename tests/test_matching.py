@@ -91,6 +91,15 @@ def test_people_with_both_concepts_come_first(table, groups, vocabulary):
     assert K.score_concepts(tags, K.concept_tags(K.expand_concepts(concepts(table, "strategy"), groups), vocabulary), concepts(table, "strategy"))[0].count() == 0
 
 
+def test_every_tag_of_a_profile_on_request(table):
+    names = [f"alpha{chr(97 + i)}" for i in range(15)]
+    vocabulary = table("tag string, people long", *[(n, 90 if i == 0 else 2) for i, n in enumerate(names)])
+    profiles = table("profile_id int, interests array<string>, summary string, text string", (1, names, None, None), (2, [], names[0], None))
+    assert K.profile_tags(profiles, vocabulary, total=100).count() == 12
+    got = K.profile_tags(profiles, vocabulary, total=100, limit=None, share=None).orderBy("profile_id", "tag_rank").collect()
+    assert [(r.profile_id, r.tag, r.tag_rank) for r in got] == [(1, n, i + 1) for i, n in enumerate(names[1:] + names[:1])] + [(2, names[0], 1)]
+
+
 def test_profile_tags_and_overlap(table, vocabulary):
     profiles = table(
         "profile_id int, interests array<string>, summary string, text string",

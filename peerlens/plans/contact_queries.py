@@ -76,6 +76,7 @@ def _(t: Tables):
         F.when(F.col("s_suppkey") % 2 == 0, "Ann Ssmith").otherwise("Bo Xu").alias("name"),
     )
     texts = spelled_addresses(t).withColumn("text", F.regexp_replace("text", r"\bs(\d+)", "ssmith$1"))
+    # Institutions from 20 on stand for those without known domains, so that their addresses are refused; no bound of the operators.
     domains = C.institution_domains(t.institutions.where("institution_id < 20"))
     found = C.vetted_emails(texts, people, domains)
     return found.withColumn("email", F.regexp_replace("email", "^ssmith", "s"))

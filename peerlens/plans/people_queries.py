@@ -200,6 +200,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.authors.select("person_id", "institution_id", F.lit("row name").alias("institution_name"))
+    # Institutions from 15 on stand for unmatched ones, whose rows keep their own name; no bound of the operators.
     out = P.join_institutions(rows, t.institutions.where("institution_id < 15"))
     return out.select("person_id", "institution_name", "rank", "country_code")
 

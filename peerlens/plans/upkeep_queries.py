@@ -84,6 +84,9 @@ def _(t: Tables):
     return out.select("person_id", F.array_join("domain_weights.name", "|").alias("domains"), "primary_domain")
 
 
+# Institutions below 20 are the tracked ones, the rest stand for untracked: the update must leave their people and works
+# alone. It is the split of the synthetic tables that the SQL of updated_publications, updated_records and
+# update_statistics states, no bound of the operators.
 def stored_state(t: Tables, since: dt.date) -> Catalog:
     old = W.recent_works(t.publications.where(F.col("date") < since), AS_OF)
     lab = W.lab_signals(old, W.work_funder_labels(t.work_funders))

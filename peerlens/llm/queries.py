@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, ledger, mixing, multiset, packing, preference, secrets, sharding, simhash, substrings
+from . import lattice, ledger, lines, mixing, multiset, packing, preference, secrets, sharding, simhash, substrings
 
 HELD_OUT_TENTH = (10, 0)
 HELD_OUT_THIRD = (3, 1)
@@ -90,6 +90,11 @@ def op10_pairwise_quality(spark: SparkSession, root: str) -> DataFrame:
     return scored.select("doc_id", held_out(HELD_OUT_THIRD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_line_bitmaps(spark: SparkSession, root: str) -> DataFrame:
+    cut = lines.dedup_lines(documents(spark, root).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(lines.kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
+
+
 _REPEATS = r"""
 , windows AS (
   SELECT doc_id, i, list_slice(w, i, i + 12) AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
@@ -104,12 +109,22 @@ FROM docs d LEFT JOIN kept USING (doc_id)
 
 SQL = {
     "op4_remove_repeats": r"WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)" + _REPEATS,
+    "op13_line_bitmaps": r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs)),
+shared AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared USING (key) GROUP BY doc_id
+""",
 }
 
 QUERIES = {
     fn.__name__: (fn, SQL.get(fn.__name__))
     for fn in (
         op1_mix_sources, op2_simhash_trie, op3_interleaved_shards, op4_remove_repeats, op5_subword_lattice, op6_multiset_fingerprints,
-        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality,
+        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality, op13_line_bitmaps,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, ledger, lines, mixing, multiset, packing, preference, secrets, sharding, simhash, substrings
+from . import lattice, ledger, lines, mixing, multiset, packing, preference, secrets, sharding, simhash, spans, substrings
 
 HELD_OUT_TENTH = (10, 0)
 HELD_OUT_THIRD = (3, 1)
@@ -90,6 +90,11 @@ def op10_pairwise_quality(spark: SparkSession, root: str) -> DataFrame:
     return scored.select("doc_id", held_out(HELD_OUT_THIRD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_token_spans(spark: SparkSession, root: str) -> DataFrame:
+    linked = spans.align_tokenizers(documents(spark, root), digest=True)
+    return linked.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_line_bitmaps(spark: SparkSession, root: str) -> DataFrame:
     cut = lines.dedup_lines(documents(spark, root).select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(lines.kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
@@ -125,6 +130,6 @@ QUERIES = {
     fn.__name__: (fn, SQL.get(fn.__name__))
     for fn in (
         op1_mix_sources, op2_simhash_trie, op3_interleaved_shards, op4_remove_repeats, op5_subword_lattice, op6_multiset_fingerprints,
-        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality, op13_line_bitmaps,
+        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality, op12_token_spans, op13_line_bitmaps,
     )
 }

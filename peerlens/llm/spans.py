@@ -40,9 +40,9 @@ from ..functions.ranking import cut_lineage, scratch_dir
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 1_000_000  # pairs that are broadcast at most: 17 bytes each
-KEPT = 60_000_000  # characters, and 300 more a chunk, that a worker keeps; then it starts anew
+KEPT = 150_000_000  # characters, and 300 more a chunk, that a worker keeps; then it keeps what it has met more than once
 UNIT = 4_000  # characters that are encoded at a time
-TEXTS = 300_000  # characters of whole texts that are put together at a time
+TEXTS = 1_000_000  # characters of whole texts that are put together at a time
 CODE = 1 << 20  # a pair of ids is one number, a * CODE + b; ids are below CODE
 BITS = 40  # of a pair
 CHUNK = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
@@ -102,8 +102,28 @@ class Aligner:
         self.numbers = np.zeros((4, 0), np.int64)
         self.first = np.zeros(1, np.int64)
         self.pairs = self.times = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)  # how often each was met since the store was last cut down
         self.size = 0
 
+    def shrink(self) -> None:
+        """Only chunks met more than once stay; if these are most of the store, none."""
+        keep = self.met > 1
+        names = [c for c, k in zip(self.index, keep.tolist(), strict=True) if k and isinstance(c, str)]
+        size = sum(len(c) + 300 for c in names)
+        if size > KEPT * 2 // 3:
+            self.clear()
+            return
+        keep[[n for c, n in self.index.items() if not isinstance(c, str)]] = False  # whole texts
+        at = np.flatnonzero(keep)
+        links = np.diff(self.first)[at]
+        where = np.repeat(self.first[at] - np.cumsum(links) + links, links) + np.arange(links.sum())
+        self.said = [self.said[i] for i in at.tolist()]
+        self.odd.intersection_update(names)
+        self.index = {c: i for i, c in enumerate(names)}
+        self.numbers, self.pairs, self.times = self.numbers[:, at], self.pairs[where], self.times[where]
+        self.first = np.concatenate([[0], np.cumsum(links)])
+        self.met, self.size = np.ones(len(at), np.int64), size
+
     def tokens(self, text: str):
         """(ids of A, its byte ends, ids of B, its byte ends) of a text without a blank before it, or None where bytes differ."""
         whole = (" " + text).encode()
@@ -174,6 +194,7 @@ class Aligner:
         self.first = np.concatenate([self.first[:-1], *firsts, [base]])
         self.pairs = np.concatenate([self.pairs, *(f[3] for f in found)])
         self.times = np.concatenate([self.times, *(f[4] for f in found)])
+        self.met = np.concatenate([self.met, np.zeros(len(chunks_), np.int64)])
 
     def _alone(self, key, text: str):
         found = self.cut(text, np.array([len(text.encode()) + 1]))
@@ -212,7 +233,7 @@ class Aligner:
     def documents(self, texts: list[str | None]):
         """(groups as text, numbers, first pair of each, pairs, times) of texts; numbers are tokens of A and B, groups and links."""
         if self.size > KEPT:
-            self.clear()
+            self.shrink()
         parts = [chunks(t) if t else [] for t in texts]
         self.learn(list(set(chain.from_iterable(parts)) - self.index.keys()))
         if self.odd:
@@ -227,6 +248,7 @@ class Aligner:
         said = [";".join(map(self.said.__getitem__, n)) for n in numbers]
         counts = np.array([len(n) for n in numbers])
         n, row, at = len(texts), np.repeat(np.arange(len(texts)), counts), np.fromiter(chain.from_iterable(numbers), np.int64, counts.sum())
+        self.met += np.bincount(at, minlength=len(self.met))
         totals = np.array([np.bincount(row, x[at], n) for x in self.numbers]).astype(np.int64)
         each, times = np.unique((row << 32) + at, return_counts=True)  # a chunk once per text
         row, at = each >> 32, each & 0xFFFFFFFF

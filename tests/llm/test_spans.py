@@ -103,11 +103,18 @@ def test_chunks_end_where_tokens_end(both):
             assert a_ends.tolist() == aligner.a_lengths[a_ids].cumsum().tolist() and b_ends.tolist() == aligner.b_lengths[b_ids].cumsum().tolist()
 
 
-def test_a_full_store_starts_anew(both, monkeypatch):
-    monkeypatch.setattr(spans, "KEPT", 1000)
+@pytest.mark.parametrize("kept", [1000, 5000, 12_000])
+def test_a_full_store_keeps_what_was_met_again(both, monkeypatch, kept):
+    monkeypatch.setattr(spans, "KEPT", kept)
     aligner = spans.Aligner(*spans.read_vocabularies(A, B))
-    for text in ("one two three", "four five a▁b", "one two three"):
-        assert aligner.documents([text, None, text])[0] == [_said(both(text)), "", _said(both(text))]
+    rng = random.Random(kept)
+    every = ["one two", "three, four", "five a▁b", "Grüße 日本", "a▁b", *(f"word{i} again one" for i in range(60))]
+    sizes = []
+    for _ in range(40):
+        texts = rng.sample(every, 3) + [None]
+        assert aligner.documents(texts)[0] == [_said(both(t)) if t else "" for t in texts]
+        sizes.append(len(aligner.index))
+    assert any(later < earlier for earlier, later in zip(sizes, sizes[1:], strict=False)) and len(aligner.said) == len(aligner.index) == len(aligner.met)
 
 
 def test_groups_are_listed_and_string_ids_pass(table, both):

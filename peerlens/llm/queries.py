@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, ledger, lines, mixing, multiset, packing, preference, secrets, sharding, simhash, spans, substrings
+from . import lattice, ledger, lexical, lines, mixing, multiset, packing, preference, secrets, sharding, simhash, spans, substrings
 
 HELD_OUT_TENTH = (10, 0)
 HELD_OUT_THIRD = (3, 1)
@@ -90,6 +90,11 @@ def op10_pairwise_quality(spark: SparkSession, root: str) -> DataFrame:
     return scored.select("doc_id", held_out(HELD_OUT_THIRD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_mask_groups(spark: SparkSession, root: str) -> DataFrame:
+    found = lexical.rank_documents(documents(spark, root), documents(spark, root, "benchmark"))
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
 def op12_token_spans(spark: SparkSession, root: str) -> DataFrame:
     linked = spans.align_tokenizers(documents(spark, root), digest=True)
     return linked.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
@@ -114,6 +119,21 @@ FROM docs d LEFT JOIN kept USING (doc_id)
 
 SQL = {
     "op4_remove_repeats": r"WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)" + _REPEATS,
+    "op11_mask_groups": r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT doc_id, row, t, len(t) AS n FROM split WHERE len(t) > 0),
+corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+postings AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, big_n),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), corpus GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 20
+""",
     "op13_line_bitmaps": r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 keyed AS (
@@ -130,6 +150,6 @@ QUERIES = {
     fn.__name__: (fn, SQL.get(fn.__name__))
     for fn in (
         op1_mix_sources, op2_simhash_trie, op3_interleaved_shards, op4_remove_repeats, op5_subword_lattice, op6_multiset_fingerprints,
-        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality, op12_token_spans, op13_line_bitmaps,
+        op7_best_fit_packing, op8_rule_ledger, op9_linked_secrets, op10_pairwise_quality, op11_mask_groups, op12_token_spans, op13_line_bitmaps,
     )
 }

@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -70,11 +69,13 @@ class Lattice:
             if b < 0:
                 self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        self.spellings: dict[str, float] = {}  # at most one entry per character there is
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
     def spelled(self, char: str) -> float:
         """Log probability of a character that is no piece: its bytes."""
-        return float(sum(self.logs[self.bytes[b]] for b in char.encode("utf-8", "replace")))
+        if char not in self.spellings:
+            self.spellings[char] = float(sum(self.logs[self.bytes[b]] for b in char.encode("utf-8", "replace")))
+        return self.spellings[char]
 
     def _edges(self, words: list[str]):
         text = "\n".join(SPACE + w for w in words)
@@ -236,7 +237,7 @@ def score_texts(
 ) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`; logarithms to base 10.
 
-    Ids are whole numbers, or null. `train` says which rows may be learned from (null: no). A null text is empty; an empty text is its end mark. Rows
+    Ids are of any type, or null. `train` says which rows may be learned from (null: no). A null text is empty; an empty text is its end mark. Rows
     repeated with one id and text come back as often. Without training rows the base knows no tokens and the pieces keep
     the vocabulary's weights. `base_score` is the smoothed unigram of whole words, see the query's contract.
     """
@@ -262,6 +263,7 @@ def score_texts(
         end = frequent.get(b"", nothing)
         for batch in batches:
             ids, train_, marks, texts = (batch.column(i) for i in range(4))
+            schema = fields.set(0, pa.field("id", ids.type))
             rows: list[list] = [[] for _ in range(8)]
             rare_words: list[bytes] = []
             for i in range(batch.num_rows):
@@ -285,13 +287,14 @@ def score_texts(
                     for column, v in zip(rows, (*key, None, times, 0, 0.0, 0.0), strict=True):
                         column.append(v)
                 if len(rare_words) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if t.name != "word" else _strings(rare_words) for c, t in zip(rows, fields, strict=True)], schema=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if t.name != "word" else _strings(rare_words) for c, t in zip(rows, schema, strict=True)], schema=schema)
                     rows, rare_words = [[] for _ in range(8)], []
             if rare_words:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if t.name != "word" else _strings(rare_words) for c, t in zip(rows, fields, strict=True)], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if t.name != "word" else _strings(rare_words) for c, t in zip(rows, schema, strict=True)], schema=schema)
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), learn.alias("train"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    parts = keyed.mapInArrow(split, "id long, train boolean, mark long, word string, n long, known long, base double, log double")
+    keyed = docs.select(F.col(id_col).alias("id"), learn.alias("train"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    kind = keyed.schema["id"].dataType.simpleString()
+    parts = keyed.mapInArrow(split, f"id {kind}, train boolean, mark long, word string, n long, known long, base double, log double")
     key = ["id", "train", "mark"]
     # Documents (word is null) and their rarer words go through one outer join; rows without a word are dealt out by their id.
     salt = F.coalesce(F.col("word"), F.concat(F.lit("\n"), F.col("id").cast("string"), F.lit("\n"), F.col("mark").cast("string")))

@@ -107,7 +107,7 @@ def mix_units(units: DataFrame, targets: DataFrame, cap: int = 2, seed: int = 0)
     histogram = cut_lineage(units.where("mass > 0").groupBy("source", "mass").agg(F.count("*").alias("n")))
     tilts = solve_tilts(histogram, targets, float(cap))
     rated = join_null_safe(join_null_safe(units, targets, ["source"]), tilts, ["source"], "left")
-    rated = rated.withColumn("_x", F.col("mass") / F.col("_mean")).withColumn("rate", F.coalesce(_rate(float(cap)), F.lit(1.0)))
+    rated = rated.withColumn("_x", F.col("mass") / F.col("_mean")).withColumn("rate", F.when(F.col("_lambda").isNull(), F.lit(1.0)).otherwise(_rate(float(cap))))
     rated = rated.withColumn("_parts", F.round(F.col("rate") * UNIT).cast("long")).drop("_x", "_mean", "_lambda")
     rated = rated.withColumn("_whole", F.floor(F.col("_parts") / UNIT)).withColumn("_rest", F.col("_parts") % UNIT)
     order = [F.col("source").asc_nulls_last(), F.col("mass"), seeded(seed, "id"), F.col("id"), F.col("size"), F.col("rows")]
@@ -154,7 +154,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per unit: id, source, size (words), rows, source_size, target, rate, copies. Texts are read once and not moved.
 
-    Null or empty texts have size 0, keep rate 1 and take nothing. A null source is a source. Rows repeated under one id,
+    Null or empty texts have size 0 and take no words; they keep rate 1 and one copy where their whole source is empty, else the rate of size 0, which is 1 too. A null source is a source. Rows repeated under one id,
     source and size share a decision. No rows give no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))

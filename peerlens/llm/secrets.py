@@ -8,7 +8,11 @@ complementary roles within `scope` code points before or behind it. A partner
 is another piece of text: an interval that overlaps the candidate does not
 count, and a mixed string in the host, path or fragment of an endpoint is a part of that
 link and no candidate. One in the userinfo or query of an endpoint stays, and
-the two complete each other. Both sides are sorted by position, so the join looks only at the nearest
+the two complete each other. A mixed string must look random, which names in
+camel case and paths do not. A plain link, which stands beside everything, completes
+one only behind a naming word ("key", "token:"); a link with a credential of its own
+needs none, and one with a user and a password is complete by itself. Long hexadecimal strings complete nothing: digests stand beside links
+and names everywhere. Both sides are sorted by position, so the join looks only at the nearest
 neighbour on each side and costs n log n for any number of parts.
 
 Everything a document needs is in its own row, so nothing is shuffled.
@@ -17,7 +21,9 @@ Everything a document needs is in its own row, so nothing is shuffled.
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,13 +44,32 @@ ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|
 # What stands before the host: up to the last @ of the authority, or of the rest if the colon is not that of a port (passwords may hold a slash).
 USERINFO = re.compile(r"[^/?#:@]*:(?!\d*(?:[/?#]|$)).*@|[^/?#]*@")
 ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]+)""", re.IGNORECASE | re.ASCII)
-# What completes what: a string needs an identifier or an endpoint, an endpoint or an account needs something secret.
-PARTNERS = {"weak": ("access", "account", "endpoint"), "endpoint": ("assign", "access", "weak"), "account": ("assign", "weak")}
+# A word that names what follows it, at most so many code points before.
+NAMING = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|account)?[_\x20-]?key|credentials?|auth(?:orization)?|bearer|sig(?:nature)?)["']?(?:\s+is\b)?\s*[:=]?\s*["'`(]?$""", re.IGNORECASE)
+NAME_REACH = 40
+# A query field that carries a credential.
+CREDENTIAL = re.compile(r"[?&;](?:[a-z_-]*(?:key|token|secret|password|passwd|pwd|auth|sig|signature|credential))=[^&#;\s]", re.IGNORECASE)
+# Letters that read like a word: three lower-case ones or more, or four capitals, with a vowel among them.
+WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+VOWELS = frozenset("aeiouyAEIOUY")
+# What completes what: a string needs an identifier, an account or an endpoint that carries a credential, a named string any
+# endpoint; an endpoint or an account needs something secret.
+PARTNERS = {
+    "weak": ("access", "account", "holding"), "named": ("endpoint",),
+    "endpoint": ("assign", "access", "named"), "holding": ("weak",), "account": ("assign", "weak"),
+}
+CLOSER = {"weak": "named", "endpoint": "holding"}  # those among a kind that more can complete
 SCOPE = 300
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
+def _random(s: str) -> bool:
+    """Letters in both cases and digits, under half of them in what reads like words, and 2 bits a character or more."""
+    if not (any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)):
+        return False
+    wordlike = sum(len(m[0]) for m in WORDLIKE.finditer(s) if not VOWELS.isdisjoint(m[0]))
+    if 2 * wordlike >= sum(c.isalnum() for c in s):
+        return False
+    return sum(-n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= 2
 
 
 def _may_hold(text: str, endpoint: tuple[int, int]) -> list[tuple[int, int]]:
@@ -59,6 +84,13 @@ def _may_hold(text: str, endpoint: tuple[int, int]) -> list[tuple[int, int]]:
     return [*held, (query, end if fragment < 0 else fragment)] if query >= 0 else held
 
 
+def _signs_in(text: str, endpoint: tuple[int, int]) -> bool:
+    """Whether an endpoint names a user and a password."""
+    host, end = text.index("://", *endpoint) + 3, endpoint[1]
+    user = USERINFO.match(text, host, end)
+    return bool(user) and re.search(r":[^@]", user[0]) is not None
+
+
 def _around(spans: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | None:
     """The one of some disjoint spans that holds (a, b)."""
     at = bisect.bisect_right(spans, a, key=lambda s: s[0]) - 1
@@ -66,7 +98,7 @@ def _around(spans: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | N
 
 
 def find_parts(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Intervals of every kind, in code points, each list by start.
+    """Intervals of every kind, in code points, each list by start; `named` and `holding` are some of the weak strings and endpoints.
 
     Weak ones that touch a strong one are left out, and so are mixed strings in an endpoint beside its userinfo and query.
     """
@@ -97,9 +129,12 @@ def find_parts(text: str) -> dict[str, list[tuple[int, int]]]:
             holding[link] = _may_hold(text, link)
         return any(c < span[1] and span[0] < d for c, d in holding[link])
 
-    parts["weak"] = [m.span() for m in WEAK.finditer(text) if _mixed(m[0]) and clear(m.span()) and apart(m.span())]
+    parts["weak"] = [m.span() for m in WEAK.finditer(text) if _random(m[0]) and clear(m.span()) and apart(m.span())]
     parts["endpoint"] = [s for s in endpoints if clear(s)]
     parts["account"] = [m.span() for m in ACCOUNT.finditer(text) if clear(m.span())]
+    parts["named"] = [s for s in parts["weak"] if NAMING.search(text[max(0, s[0] - NAME_REACH) : s[0]])]
+    carry = {link for s in parts["weak"] if (link := _around(endpoints, *s))}
+    parts["holding"] = [s for s in parts["endpoint"] if s in carry or CREDENTIAL.search(text, *s) or _signs_in(text, s)]
     return parts
 
 
@@ -111,12 +146,14 @@ def linked_spans(text: str | None, scope: int = SCOPE) -> list[tuple[str, int, i
     starts = {kind: [a for a, _ in spans] for kind, spans in parts.items()}
     ends = {kind: [b for _, b in spans] for kind, spans in parts.items()}  # spans of a kind are disjoint, so these are sorted too
     inside = {(a, b): link for a, b in parts["weak"] if (link := _around(parts["endpoint"], a, b))}
-    joined = {"weak": inside.keys(), "endpoint": set(inside.values()), "account": ()}
+    joined = {"weak": inside.keys(), "endpoint": {*inside.values(), *(s for s in parts["holding"] if _signs_in(text, s))}, "account": ()}
+
+    closer = {kind: set(parts[some]) for kind, some in CLOSER.items()}
 
     def complete(kind, a, b):
         if (a, b) in joined[kind]:
             return True
-        for role in PARTNERS[kind]:
+        for role in PARTNERS[kind] + (PARTNERS[CLOSER[kind]] if (a, b) in closer.get(kind, ()) else ()):
             ahead = bisect.bisect_left(starts[role], b)
             if ahead < len(starts[role]) and starts[role][ahead] - b <= scope:
                 return True

@@ -192,3 +192,11 @@ def test_packing_of_odd_rows(table):
     assert packing.pack(docs.where("false")).collect() == []
     with pytest.raises(ValueError):
         packing.pack(docs, ())
+
+
+def test_string_ids_are_scored_alike(table):
+    rows = [(i, t) for i, t in enumerate(["one two two", "three", None, "one é"])]
+    train = F.col("text").isNotNull()
+    numbers = {r["id"]: r["score"] for r in lattice.score_texts(table("doc_id long, text string", *rows), train).collect()}
+    names = {r["id"]: r["score"] for r in lattice.score_texts(table("doc_id string, text string", *[(f"d{i}", t) for i, t in rows]), train).collect()}
+    assert names == {f"d{i}": s for i, s in numbers.items()}

@@ -77,7 +77,15 @@ def test_mix_of_nothing(table):
     docs = table("doc_id long, text string, source string")
     assert mixing.mix_sources(docs).collect() == [] and mixing.mixed_documents(docs).collect() == []
     only_empty = table("doc_id long, text string, source string", (1, "", "a"), (2, None, None))
-    assert {r["copies"] * r["size"] for r in mixing.mix_sources(only_empty).collect()} == {0}
+    mixed = mixing.mix_sources(only_empty).collect()
+    assert [(r["rate"], r["copies"], r["size"]) for r in mixed] == [(1.0, 1, 0)] * 2
+    assert sorted(map(tuple, mixing.mixed_documents(only_empty).collect()), key=repr) == [(1, "", "a"), (2, None, None)]
+
+
+def test_empty_texts_beside_others_come_once(table):
+    docs = table("doc_id long, text string, source string", (1, "", "a"), (2, None, "a"), *[(i, "word " * (i % 7 + 1), "a" if i % 2 else "b") for i in range(3, 60)])
+    assert [r["copies"] for r in mixing.mix_sources(docs).where("size = 0").collect()] == [1, 1]
+    assert mixing.mixed_documents(docs).where("doc_id < 3").count() == 2
 
 
 def _shards_hold(rows, shards):

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import corpus_pipeline
 from peerlens.llm import mixing, packing, preference, queries, secrets, simhash
@@ -43,7 +45,7 @@ def test_run_is_the_stages_in_a_row(spark):
 
 def test_empty_tables_and_labels_of_one_kind(spark, tmp_path):
     docs, labels = (spark.read.parquet(f"{ROOT}/{name}.parquet") for name in ("documents", "labels"))
-    some = docs.limit(40).localCheckpoint()
+    some = spark.createDataFrame(docs.limit(40).collect(), docs.schema)
     cases = {"no_docs": (docs.where("false"), labels), "no_labels": (some, labels.where("false")), "nothing": (docs.where("false"), labels.where("false")), "one_kind": (some, labels.where("quality = 1"))}
     for name, (d, l) in cases.items():
         root = str(tmp_path / name)
@@ -56,6 +58,26 @@ def test_empty_tables_and_labels_of_one_kind(spark, tmp_path):
             assert (corpus_pipeline.run(spark, root).count() > 0) == (name == "no_labels"), name
 
 
+def test_every_query_runs_where_workers_lack_the_package(tmp_path):
+    """A process in another folder, without PYTHONPATH; only the driver knows where the package is."""
+    code = """
+import os, sys
+sys.path.insert(0, ROOT_)
+import __spark_entry__ as entry
+from peerlens.session import local_session
+spark = local_session(4)
+for name, run in entry.queries().items():
+    if name.startswith("op") and name[2].isdigit() or name == "pipeline":
+        run(spark, DATA).write.format("noop").mode("overwrite").save()
+        print("ran", name)
+"""
+    code = code.replace("ROOT_", repr(os.path.dirname(os.path.abspath(corpus_pipeline.__file__)))).replace("DATA", repr(ROOT))
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=bare, capture_output=True, text=True, timeout=900)
+    ran = [line.split()[1] for line in done.stdout.splitlines() if line.startswith("ran ")]
+    assert len(ran) == 14, done.stderr[-2000:]
+
+
 def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(corpus_pipeline.__file__)
     for folder, _, names in os.walk(f"{root}/peerlens"):

@@ -2,8 +2,9 @@
 
 `top_per_group` never moves a whole group to one task: up to 1000 rows per
 group Spark's WindowGroupLimit cuts every map task's share before the shuffle;
-above that each input partition's share is cut on its own, then bundles of
-partitions, then the group.
+above that each input partition's share is cut on its own. From 17 rows per
+group on, bundles of partitions are merged first, so that the last task gets
+MERGE_WIDTH times `n` rows of a group at most, however many tasks there were.
 
 `with_row_number` and `with_running_sum` number *all* rows of a group or of the
 whole table. They range-partition on the full sort key, so a hot group spans
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1000
-MERGE_WIDTH = 64
+MERGE_FROM = 16  # with n up to this, even 100,000 tasks send 1.6 million rows of a group at most
+MERGE_WIDTH = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -70,8 +72,10 @@ def top_per_group(
         w = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
-    if n > GROUP_LIMIT:
-        df = cut(df.withColumn("_part", F.spark_partition_id()), [*keys, "_part"]).drop(rank)
+    if n > MERGE_FROM:
+        df = df.withColumn("_part", F.spark_partition_id())
+        if n > GROUP_LIMIT:
+            df = cut(df, [*keys, "_part"]).drop(rank)
         df = cut(df.withColumn("_part", F.pmod("_part", F.lit(MERGE_WIDTH))), [*keys, "_part"]).drop("_part", rank)
     out = cut(df, list(keys))
     return out if rank_col else out.drop(rank)

@@ -446,6 +446,211 @@ def assign_clusters(vectors: DataFrame, centroids: DataFrame, value: str = "vect
     return out.drop("_best")
 
 
+# --- tree of centroids ------------------------------------------------------------------------------------------
+
+TREE_SAMPLE = 256  # rows that a centroid is fitted on, on average and at most
+TREE_LEAST = 64  # rows that a node is fitted on at least, if it has them
+TREE_LEAVES = 4  # a cell with more than this times sqrt(k) leaves is split once more
+TREE_SCHEMA = "node int, parent int, cluster int, vector array<double>"
+
+
+def _spherical_means(x: np.ndarray, k: int, seed: int, rounds: int = V.KMEANS_ITERATIONS) -> np.ndarray:
+    """`k` unit centroids of unit rows by cosine; first ones drawn far apart, an empty one keeps its place."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    near = x @ x[chosen[0]]
+    while len(chosen) < k:
+        gap = np.maximum(1 - near, 0) ** 2
+        gap[chosen] = 0
+        total = gap.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(gap), rng.random() * total)) if total > 0 else int(rng.integers(len(x))))
+        chosen[-1] = min(chosen[-1], len(x) - 1)
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centers = x[chosen].copy()
+    for _ in range(rounds):
+        own = (x @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, x)
+        met = np.linalg.norm(sums, axis=1) > 0
+        centers[met] = _unit_rows(sums[met])
+    return centers
+
+
+def _fit_children(rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], seed: int, per_centroid: int) -> DataFrame:
+    """(node, place, vector): for each node its `wanted` centroids, each node in a task of its own on at most about `per_centroid` rows per centroid.
+
+    `rows` (person_id, vector, node). Which rows are learned from is settled by a hash of the id.
+    """
+    parts = 1 << 30
+    ask = [(n, k, int(parts * min(1.0, max(TREE_LEAST, per_centroid * k) / max(1, sizes[n])))) for n, k in wanted.items()]
+    asked = F.broadcast(rows.sparkSession.createDataFrame(ask, "node int, wanted int, _share long"))  # one line per node
+    sample = rows.join(asked, "node").where(F.pmod(F.xxhash64("person_id", F.lit(seed)), F.lit(parts)) < F.col("_share"))
+
+    def fit(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("person_id")
+        x, k, node = np.stack(table["vector"].to_numpy()), int(table["wanted"].iloc[0]), int(table["node"].iloc[0])
+        centers = _spherical_means(x, min(k, len(x)), seed + node + 1)
+        return pd.DataFrame({"node": node, "place": range(len(centers)), "vector": list(centers)})
+
+    return sample.drop("_share").groupBy("node").applyInPandas(fit, "node int, place int, vector array<double>")
+
+
+def train_centroid_tree(vectors: DataFrame, k: int | None = None, seed: int = 0, per_centroid: int = TREE_SAMPLE) -> DataFrame:
+    """Centroids in levels: about sqrt(k) coarse ones, below each its share of the `k` fine ones (V7).
+
+    Coarse centroids are fitted on a sample, every row is dealt to its nearest, and each cell's fine centroids are fitted in parallel on a
+    sample of the cell, in proportion to its rows; a cell with a large share of all rows is split once more. What a task fits is bounded by
+    `per_centroid` rows times 4 * sqrt(k) centroids. Rows without direction are left out. Unlike one k-means over
+    everything, n * sqrt(k) products are made, not n * k * iterations. Cuts checkpoints.
+    -> node, parent (null below the root), cluster (of a leaf, 0 .. k - 1), vector
+    """
+    spark = vectors.sparkSession
+    rows = with_unit(vectors, "vector").select("person_id", "vector").where(F.exists("vector", lambda x: x != 0))
+    rows = cut_lineage(rows.withColumn("node", F.lit(-1)))
+    sizes = {-1: rows.count()}
+    if not sizes[-1]:
+        return spark.createDataFrame([], TREE_SCHEMA)
+    k = k or cluster_count(sizes[-1])
+    wide = max(1, round(math.sqrt(k)))
+    shares, levels, nodes, leaves = {-1: k}, [], 0, 0
+    while shares:
+        last = {n: s for n, s in shares.items() if n >= 0 and s <= TREE_LEAVES * wide}
+        wanted = last | {n: min(s, TREE_LEAVES * wide, max(2, round(math.sqrt(s)))) if s > 1 else 1 for n, s in shares.items() if n not in last}
+        fitted = cut_lineage(_fit_children(rows, wanted, sizes, seed, per_centroid))
+        # Two numbers per centroid settle the names; the vectors stay where they are.
+        found = [(r["node"], r["place"]) for r in fitted.select("node", "place").orderBy("node", "place").toLocalIterator()]
+        names, inner = [], set()
+        for parent, place in found:
+            leaf = parent in last or wanted[parent] == 1
+            names.append((parent, place, nodes, leaves if leaf else None))
+            inner |= set() if leaf else {nodes}
+            nodes, leaves = nodes + 1, leaves + leaf
+        named = spark.createDataFrame(names, "node int, place int, name int, cluster int")
+        level = cut_lineage(fitted.join(named, ["node", "place"]).select(F.col("name").alias("node"), F.col("node").alias("parent"), "cluster", "vector"))
+        levels.append(level)
+        shares = {}
+        if inner:
+            below = level.where("cluster is null").select(F.col("parent").alias("_of"), F.col("node").alias("cluster"), "vector")
+            rows = cut_lineage(_deal(rows, below))
+            sizes = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}  # one line per inner node
+            total = sum(sizes.values())
+            shares = {n: max(1, round((k - leaves) * size / total)) for n, size in sizes.items()}
+    tree = levels[0]
+    for level in levels[1:]:
+        tree = tree.unionByName(level)
+    return tree.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent")))
+
+
+def _deal(rows: DataFrame, below: DataFrame) -> DataFrame:
+    """Rows whose node has children in `below` (_of, cluster, vector), each at its nearest child; rows of other nodes are done."""
+    tree = below.select(F.col("cluster").alias("node"), F.when(F.col("_of") >= 0, F.col("_of")).alias("parent"), "cluster", "vector")
+    parents = [r[0] for r in below.select("_of").distinct().collect()]
+    mine = rows.where(F.col("node").isin(parents))
+    return _descend(mine.withColumn("cluster", F.lit(None).cast("int")), tree, 1, "vector", start="node").select("person_id", "vector", F.col("cluster").alias("node"))
+
+
+class _Tree:
+    """Centroids by parent, as single-precision matrices."""
+
+    def __init__(self, rows):
+        self.cluster = {r["node"]: r["cluster"] for r in rows}
+        children: dict = {}
+        for r in sorted(rows, key=lambda r: r["node"]):
+            children.setdefault(-1 if r["parent"] is None else r["parent"], []).append(r)
+        self.names = {p: np.array([r["node"] for r in c]) for p, c in children.items()}
+        self.vectors = {p: np.array([r["vector"] for r in c], np.float32) for p, c in children.items()}
+
+    def nearest(self, x: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cluster, score) of the nearest leaf that `beam` nodes per level lead to; -1 where there is none."""
+        rows, nodes = np.arange(len(x)), start
+        met = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        while len(rows):
+            found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+            for node in np.unique(nodes).tolist():
+                if node not in self.names:
+                    continue
+                here = rows[nodes == node]
+                close = np.round(x[here] @ self.vectors[node].astype(np.float64).T, 9)
+                keep = np.argsort(-close, axis=1, kind="stable")[:, :beam]
+                found.append((np.repeat(here, keep.shape[1]), self.names[node][keep].ravel(), np.take_along_axis(close, keep, 1).ravel()))
+            row, node, close = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((node, -close, row))
+            row, node, close = row[order], node[order], close[order]
+            ahead = np.arange(len(row)) - np.searchsorted(row, row) < beam
+            row, node, close = row[ahead], node[ahead], close[ahead]
+            leaf = np.array([-1 if self.cluster[n] is None else self.cluster[n] for n in node.tolist()], int)
+            met.append((row[leaf >= 0], leaf[leaf >= 0], close[leaf >= 0]))
+            rows, nodes = row[leaf < 0], node[leaf < 0]
+        row, leaf, close = (np.concatenate(c) for c in zip(*met, strict=True))
+        order = np.lexsort((leaf, -close, row))
+        row, leaf, close = row[order], leaf[order], close[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        best, score = np.full(len(x), -1), np.full(len(x), -np.inf)
+        best[row[first]], score[row[first]] = leaf[first], close[first]
+        return best, score
+
+
+def _descend(vectors: DataFrame, tree: DataFrame, beam: int, value: str, start: str | None = None) -> DataFrame:
+    """Fill `cluster` with the nearest leaf; with `start`, a column of nodes, below that node only."""
+    rows = tree.collect()  # bounded by the caller
+    shared = vectors.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Tree(shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit_rows(_matrix(batch.column(batch.schema.get_field_index(value))))
+            begin = batch.column(batch.schema.get_field_index(start)).to_numpy(zero_copy_only=False).astype(int) if start else np.full(len(x), -1)
+            cluster, score = known.nearest(x, begin, beam)
+            columns = list(batch.columns)
+            columns[batch.schema.get_field_index("cluster")] = pa.array(cluster.astype(np.int32), mask=cluster < 0)
+            if "_score" in batch.schema.names:
+                columns[batch.schema.get_field_index("_score")] = pa.array(score)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return vectors.mapInArrow(walk, vectors.schema)
+
+
+def assign_in_tree(vectors: DataFrame, tree: DataFrame, beam: int = 2, value: str = "vector") -> DataFrame:
+    """The nearest leaf that `beam` nodes on each level lead to, as `cluster`: about (1 + beam) * sqrt(k) products a row (V8).
+
+    Every row gets one cluster. The tree is broadcast if it is below CENTROID_BLOCK_BYTES in single precision; a larger one
+    goes out in blocks of coarse cells, one pass over the rows for each, which the best leaf so far is carried through. No shuffle.
+    """
+    size = tree.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if not size["n"]:
+        return vectors.withColumn("cluster", F.lit(0))
+    blocks = max(1, math.ceil(size["n"] * size["d"] * 4 / CENTROID_BLOCK_BYTES))
+    out = vectors.withColumn("cluster", F.lit(None).cast("int"))
+    if blocks == 1:
+        return _descend(out, tree, beam, value)
+    tops = [r[0] for r in tree.where("parent is null").select("node").orderBy("node").collect()]  # about sqrt(k)
+    above = tree.select("node", "parent").collect()  # two numbers per centroid
+    parent = {r["node"]: r["parent"] for r in above}
+
+    def top(node):
+        while parent[node] is not None:
+            node = parent[node]
+        return node
+
+    block_of = {t: i % blocks for i, t in enumerate(tops)}
+    part = vectors.sparkSession.createDataFrame([(n, block_of[top(n)]) for n in parent], "node int, _block int")
+    parts = cut_lineage(tree.join(part, "node"))
+    out = out.withColumn("_kept", F.lit(None).cast("int")).withColumn("_best", F.lit(None).cast("double")).withColumn("_score", F.lit(None).cast("double"))
+    for i in range(blocks):
+        # The coarse level is whole in every block, so that a row follows the same cells whichever block they are in.
+        out = _descend(out, parts.where((F.col("_block") == i) | F.col("parent").isNull()).drop("_block"), beam, value)
+        wins = F.col("cluster").isNotNull() & (F.col("_best").isNull() | (F.col("_score") > F.col("_best")) | ((F.col("_score") == F.col("_best")) & (F.col("cluster") < F.col("_kept"))))
+        out = out.withColumns({"_kept": F.when(wins, F.col("cluster")).otherwise(F.col("_kept")), "_best": F.when(wins, F.col("_score")).otherwise(F.col("_best"))})
+    return out.withColumn("cluster", F.col("_kept")).drop("_kept", "_best", "_score")
+
+
+def leaf_centroids(tree: DataFrame) -> DataFrame:
+    """centroids(cluster, vector) of a tree."""
+    return tree.where("cluster is not null").select("cluster", "vector")
+
+
 def probe_lists(profiles: DataFrame, centroids: DataFrame, sizes: DataFrame, enough: int, start: int = V.PROBE_START, most: int = V.PROBE_MAX) -> DataFrame:
     """Clusters every profile has to read: the nearest `start`, doubled while they hold too few people (V9).
 

@@ -143,12 +143,13 @@ def publish(
 
 
 def publish_vectors(records: DataFrame, root: str, encoder=None, vector_format: str = "bits", k: int | None = None) -> None:
-    """Embed everyone, train and assign clusters, write the vector index."""
+    """Embed everyone, train a tree of centroids, assign clusters, write the vector index."""
     embedded = X.embed_texts(with_person_text(records), "embedding_text", encoder).select("person_id", "institution_id", "vector")
-    # Clusters come from the quantised rows, as readers see them; they are read three times.
+    # Clusters come from the quantised rows, as readers see them; they are read several times.
     unit = cut_lineage(X.dequantize(X.quantize(embedded).drop("vector")))
-    centroids = X.train_centroids(unit, k)
-    assigned = X.assign_clusters(unit, centroids)
+    tree = cut_lineage(X.train_centroid_tree(unit, k))
+    assigned = X.assign_in_tree(unit, tree)
     if vector_format == "bits":
         assigned = X.pack_bits(assigned).drop("q")
-    writers.write_vector_index(assigned.drop("vector"), centroids, root)
+    writers.write_vector_index(assigned.drop("vector"), X.leaf_centroids(tree), root)
+    tree.write.mode("overwrite").parquet(f"{root}/centroid_tree")  # for rows that come later

@@ -484,6 +484,43 @@ def _(t: Tables):
     return hits.groupBy("profile_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
+def tree_index(t: Tables):
+    v = people_vectors(t)
+    tree = cut_lineage(X.train_centroid_tree(v, seed=7))
+    return v, tree, X.assign_in_tree(v, tree)
+
+
+@query(
+    "tree_membership", "V7 V8 V12",
+    "SELECT count(*) AS people, count(DISTINCT vec_id) AS ids, 0 AS in_two_clusters, 0 AS without_cluster, true AS as_many_clusters, true AS few_products FROM embeddings",
+)
+def _(t: Tables):
+    """Everyone has one leaf of the tree; a row meets its coarse centroids and those of two cells, 8 * sqrt(k) at most on these tables."""
+    v, tree, assigned = tree_index(t)
+    per_id = assigned.groupBy("person_id").agg(F.count_distinct("cluster").alias("n"))
+    counts = assigned.agg(F.count("*").alias("people"), F.count_distinct("person_id").alias("ids"))
+    odd = per_id.agg(F.count_if(F.col("n") > 1).cast("int").alias("in_two_clusters"), F.count_if(F.col("n") < 1).cast("int").alias("without_cluster"))
+    fans = tree.groupBy("parent").agg(F.count("*").alias("n"))
+    wide = fans.agg(F.max(F.when(F.col("parent").isNull(), F.col("n"))).alias("root"), F.max(F.when(F.col("parent").isNotNull(), F.col("n"))).alias("below"))
+    leaves = tree.agg(F.count("cluster").alias("leaves"))
+    all_ = side_by_side(counts, odd, wide, leaves)
+    wanted = F.round(F.sqrt(F.col("people")))
+    return all_.select(
+        "people", "ids", "in_two_clusters", "without_cluster", (F.abs(F.col("leaves") - wanted) <= F.greatest(F.lit(2), wanted * 0.2)).alias("as_many_clusters"),
+        (F.col("root") + 2 * F.coalesce("below", F.lit(0)) <= 8 * F.sqrt("leaves")).alias("few_products"),
+    )
+
+
+@query("tree_index_recall", "V7 V8 V9 V10 E4", "SELECT DISTINCT label AS profile_id, true AS enough FROM embeddings")
+def _(t: Tables):
+    """Whether the index of the tree finds nine of ten of the exact ranking's twenty."""
+    v, tree, assigned = tree_index(t)
+    profiles = label_profiles(t)
+    found = match_people(profiles, assigned, X.leaf_centroids(tree), k=20, approximate=True)
+    hits = match_people(profiles, v, k=20).join(found.select("profile_id", "person_id", F.lit(1).alias("hit")), ["profile_id", "person_id"], "left")
+    return hits.groupBy("profile_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(
     "hybrid_matches", "V11",
     OVERLAP_SQL + """, b AS (SELECT profile_id, row_number() OVER (ORDER BY profile_id) % 10 AS label FROM prof),

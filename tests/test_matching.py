@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peerlens.operators import concepts as K
 from peerlens.operators import evaluate as V
@@ -240,6 +241,54 @@ def test_clusters_cover_everyone_once(spark, monkeypatch):
     assert {r.person_id: r.cluster for r in X.assign_clusters(v.repartition(3), centroids).collect()} == got
 
 
+def test_tree_covers_everyone_and_finds_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    middles = unit_rows(40, 16, 9)
+    people = np.array([middles[i % 40] + 0.15 * rng.normal(size=16) for i in range(1200)])
+    people = people / np.linalg.norm(people, axis=1, keepdims=True)
+    v = vector_table(spark, people)
+    tree = X.train_centroid_tree(v, 36).cache()
+    rows = tree.collect()
+    leaves = [r for r in rows if r.cluster is not None]
+    assert sorted(r.cluster for r in leaves) == list(range(len(leaves))) and 30 <= len(leaves) <= 42
+    assert all(abs(np.linalg.norm(r.vector) - 1) < 1e-6 for r in rows)
+    fans = {}
+    for r in rows:
+        fans[r.parent] = fans.get(r.parent, 0) + 1
+    assert fans[None] == 6 and max(fans.values()) <= 24
+    got = {r.person_id: r.cluster for r in X.assign_in_tree(v, tree).collect()}
+    assert len(got) == 1200 and None not in got.values()
+    exact = {r.person_id: r.cluster for r in X.assign_clusters(v, X.leaf_centroids(tree)).collect()}
+    assert sum(got[i] == exact[i] for i in got) >= 0.9 * 1200  # two nodes a level lead to the nearest leaf
+    assert {r.person_id: r.cluster for r in X.assign_in_tree(v, tree, beam=36).collect()} == exact  # all of them always
+    monkeypatch.setattr(X, "CENTROID_BLOCK_BYTES", 16 * 4 * 12)  # several blocks
+    assert {r.person_id: r.cluster for r in X.assign_in_tree(v.repartition(3), tree).collect()} == got
+    monkeypatch.undo()
+    again = X.train_centroid_tree(v.repartition(5), 36)
+    assert {(r.node, r.cluster, tuple(np.round(r.vector, 6))) for r in again.collect()} == {(r.node, r.cluster, tuple(np.round(r.vector, 6))) for r in rows}
+    profiles = profile_table(spark, people[:5])
+    near = X.search_ivf(profiles, X.assign_in_tree(v, tree), X.leaf_centroids(tree), 10)
+    assert all(r.found >= 9 for r in X.recall_at(X.rank_cosine(profiles, v, 10), near, 10).collect())
+
+
+def test_a_tree_splits_a_cell_that_holds_most_rows(spark):
+    rng = np.random.default_rng(3)
+    near = np.ones(8) + 0.05 * rng.normal(size=(900, 8))
+    people = np.concatenate([near, rng.normal(size=(100, 8))])
+    tree = X.train_centroid_tree(vector_table(spark, people / np.linalg.norm(people, axis=1, keepdims=True)), 400, per_centroid=4)
+    fans = {r.parent: r.n for r in tree.groupBy("parent").agg(F.count("*").alias("n")).collect()}
+    assert max(fans.values()) <= 80 and len(fans) > 10
+
+
+def test_a_tree_of_few_equal_or_empty_rows(spark):
+    same = vector_table(spark, np.tile([1.0, 0.0, 0.0], (50, 1)))
+    tree = X.train_centroid_tree(same)
+    assert X.assign_in_tree(same, tree).select("cluster").distinct().count() == 1
+    zero = spark.createDataFrame([(1, 1, [0.0, 0.0, 0.0]), (2, 1, [0.0, 2.0, 0.0])], "person_id long, institution_id int, vector array<double>")
+    assert X.assign_in_tree(zero, X.train_centroid_tree(zero)).where("cluster is null").count() == 0
+    assert X.train_centroid_tree(same.where("false")).count() == 0
+
+
 def test_clustered_search_finds_the_nearest(spark):
     people = unit_rows(400, 16, 5)
     v = vector_table(spark, people)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from peerlens.operators import quality as Q
 from peerlens.operators.people import estimated_bytes
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
 from peerlens.plans.update import Catalog, refresh_build, update_catalog
-from peerlens.sources import readers, writers
+from peerlens.sources import readers, versions, writers
 from peerlens.streaming import recent_works as S
 
 NOW = dt.datetime(2026, 6, 1, 12)
@@ -158,15 +159,47 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
     def stream():
         return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
-    S.stream_recent_works(stream(), root).awaitTermination()
+    S.stream_recent_works(stream(), root, buckets=4).awaitTermination()
     want = {(r.person_id, r.work_id) for r in S.newest_per_person(rows).collect()}
-    got = S.read_recent_works(spark, root)
-    assert {(r.person_id, r.work_id) for r in got.collect()} == want
-    before = spark.read.parquet(f"{root}/log").count()
-    S.stream_recent_works(stream(), root).awaitTermination()  # nothing new
-    assert spark.read.parquet(f"{root}/log").count() == before
-    S.compact_log(spark, root, str(tmp_path / "compact"))
-    assert {(r.person_id, r.work_id) for r in S.read_recent_works(spark, str(tmp_path / "compact")).collect()} == want
+
+    def result():
+        return sorted((r.person_id, r.work_id) for r in S.read_recent_works(spark, root).collect())
+
+    assert result() == sorted(want)
+    version = versions.current(spark, root)
+    S.stream_recent_works(stream(), root, buckets=4).awaitTermination()  # started again, nothing new
+    S.merge_batch(rows.where("person_id = 'P1'"), 0, root, buckets=4)  # a batch that was merged before
+    assert versions.current(spark, root).tables == version.tables and result() == sorted(want)
+    assert {(r.person_id, r.work_id) for r in S.read_recent_works(spark, root, ["P1", "P3", "nobody"], buckets=4).collect()} == {w for w in want if w[0] in ("P1", "P3")}
+    versions.drop_old_versions(spark, root)
+    assert result() == sorted(want)
+    stored = sum(len(f) for *_, f in os.walk(f"{root}/data"))
+    held = spark.read.format("statestore").option("path", f"{root}/checkpoint").option("stateVarName", "works").load()
+    counts = [r["count"] for r in held.groupBy("key").count().collect()]
+    assert len(counts) == 7 and max(counts) <= 5 and stored < 40
+
+
+def test_late_works_count_for_thirty_days(spark, tmp_path):
+    root, source, schema = str(tmp_path / "out"), str(tmp_path / "in"), "person_id string, work_id string, title string, year int, date date, ts timestamp"
+
+    def work(person, name, day, ts):
+        return person, name, "t", day.year, day, dt.datetime.combine(ts, dt.time(12))
+
+    def run(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        S.stream_recent_works(spark.readStream.schema(schema).parquet(source), root, n=2).awaitTermination()
+        return {(r.person_id, r.work_id) for r in S.read_recent_works(spark, root).collect()}
+
+    first = {("A", "a1"), ("B", "b1")}
+    assert run(work("A", "a1", d("2024-01-01"), d("2024-01-01")), work("B", "b1", d("2024-03-01"), d("2024-03-01"))) == first
+    # 20 days behind the newest row: let in; 40 days behind: not.
+    assert run(work("A", "a2", d("2024-02-09"), d("2024-02-10")), work("A", "late", d("2024-02-20"), d("2024-01-20"))) == first | {("A", "a2")}
+    # The watermark has passed A's state; what was sent stays and meets what comes.
+    assert run(work("B", "b2", d("2024-06-01"), d("2024-06-01"))) == first | {("A", "a2"), ("B", "b2")}
+    run(work("B", "b2", d("2024-06-01"), d("2024-06-01")))  # a repeated work
+    held = spark.read.format("statestore").option("path", f"{root}/checkpoint").option("stateVarName", "works").load()
+    assert {r.key.person_id for r in held.collect()} == {"B"}
+    assert run(work("A", "a3", d("2024-06-02"), d("2024-06-02"))) == {("A", "a2"), ("A", "a3"), ("B", "b1"), ("B", "b2")}
 
 
 def test_the_newest_version_of_a_work_counts(table):

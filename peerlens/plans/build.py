@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from ..operators import topics as T
 from ..operators import works as W
 from ..operators import vectors as X
 from ..operators.profiles import with_person_text
-from ..sources import readers, writers
+from ..sources import versions, writers
 
 
 @dataclass
@@ -116,22 +117,34 @@ def tag_lists(tags: DataFrame) -> DataFrame:
 
 
 def publish(
-    built: Built, institutions: DataFrame, root: str, as_of: dt.datetime, limits: Limits | None = None, kind: str = "full", **stats
-) -> None:
-    """Write records, catalog, vocabulary, domains, institutions and the run's metadata under `root`."""
+    built: Built, institutions: DataFrame, root: str, as_of: dt.datetime, limits: Limits | None = None, kind: str = "full",
+    changed: Sequence | None = None, **stats,
+) -> None:
+    """Write records, catalog, vocabulary, domains, institutions and the run's metadata under `root` as one version.
+
+    Readers go by the manifest, which is written when all tables are there; until then, or if the job dies, they see the earlier build.
+    With `changed`, `built` holds these institutions only: their files are written, those of the others stay as they are.
+    The run is recorded last: a job that dies just before it scans the same window again, which changes nothing.
+    """
     limits = limits or Limits()
     if kind == "full":
         stats = {"last_ingestion": as_of.date(), **stats}
     spark = built.records.sparkSession
-    writers.write_records(built.records, root, limits.record_chunk)
-    records = readers.read_records(spark, root)
+    draft = versions.Draft(spark, root)
+    tags = built.tags
+    if changed is not None:
+        kinds = draft.read("tags").select("tag", "kind").unionByName(tags.select("tag", "kind")).groupBy("tag").agg(F.min("kind").alias("kind"))
+    writers.put_records(draft, built.records, limits.record_chunk, changed)
+    records = draft.read("records")
+    if changed is not None:
+        tags = records.select("person_id", F.posexplode("tags").alias("pos", "tag")).join(kinds, "tag")
     counts = records.groupBy("institution_id").agg(F.count("*").alias("people"))
-    writers.write_institutions(institutions.drop("people").join(counts, "institution_id", "left").fillna(0, ["people"]), root)
-    complete = writers.write_catalog(P.to_catalog(records), root, limits.catalog_rows)
-    kept = built.tags.join(records.select("person_id"), "person_id", "left_semi")
-    T.tag_vocabulary(kept).write.mode("overwrite").parquet(f"{root}/tags")
-    T.domain_list(records).write.mode("overwrite").parquet(f"{root}/domains")
+    draft.put("institutions", institutions.drop("people").join(counts, "institution_id", "left").fillna(0, ["people"]))
+    complete = writers.put_catalog(draft, P.to_catalog(records), limits.catalog_rows, changed)
+    draft.put("tags", T.tag_vocabulary(tags.join(records.select("person_id"), "person_id", "left_semi")))
+    draft.put("domains", T.domain_list(records))
     totals = records.agg(F.count("*").alias("people"), F.count("email").alias("with_email"), F.count_distinct("institution_id").alias("n")).first()
+    draft.commit()
     writers.write_run_metadata(
         spark, root, kind, as_of, last_cdc_run=as_of.date(), people=totals["people"],
         with_email=totals["with_email"], institutions=totals["n"], catalog_complete=complete,

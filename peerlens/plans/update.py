@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import cut_lineage
 from ..operators import incremental, people, topics, works
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from .build import Built, Limits, publish, tag_lists, within_budget
 
 
@@ -23,6 +24,15 @@ class Catalog:
     tags: DataFrame  # person_id, pos, tag, kind
 
 
+def window_works(
+    people_: DataFrame, window: tuple[dt.date, dt.date], institutions: DataFrame, changed_works: DataFrame, authorships: DataFrame, work_institutions: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The window's works at tracked institutions, and those of the given people. Cuts a checkpoint."""
+    since, until = window
+    scanned = works.works_at(changed_works.where(F.col("date").between(since, until)), work_institutions, institutions)
+    return scanned, cut_lineage(works.works_of(people_, scanned, authorships))
+
+
 def update_catalog(
     stored: Catalog,
     window: tuple[dt.date, dt.date],
@@ -33,16 +43,16 @@ def update_catalog(
     fresh: DataFrame,
     work_funders: DataFrame | None = None,
     fresh_tags: DataFrame | None = None,
+    found: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[Catalog, DataFrame]:
     """New works of tracked people merged, signals and metrics refreshed, everything unmentioned kept.
 
     The date range is a literal and reaches the scan; only works at tracked
-    institutions and people with new works are shuffled against the stored state.
+    institutions and people with new works are shuffled against the stored state. `found` is what `window_works` gave, if
+    the caller has it already.
     """
-    since, until = window
-    scanned = works.works_at(changed_works.where(F.col("date").between(since, until)), work_institutions, institutions)
-    # The window's share of the works, and the merged rows of people it touches: each is read several times below.
-    new_pubs = cut_lineage(works.works_of(stored.records, scanned, authorships))
+    scanned, new_pubs = found or window_works(stored.records, window, institutions, changed_works, authorships, work_institutions)
+    # The merged rows of people that the window touches are read several times below, as its works are.
     touched = new_pubs.select("person_id").distinct()
     old_pubs = stored.publications.drop("recency")
     mine = old_pubs.join(touched, "person_id", "left_semi")
@@ -81,26 +91,35 @@ def refresh_build(
 ) -> DataFrame:
     """Update the build under `root` and stamp the run (C2, C4, S12). Returns the statistics row.
 
-    Works are scanned from `since`, or from the last run less the overlap. The size budget of `limits` holds as in a full
-    build. With `target` the new build goes to another root and the old one stays
-    untouched until readers are switched; without it files are replaced in
-    place, which is why the stored tables are checkpointed first.
+    Works are scanned from `since`, or from the last run less the overlap. Only institutions with touched people (new works, fresh metrics or
+    tags) are read in full and written; the files of the others stay. With a size budget in `limits`, which people
+    of other institutions may fall out by, or with `target`, everything is written anew. The new build becomes visible as one version,
+    under `root` or under `target`.
     """
     spark = changed_works.sparkSession
+    limits = limits or Limits()
     window = incremental.change_window(spark.read.parquet(f"{root}/runs"), as_of.date(), overlap_days, since)
-    institutions = cut_lineage(spark.read.parquet(f"{root}/institutions"))
+    institutions = cut_lineage(readers.read_stored(spark, root, "institutions"))
     if "extra_ids" not in institutions.columns:
         none = F.lit(None).cast(f"array<{institutions.schema['institution_id'].dataType.simpleString()}>")
         institutions = institutions.withColumn("extra_ids", none)
-    kinds = cut_lineage(spark.read.parquet(f"{root}/tags").select("tag", "kind"))
-    stored = cut_lineage(readers.read_records(spark, root))
+    kinds = readers.read_stored(spark, root, "tags").select("tag", "kind")
+    everyone = readers.read_records(spark, root)
+    found = window_works(everyone.select("person_id"), window, institutions, changed_works, authorships, work_institutions)
+    changed = None
+    if target is None and limits.size_budget is None and versions.holds(spark, root, "records"):
+        named = [found[1].select("person_id"), fresh.select("person_id"), *([fresh_tags.select("person_id")] if fresh_tags is not None else [])]
+        touched = reduce(DataFrame.unionByName, named).distinct()
+        homes = everyone.select("person_id", "institution_id").join(touched, "person_id", "left_semi").select("institution_id").distinct()
+        changed = sorted((r[0] for r in homes.where("institution_id is not null").collect()), key=str)  # institutions, not people
+    stored = cut_lineage(readers.read_records(spark, root, changed))
     pubs = stored.select("person_id", F.posexplode("recent_publications").alias("_i", "p")).select(
         "person_id", "p.*", F.lit(None).cast(stored.schema["person_id"].dataType).alias("first_author"), (F.col("_i") + 1).alias("recency")
     )
     tags = stored.select("person_id", F.posexplode("tags").alias("pos", "tag")).join(kinds, "tag").select("person_id", "pos", "tag", "kind")
     state = Catalog(stored.drop("recent_publications", "tags", "record_chunk"), pubs, tags)
     after, stats = update_catalog(
-        state, window, institutions, changed_works, authorships, work_institutions, fresh, work_funders, fresh_tags
+        state, window, institutions, changed_works, authorships, work_institutions, fresh, work_funders, fresh_tags, found
     )
     stats = cut_lineage(stats)
     row = stats.first()
@@ -111,11 +130,11 @@ def refresh_build(
         records = topics.with_domain_names(records.drop("domains"))
     after_tags = cut_lineage(after.tags)
     records = records.join(works.publication_arrays(publications), "person_id", "left").join(tag_lists(after_tags), "person_id", "left")
-    records, extra = within_budget(records, limits or Limits())
+    records, extra = within_budget(records, limits)
     if target is not None:
         writers.snapshot(spark, root, target)  # run history goes along
     publish(
-        Built(cut_lineage(records), publications, after_tags, extra), institutions, target or root, as_of, limits, "update",
+        Built(cut_lineage(records), publications, after_tags, extra), institutions, target or root, as_of, limits, "update", changed,
         window_from=window[0], window_to=window[1], **row.asDict(),
     )
     return stats

@@ -16,14 +16,14 @@ from ..operators import quality as Q
 from ..operators import topics as T
 from ..operators import vectors as X
 from ..operators import works as W
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from ..streaming import recent_works as S
 from .bindings import AS_OF, Tables
 from .build import Inputs, Limits, build_records, publish
 from .match_queries import label_centroids, label_profiles, people_vectors
 from .people_queries import ROWS_SQL, catalog, records, scored
 from .registry import query
-from .update import Catalog, update_catalog
+from .update import Catalog, refresh_build, update_catalog
 from .work_queries import tags_of
 
 NOW = dt.datetime(2001, 8, 1, 12, 0)
@@ -519,3 +519,25 @@ def _(t: Tables):
     publish(build_records(inputs, AS_OF, limits), t.institutions, root, NOW, limits)
     rows = readers.read_catalog(t.spark, root)
     return rows.select("person_id", "institution_id", "seniority_score", F.array_join("tags", "|").alias("tags"), "title")
+
+
+@query(
+    "rewritten_institutions", "C2 J10 S8 S9 S12",
+    """, pooled AS (SELECT person_id, CASE WHEN institution_id >= 20 THEN institution_id - 20 ELSE institution_id END AS home FROM people WHERE nworks >= 20 AND cites >= 500 AND h >= 10),
+    newest AS (SELECT max(d) AS day FROM works), touched AS (SELECT DISTINCT person_id FROM pubs, newest WHERE d = day)
+    SELECT home AS institution_id, count(*) AS people, bool_or(person_id IN (SELECT person_id FROM touched)) AS rewritten FROM pooled GROUP BY 1""",
+)
+def _(t: Tables):
+    """A full build, then an update with the works of the newest day: which institutions have new files."""
+    inputs = Inputs(t.authors, t.institutions, t.author_topics, t.year_counts, t.works, t.authorships, t.work_funders, t.work_keywords, t.contacts)
+    root, limits = scratch_dir(t.spark, "build"), Limits()
+    publish(build_records(inputs, AS_OF, limits), t.institutions, root, NOW, limits)
+    before = versions.current(t.spark, root).tables["records"]
+    day = t.works.agg(F.max("date")).first()[0]
+    homes = t.authorship_lines.join(t.authors.select("person_id", "institution_id"), "person_id").select("work_id", "institution_id")
+    nothing = t.authors.select("person_id", "citation_count").where("false")
+    refresh_build(root, dt.datetime.combine(day, dt.time(12)), t.works, t.authorships, homes, nothing, limits=limits, since=day)
+    after = versions.current(t.spark, root).tables["records"]
+    kept = [part for part, folder in after.items() if before.get(part) == folder]  # one name per institution
+    counts = readers.read_records(t.spark, root).groupBy("institution_id").agg(F.count("*").alias("people"))
+    return counts.withColumn("rewritten", ~readers.part_name(F.col("institution_id")).isin(kept))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_per_group
 from ..functions.text import blank_to_null, clean_label, cut, short_id
 from ..operators.people import join_institutions, to_catalog
+from . import versions
 
 AUTHOR_SCHEMA = """
 id string, display_name string, orcid string, works_count int, cited_by_count long,
@@ -154,9 +155,23 @@ def affiliation_strings(texts: DataFrame, n: int | None = None, size: int | None
     return first if n is None else top_per_group(first, ["person_id"], [F.col("pos"), F.col("text")], n)
 
 
+def stored_exists(spark: SparkSession, root: str, name: str) -> bool:
+    return versions.holds(spark, root, name) or _exists(spark, f"{root}/{name}")
+
+
+def read_stored(spark: SparkSession, root: str, name: str, institutions: Sequence | None = None) -> DataFrame:
+    """A table of a build: as its manifest has it, or from a plain folder where there is none."""
+    if versions.holds(spark, root, name):
+        manifest = versions.current(spark, root)
+        by_institution = "" not in manifest.tables[name]
+        parts = [f"i{x}" for x in institutions] if institutions is not None and by_institution else None
+        return _pruned(versions.read_table(spark, root, name, parts, manifest=manifest), institutions)
+    return _pruned(spark.read.parquet(f"{root}/{name}"), institutions)
+
+
 def read_records(spark: SparkSession, root: str, institutions: Sequence | None = None) -> DataFrame:
-    """Records of an earlier build; only the partitions of `institutions` when given."""
-    return _pruned(spark.read.parquet(f"{root}/records"), institutions)
+    """Records of an earlier build; only the files of `institutions` when given (S6, S15). A build of nobody is empty."""
+    return read_stored(spark, root, "records", institutions)
 
 
 def read_catalog(spark: SparkSession, root: str, institutions: Sequence | None = None) -> DataFrame:
@@ -165,13 +180,10 @@ def read_catalog(spark: SparkSession, root: str, institutions: Sequence | None =
     Without `institutions` the (possibly truncated) global catalog is read, with
     them the per-institution rows.
     """
-    inst = spark.read.parquet(f"{root}/institutions")
-    if _exists(spark, f"{root}/catalog"):
-        by_institution = f"{root}/catalog_by_institution"
-        if institutions is not None and _exists(spark, by_institution):
-            rows = _pruned(spark.read.parquet(by_institution), institutions)
-        else:
-            rows = _pruned(spark.read.parquet(f"{root}/catalog"), institutions)
+    inst = read_stored(spark, root, "institutions")
+    if stored_exists(spark, root, "catalog"):
+        by_institution = institutions is not None and stored_exists(spark, root, "catalog_by_institution")
+        rows = read_stored(spark, root, "catalog_by_institution" if by_institution else "catalog", institutions)
     else:
         rows = to_catalog(read_records(spark, root, institutions))
     return join_institutions(rows, inst)

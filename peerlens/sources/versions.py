@@ -90,6 +90,49 @@ def read_table(spark: SparkSession, root: str, name: str, parts: list[str] | Non
     return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in dict.fromkeys(folders)])
 
 
+def holds(spark: SparkSession, root: str, name: str) -> bool:
+    return name in current(spark, root).schemas
+
+
+class Draft:
+    """The next version of the tables under a root: changes are written as they come, and count once `commit` is called."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.base = current(spark, root)
+        self.tables = {name: dict(parts) for name, parts in self.base.tables.items()}
+        self.schemas = dict(self.base.schemas)
+
+    def put(self, name: str, rows: DataFrame, by: str | None = None, only: list[str] | None = None, options: dict | None = None) -> None:
+        """Write `rows` as the table `name`, or as its parts `only`: those are replaced, or go where `rows` has none; the files of others stay.
+
+        `by` is the column of the part's name; it is no column of the table.
+        """
+        place = fresh_folder(name)
+        writer = rows.write.options(**(options or {}))
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{place}")
+        kept = {p: f for p, f in self.tables.get(name, {}).items() if only is not None and p not in only}
+        if by is None:
+            kept[""] = place
+        else:
+            plain = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+            for folder in _names(self.spark, f"{self.root}/{place}"):
+                if folder.startswith(f"{by}="):
+                    kept[plain(folder[len(by) + 1 :])] = f"{place}/{folder}"
+        self.tables[name] = kept
+        self.schemas[name] = rows.drop(*([by] if by else [])).schema.json()
+
+    def drop(self, name: str) -> None:
+        self.tables.pop(name, None)
+        self.schemas.pop(name, None)
+
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        return read_table(self.spark, self.root, name, parts, manifest=Manifest(self.base.version, self.tables, self.schemas))
+
+    def commit(self) -> None:
+        commit(self.spark, self.root, Manifest(self.base.version + 1, self.tables, self.schemas))
+
+
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Delete all but the newest `keep` manifests and the folders that none of those names. Returns how many folders went.
 

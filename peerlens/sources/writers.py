@@ -1,4 +1,9 @@
-"""Writers (S8-S13). Builds are Parquet tables under one root; every write is a plain committed overwrite or append."""
+"""Writers (S8-S13). Builds are Parquet tables under one root.
+
+Records, catalog, institutions, tags and domains are versioned: files are written
+first and count once a manifest names them (`versions`). Runs and status are logs
+that are appended to; vectors are replaced.
+"""
 
 from __future__ import annotations
 
@@ -11,57 +16,67 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.ranking import cut_lineage
 from ..operators.people import importance, record_chunks, to_catalog, truncate_catalog
-from .readers import PART, _exists, part_name
+from .readers import PART, part_name, read_stored, stored_exists
+from .versions import Draft
 
 
-def write_records(records: DataFrame, root: str, chunk: int = V.RECORD_CHUNK) -> None:
+def put_records(draft: Draft, records: DataFrame, chunk: int = V.RECORD_CHUNK, institutions: Sequence | None = None) -> None:
     """Full records by institution, most important first, `chunk` people per file.
 
-    The whole table is replaced, so institutions that left the build leave no
-    files behind. Rebalancing by institution and chunk splits a large institution over many tasks.
+    With `institutions` only their files are replaced; else the whole table is, so that institutions that left the build are gone.
+    Rebalancing by institution and chunk splits a large institution over many tasks.
     """
-    chunked = record_chunks(records, chunk)
-    (
-        chunked.hint("rebalance", F.col("institution_id"), F.col("record_chunk"))
+    rows = (
+        record_chunks(records.drop("record_chunk"), chunk).hint("rebalance", F.col("institution_id"), F.col("record_chunk"))
         .sortWithinPartitions("institution_id", *importance())
         .withColumn(PART, part_name(F.col("institution_id")))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .option("maxRecordsPerFile", chunk)
-        .partitionBy(PART)
-        .parquet(f"{root}/records")
     )
+    draft.put("records", rows, PART, part_names(institutions), {"maxRecordsPerFile": str(chunk)})
 
 
-def write_institutions(institutions: DataFrame, root: str) -> None:
-    institutions.write.mode("overwrite").parquet(f"{root}/institutions")
+def put_catalog(draft: Draft, records: DataFrame, top_n: int | None = None, institutions: Sequence | None = None) -> bool:
+    """Slim rows: everyone by institution, and the `top_n` most important people where that is not all.
 
-
-def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bool:
-    """Slim rows: the `top_n` most important people, and everyone by institution when that is not all.
-
-    Returns whether the global catalog is complete.
+    `records` are all of the build. With `institutions` only their rows by institution are written anew. Returns whether `catalog` is complete.
     """
     rows = cut_lineage(to_catalog(records))  # slim rows, read up to three times
     complete = top_n is None or rows.count() <= top_n
-    top = rows if complete else truncate_catalog(rows, top_n)
-    top.write.mode("overwrite").parquet(f"{root}/catalog")
+    whole = "catalog" if complete else "catalog_by_institution"
     if not complete:
-        (
-            rows.hint("rebalance", F.col("institution_id"))
-            .withColumn(PART, part_name(F.col("institution_id")))
-            .write.mode("overwrite")
-            .partitionBy(PART)
-            .parquet(f"{root}/catalog_by_institution")
-        )
+        draft.put("catalog", truncate_catalog(rows, top_n))
     else:
-        _drop(rows.sparkSession, f"{root}/catalog_by_institution")  # left by an earlier, truncated build
+        draft.drop("catalog_by_institution")  # left by an earlier, truncated build
+    # Parts can only be replaced where the table was written by institution before.
+    scoped = institutions is not None and "" not in draft.tables.get(whole, {"": ""})
+    mine = rows.where(F.col("institution_id").isin(list(institutions))) if scoped else rows
+    by_institution = mine.hint("rebalance", F.col("institution_id")).withColumn(PART, part_name(F.col("institution_id")))
+    draft.put(whole, by_institution, PART, part_names(institutions) if scoped else None)
     return complete
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def part_names(institutions: Sequence | None) -> list[str] | None:
+    return None if institutions is None else [f"i{x}" for x in institutions]
+
+
+def write_records(records: DataFrame, root: str, chunk: int = V.RECORD_CHUNK) -> None:
+    """`put_records` as a version of its own."""
+    draft = Draft(records.sparkSession, root)
+    put_records(draft, records, chunk)
+    draft.commit()
+
+
+def write_institutions(institutions: DataFrame, root: str) -> None:
+    draft = Draft(institutions.sparkSession, root)
+    draft.put("institutions", institutions)
+    draft.commit()
+
+
+def write_catalog(records: DataFrame, root: str, top_n: int | None = None) -> bool:
+    """`put_catalog` as a version of its own."""
+    draft = Draft(records.sparkSession, root)
+    complete = put_catalog(draft, records, top_n)
+    draft.commit()
+    return complete
 
 
 def write_vector_index(vectors: DataFrame, centroids: DataFrame, root: str) -> None:
@@ -120,8 +135,10 @@ def write_status(status: DataFrame, root: str) -> None:
 
 def snapshot(spark: SparkSession, root: str, target: str) -> None:
     """Copy what the next build is compared with: institutions, runs and status (Q9)."""
-    for name in ("institutions", "runs", "status"):
-        if _exists(spark, f"{root}/{name}"):
+    if stored_exists(spark, root, "institutions"):
+        write_institutions(read_stored(spark, root, "institutions"), target)
+    for name in ("runs", "status"):
+        if stored_exists(spark, root, name):
             spark.read.parquet(f"{root}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
 
 

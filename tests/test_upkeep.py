@@ -273,15 +273,15 @@ def test_size_report_and_status(table):
 
 # --- a whole build ------------------------------------------------------------------------------------------
 
-def test_build_publish_read_and_search(spark, table, tmp_path):
-    n = 30
+def small_build(spark, table, n=30):
+    """Inputs of `n` people at two institutions, every third at I1."""
     ids = spark.range(n).withColumn("person_id", F.format_string("A%02d", "id"))
     authors = ids.select(
         "person_id", F.concat(F.lit("Person "), "id").alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(30).alias("works_count"),
         (F.col("id") * 100 + 600).alias("citation_count"), F.lit(20).alias("h_index"), F.when(F.col("id") % 3 == 0, "I1").otherwise("I2").alias("institution_id"),
     )
     works = ids.select(F.concat(F.lit("W"), "id").alias("work_id"), F.concat(F.lit("Peptide study "), "id").alias("title"), F.lit(2025).alias("year"), F.lit(d("2025-05-01")).alias("date"))
-    inputs = Inputs(
+    return Inputs(
         authors, table("institution_id string, institution_name string, country_code string, rank int, homepage_url string", ("I1", "One", "US", 1, None), ("I2", "Two", "UK", 2, None)),
         ids.select("person_id", F.lit("Peptides").alias("topic"), F.lit("Biochemistry").alias("subfield"), F.lit("Biology").alias("field"), F.lit(3.0).alias("n")),
         ids.select("person_id", F.lit(2025).alias("year"), F.lit(4).alias("works")),
@@ -289,6 +289,10 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
         works.select("work_id", F.lit(0).alias("pos"), F.lit("NIH").alias("funder")), works.select("work_id", F.lit("Insulin").alias("keyword"), F.lit(0.8).alias("score")),
         ids.select("person_id", F.lit("Professor").alias("title"), F.lit("a@b.edu").alias("email"), F.lit("https://b.edu").alias("profile_url"), F.lit("directory").alias("profile_source")),
     )
+
+
+def test_build_publish_read_and_search(spark, table, tmp_path):
+    inputs = small_build(spark, table)
     limits = Limits(per_institution=8, catalog_rows=5, record_chunk=3)
     root = str(tmp_path / "build")
     publish(build_records(inputs, NOW.date(), limits), inputs.institutions, root, NOW, limits)
@@ -301,7 +305,7 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     assert (row.tags, row.domains, row.has_email) == (["Peptides", "Insulin"], ["Biology", "Biochemistry"], True)
     run = spark.read.parquet(f"{root}/runs").first()
     assert (run.people, run.with_email, run.catalog_complete, run.last_ingestion) == (16, 16, False, NOW.date())
-    assert [(r.tag_id, r.tag, r.people) for r in spark.read.parquet(f"{root}/tags").orderBy("tag_id").collect()] == [(0, "Insulin", 16), (1, "Peptides", 16)]
+    assert [(r.tag_id, r.tag, r.people) for r in readers.read_stored(spark, root, "tags").orderBy("tag_id").collect()] == [(0, "Insulin", 16), (1, "Peptides", 16)]
 
     everyone = readers.read_records(spark, root)
     publish_vectors(everyone, root)
@@ -332,7 +336,7 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     assert (a.citation_count, [p.work_id for p in a.recent_publications], a.tags, a.recent_works) == (99999, ["N1", "W29"], ["Peptides", "Insulin"], 2)
     run = spark.read.parquet(f"{root}/runs").where("kind = 'update'").first()  # the moved build has its own history
     assert (run.window_from, run.window_to, run.works_scanned, run.last_cdc_run) == (d("2026-05-02"), d("2026-07-01"), 1, d("2026-07-01"))
-    assert ok(Q.check_shrink(spark.read.parquet(f"{before}/institutions"), spark.read.parquet(f"{root}/institutions"))) == (True, 0)
+    assert ok(Q.check_shrink(readers.read_stored(spark, before, "institutions"), readers.read_stored(spark, root, "institutions"))) == (True, 0)
     # A smaller build leaves no partition of an institution behind.
     everyone = readers.read_records(spark, root)
     writers.write_records(everyone.where("institution_id = 'I1'"), str(tmp_path / "again"))
@@ -340,6 +344,91 @@ def test_build_publish_read_and_search(spark, table, tmp_path):
     assert readers.read_records(spark, str(tmp_path / "again")).select("institution_id").distinct().count() == 1
 
 
+def files_of(spark, root, name):
+    """Data files of a table, by part."""
+    tables = versions.current(spark, root).tables[name]
+    return {part: sorted(f for f in os.listdir(f"{root}/{folder}") if f.endswith(".parquet")) for part, folder in tables.items()}
+
+
+def rows_of(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def test_a_build_that_dies_half_way_leaves_the_old_one(spark, table, tmp_path, monkeypatch):
+    inputs, limits, root = small_build(spark, table), Limits(per_institution=8), str(tmp_path / "build")
+    publish(build_records(inputs, NOW.date(), limits), inputs.institutions, root, NOW, limits)
+    tables = ("records", "catalog", "institutions", "tags", "domains")
+    before = {name: rows_of(readers.read_stored(spark, root, name)) for name in tables}
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("lost between records and catalog")
+
+    monkeypatch.setattr(writers, "put_catalog", dies)
+    more = Limits(per_institution=3)
+    with pytest.raises(RuntimeError, match="lost between"):
+        publish(build_records(inputs, NOW.date(), more), inputs.institutions, root, NOW, more)
+    assert {name: rows_of(readers.read_stored(spark, root, name)) for name in tables} == before
+    assert spark.read.parquet(f"{root}/runs").count() == 1
+    monkeypatch.undo()
+    publish(build_records(inputs, NOW.date(), more), inputs.institutions, root, NOW, more)
+    assert readers.read_records(spark, root).count() == 6 and readers.read_catalog(spark, root, ["I1"]).count() == 3
+    assert versions.read_table(spark, root, "records", version=1).count() == 16  # the earlier version is there until it is dropped
+    kept = len(os.listdir(f"{root}/data/records"))
+    assert versions.drop_old_versions(spark, root) > 0 and len(os.listdir(f"{root}/data/records")) == 1 < kept
+    assert readers.read_records(spark, root).count() == 6
+    with pytest.raises(ValueError, match="no version"):
+        versions.current(spark, root, 1)
+
+
+def test_a_build_of_nobody_reads_back(spark, table, tmp_path):
+    inputs, limits, root = small_build(spark, table), Limits(size_budget=1), str(tmp_path / "build")
+    publish(build_records(inputs, NOW.date(), limits), inputs.institutions, root, NOW, limits)
+    records, catalog = readers.read_records(spark, root), readers.read_catalog(spark, root)
+    assert records.count() == catalog.count() == 0 and {"person_id", "seniority_score", "recent_publications"} <= set(records.columns)
+    assert readers.read_records(spark, root, ["I1"]).count() == 0
+    run = spark.read.parquet(f"{root}/runs").first()
+    assert (run.people, run.pruned) == (0, 30)
+
+
+def test_two_writers_do_not_publish_one_version(spark, table, tmp_path):
+    root, rows = str(tmp_path / "build"), table("institution_id string", ("I1",))
+    first, second = versions.Draft(spark, root), versions.Draft(spark, root)
+    first.put("institutions", rows)
+    second.put("institutions", rows.where("false"))
+    first.commit()
+    with pytest.raises(ValueError, match="published already"):
+        second.commit()
+    assert readers.read_stored(spark, root, "institutions").count() == 1
+
+
+@pytest.mark.parametrize("catalog_rows", [None, 5])
+def test_an_update_writes_only_the_institutions_it_touches(spark, table, tmp_path, catalog_rows):
+    inputs, limits = small_build(spark, table), Limits(catalog_rows=catalog_rows, record_chunk=3)
+    roots = [str(tmp_path / name) for name in ("scoped", "whole")]
+    for root in roots:
+        publish(build_records(inputs, NOW.date(), limits), inputs.institutions, root, NOW, limits)
+    new = table("work_id string, title string, year int, date date", ("N1", "New insulin study", 2026, d("2026-06-20")), ("N2", "Another", 2026, d("2026-06-22")))
+    who = table("work_id string, person_id string, position string, first_author string", ("N1", "A29", "last", "S2"), ("N2", "A28", "first", None))
+    where = table("work_id string, institution_id string", ("N1", "I2"), ("N2", "I2"))
+    fresh = table("person_id string, citation_count long", ("A29", 99999))
+    tags = table("person_id string, pos int, tag string, kind string", ("A28", 0, "Fresh", "topic"))
+    names = ["records", "catalog" if catalog_rows is None else "catalog_by_institution"]
+    before = {n: files_of(spark, roots[0], n) for n in names}
+    folders = {n: versions.current(spark, roots[0]).tables[n] for n in names}
+    stats = refresh_build(roots[0], dt.datetime(2026, 7, 1), new, who, where, fresh, fresh_tags=tags, limits=limits)
+    other = str(tmp_path / "target")  # another root is always written whole
+    assert rows_of(stats) == rows_of(refresh_build(roots[1], dt.datetime(2026, 7, 1), new, who, where, fresh, fresh_tags=tags, limits=limits, target=other))
+    for n in names:
+        assert files_of(spark, roots[0], n)["iI1"] == before[n]["iI1"] and versions.current(spark, roots[0]).tables[n]["iI1"] == folders[n]["iI1"]
+        assert not set(files_of(spark, roots[0], n)["iI2"]) & set(before[n]["iI2"])
+    for n in ("records", "catalog", "tags", "domains", "institutions"):
+        assert rows_of(readers.read_stored(spark, roots[0], n)) == rows_of(readers.read_stored(spark, other, n)), n
+    assert readers.read_records(spark, roots[0], ["I2"]).where("person_id = 'A29' and citation_count = 99999").count() == 1
+    folders = versions.current(spark, roots[0]).tables["records"]
+    refresh_build(roots[0], dt.datetime(2026, 7, 2), new.where("false"), who, where, fresh.where("false"), limits=limits)  # touches nobody
+    assert versions.current(spark, roots[0]).tables["records"] == folders and readers.read_records(spark, roots[0]).count() == 30
+
+
 def test_pruning_in_a_build_keeps_the_most_cited(spark):
     from peerlens.operators import people as P
 

@@ -103,10 +103,8 @@ MAX_MATCHES = 1000
 PROBE_START = 24
 PROBE_MAX = 192
 ENOUGH_FILTERED = 200
-KMEANS_SAMPLE = 50_000
 KMEANS_ITERATIONS = 8
 TAG_BOOST = 0.15
-MATCH_SCOPE_PEOPLE = 100_000
 FILTER_SCOPE_ROWS = 150_000
 URL_PREFIXES = ["https://orcid.org/", "https://openalex.org/"]
 CSV_COLUMNS = [

@@ -63,7 +63,14 @@ def pool_institutions(people: DataFrame, aliases: DataFrame, n: int | None) -> D
     pooled = people.join(renamed, "institution_id", "left").withColumn(
         "institution_id", F.coalesce("_home", "institution_id")
     ).drop("_home")
-    return top_people(pooled.dropDuplicates(["person_id", "institution_id"]), n)
+    return top_people(one_row(pooled, "person_id", "institution_id"), n)
+
+
+def one_row(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, chosen by a hash of its values, so that the choice does not depend on their order."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    values = F.to_json(whole)  # hashes take no maps, and a hash alone may tie
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.struct(F.xxhash64(values), values)).alias("_row")).select("_row.*")
 
 
 def dedupe_people(records: DataFrame) -> DataFrame:
@@ -326,8 +333,8 @@ def expand_records(rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def append_rows(catalog: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of people not listed yet are added."""
-    fresh = rows.dropDuplicates(["person_id"]).join(catalog.select("person_id"), "person_id", "left_anti")
+    """Rows of people not listed yet are added (U3). Of several rows of a person the one with the smallest hash of its values is, in whatever order they come."""
+    fresh = one_row(rows, "person_id").join(catalog.select("person_id"), "person_id", "left_anti")
     return catalog.unionByName(fresh, allowMissingColumns=True)
 
 

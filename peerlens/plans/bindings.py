@@ -145,13 +145,13 @@ class Tables:
 
     @property
     def topics(self) -> DataFrame:
-        """Topic list: subfield and up to twelve keywords (the brands sold under the name)."""
+        """Topic list: subfield and keywords (the brands sold under the name)."""
         return (
             self.raw("part")
             .groupBy(F.col("p_name").alias("topic"))
             .agg(
                 F.min("p_type").alias("subfield"),
-                F.slice(F.array_sort(F.collect_set(F.lower("p_type"))), 1, 12).alias("keywords"),
+                F.array_sort(F.collect_set(F.lower("p_type"))).alias("keywords"),
             )
         )
 

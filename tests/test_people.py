@@ -178,3 +178,14 @@ def test_csv_defuses_formulas(table):
     got = writers.csv_rows(df).first()
     assert got["Name"] == "'=1+1" and got["Email"] == "'@x" and got["Profile link"] == "'-u" and got["Notes"] == "'\tx"
     assert got["University"] == "" and got["Saved"] == "2026-01-02" and got["University rank"] == "3"
+
+
+def test_repeated_rows_are_chosen_in_whatever_order(table):
+    from peerlens.operators import people as P
+
+    schema = "person_id string, institution_id string, name string"
+    rows = [("A", "I1", "a"), ("A", "I1", "b"), ("A", "I1", None), ("B", "I2", "c")]
+    catalog = table(schema, ("B", "I2", "listed"))
+    some, other = (P.append_rows(catalog, table(schema, *r).coalesce(1)).collect() for r in (rows, rows[::-1]))
+    assert sorted(map(repr, some)) == sorted(map(repr, other)) and len(some) == 2
+    assert P.one_row(table(schema, *rows), "person_id", "institution_id").count() == 2

@@ -155,7 +155,7 @@ def train(
     The sampled labels are bounded by `sample`, so they are broadcast to the documents and no text is shuffled. The cut
     comes from the scores of all labelled documents; where not all were learned from, all documents are scored once for
     it, and only their ids and scores are shuffled. Documents
-    repeated under one id count once. Without any labelled document, as with empty tables, the model is NEUTRAL. Where all
+    repeated under one id count once; where labels of one id disagree the higher one counts. Without any labelled document, as with empty tables, the model is NEUTRAL. Where all
     labelled documents are of one kind this raises, or gives NEUTRAL with `one_sided="neutral"`.
     """
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) == 1).alias("_good"))

@@ -39,7 +39,10 @@ def interleave(rows: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_i
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole documents, one folder per shard, rows in the order of their slots. Ids must be unique."""
+    """Write whole documents, one folder per shard; its files, in the order of their names, hold the rows in the order of their slots.
+
+    A shard of any size is written by as many tasks as its rows fill. Ids must be unique.
+    """
     joined = join_null_safe(docs, placed.select(id_col, "shard", "slot"), [id_col])
-    shards = joined.repartition("shard").sortWithinPartitions("shard", "slot")
+    shards = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     shards.write.partitionBy("shard").parquet(path)

@@ -126,6 +126,10 @@ def test_shards_of_odd_tables(spark, table, tmp_path):
     named = table("doc_id long, source string, text string", *[(i, "ab"[i % 2], f"t{i}") for i in range(30)])
     sharding.write_shards(named, sharding.interleave(named.drop("text"), 4), str(tmp_path / "out"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text").collect()) == [(i, f"t{i}") for i in range(30)]
+    for shard in range(4):
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots))) and slots
 
 
 @pytest.mark.parametrize("n", [1, 39, 40, 41, 1001])

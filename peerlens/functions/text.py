@@ -1,4 +1,4 @@
-"""Text column helpers. All but `fold` and `unescape_entities` stay in the JVM."""
+"""Text column helpers. All but `fold` (beyond ASCII) and `unescape_entities` stay in the JVM."""
 
 from __future__ import annotations
 
@@ -15,20 +15,24 @@ from . import fixed_values as V
 
 
 @F.pandas_udf(T.StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Lower case, compatibility-decomposed, without combining marks. Spark has no NFKD function."""
-
+def _fold_wide(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
             return None
-        text = text.lower()
-        if text.isascii():
-            return text
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
     return texts.map(one)
 
 
+def fold(c: Column) -> Column:
+    """Lower case, compatibility-decomposed, without combining marks.
+
+    Spark has no NFKD function, so texts beyond ASCII go to Python; of the others only a null does.
+    """
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _fold_wide(F.when(wide, c))).otherwise(F.lower(c))
+
+
 @F.pandas_udf(T.StringType())
 def unescape_entities(texts: pd.Series) -> pd.Series:
     """HTML entities to characters."""

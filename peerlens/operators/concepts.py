@@ -17,18 +17,19 @@ from ..functions.text import concept_tokens, fold, significant
 
 KEYWORD, SUBFIELD, PREFIX_MATCH = 0.8, 0.6, 0.85
 SYNONYM, NARROWER, WORD_BY_WORD = 0.9, 0.75, 0.95
+SHORTEST, LONGEST = 5, 32  # letters of a word that begins others; letters of a cut
 _CONCEPT = ["query_id", "concept_pos"]
 
 
 # --- keyword search -------------------------------------------------------------------------------------
 
-def token_index(catalog: DataFrame) -> DataFrame:
-    """Words of name, title and publication titles with their place: token, person_id, pos.
+def token_index(catalog: DataFrame, *keep: str) -> DataFrame:
+    """Words of name, title and publication titles with their place: token, person_id, pos, and the columns `keep`.
 
-    Write it sorted by token and a prefix filter reads only the matching row groups.
+    `sources.keyword_index` stores it by word and keeps it up.
     """
     words = F.filter(F.split(F.lower(_person_text(catalog)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return catalog.select("person_id", F.posexplode(words).alias("pos", "token")).select("token", "person_id", "pos")
+    return catalog.select("person_id", *keep, F.posexplode(words).alias("pos", "token")).select("token", "person_id", "pos", *keep)
 
 
 def _person_text(catalog: DataFrame) -> Column:
@@ -152,24 +153,33 @@ def expand_concepts(concepts: DataFrame, groups: DataFrame) -> DataFrame:
     return first.select(*_CONCEPT, "alt_pos", "_a.*")
 
 
+def word_links(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Words and the distinct tokens they meet: the same token, or one that a word of five letters or more begins.
+
+    words(_w), tokens(_tok) -> _w, _tok, _same. A token is cut at every length from 5 to 32 and its cuts meet words by equality, so a
+    beginning that many tokens share costs nothing unless it is a word itself. Longer words meet by 32 letters and are then compared.
+    """
+    size = F.length("_tok")
+    ends = F.sequence(F.least(size, F.lit(SHORTEST)), F.least(size, F.lit(LONGEST)))
+    cuts = tokens.select("_tok").distinct().select("_tok", F.explode(ends).alias("_end"))
+    cuts = cuts.select("_tok", F.col("_tok").substr(F.lit(1), F.col("_end")).alias("_cut"))
+    wanted = words.select("_w").distinct().withColumn("_cut", F.substring("_w", 1, LONGEST))
+    return cuts.join(wanted, "_cut").where(F.col("_tok").startswith(F.col("_w"))).select("_w", "_tok", (F.col("_w") == F.col("_tok")).alias("_same"))
+
+
 def phrase_matches(alternatives: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """How well each alternative's words occur in each text: all words 1, some as prefixes 0.85.
 
     texts(*keys, text). Words of five letters or more also match longer words
-    they start. One equi-join on the first five letters; only texts that share a
-    word with an alternative meet it.
+    they start. Prefixes meet the distinct tokens only (`word_links`); texts then join the linked tokens on
+    equality, and each text comes to a word's alternatives once.
     """
     alts = alternatives.withColumn("_words", F.array_distinct("tokens"))
-    words = alts.select(*_CONCEPT, "alt_pos", "label", "weight", F.size("_words").alias("_n"), F.explode("_words").alias("_w")).withColumn(
-        "_p", F.substring("_w", 1, 5)
-    )
-    tokens = texts.select(*keys, F.explode(F.array_distinct(concept_tokens(fold(F.col("text"))))).alias("_tok")).withColumn(
-        "_p", F.substring("_tok", 1, 5)
-    )
-    same = F.col("_tok") == F.col("_w")
-    met = words.join(tokens, "_p").where(same | ((F.length("_w") >= 5) & F.col("_tok").startswith(F.col("_w"))))
-    counted = met.groupBy(*_CONCEPT, "alt_pos", "label", "weight", "_n", *keys).agg(
-        F.count_distinct("_w").alias("_any"), F.count_distinct(F.when(same, F.col("_w"))).alias("_exact")
+    words = alts.select(*_CONCEPT, "alt_pos", "label", "weight", F.size("_words").alias("_n"), F.explode("_words").alias("_w"))
+    tokens = texts.select(*keys, F.explode(F.array_distinct(concept_tokens(fold(F.col("text"))))).alias("_tok"))
+    met = tokens.join(word_links(words, tokens), "_tok").groupBy(*keys, "_w").agg(F.max("_same").alias("_same"))
+    counted = words.join(met, "_w").groupBy(*_CONCEPT, "alt_pos", "label", "weight", "_n", *keys).agg(
+        F.count_distinct("_w").alias("_any"), F.count_distinct(F.when(F.col("_same"), F.col("_w"))).alias("_exact")
     )
     return counted.where(F.col("_any") == F.col("_n")).select(
         *_CONCEPT, "alt_pos", "label", "weight", *keys, F.when(F.col("_exact") == F.col("_n"), 1.0).otherwise(PREFIX_MATCH).alias("fit")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peerlens.functions.text import fold
 from peerlens.operators import concepts as K
 from peerlens.operators import evaluate as V
 from peerlens.operators import vectors as X
@@ -101,6 +102,23 @@ def test_every_tag_of_a_profile_on_request(table):
     assert [(r.profile_id, r.tag, r.tag_rank) for r in got] == [(1, n, i + 1) for i, n in enumerate(names[1:] + names[:1])] + [(2, names[0], 1)]
 
 
+def test_words_meet_tokens_they_begin(table):
+    rng = np.random.default_rng(3)
+    base = ["inter", "inte", "multi", "x" * 31, "x" * 32, "x" * 33, "ab", "über", "交叉学科研究"]
+    words = sorted({b + "".join(rng.choice(list("ab"), rng.integers(0, 3))) for b in base for _ in range(4)} | set(base))
+    tokens = sorted({w + "".join(rng.choice(list("ab"), rng.integers(0, 4))) for w in words for _ in range(3)} | {"x" * 5000, "y"})
+    got = K.word_links(table("_w string", *[(w,) for w in words + words[:3]]), table("_tok string", *[(t,) for t in tokens + tokens[:3]]))
+    want = {(w, t, w == t) for w in words for t in tokens if w == t or (len(w) >= 5 and t.startswith(w))}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
+
+
+def test_folding(table):
+    rows = table("i int, t string", (1, "ÀÉ ﬁx Ⅳ"), (2, "PLAIN Text"), (3, None), (4, ""), (5, "İzmir ß"))
+    got = {r.i: r.f for r in rows.select("i", fold(F.col("t")).alias("f")).collect()}
+    assert got == {1: "ae fix iv", 2: "plain text", 3: None, 4: "", 5: "izmir ß"}
+
+
 def test_profile_tags_and_overlap(table, vocabulary):
     profiles = table(
         "profile_id int, interests array<string>, summary string, text string",

@@ -18,6 +18,7 @@ from ..operators import works as W
 from ..operators import vectors as X
 from ..operators.profiles import with_person_text
 from ..sources import versions, writers
+from ..sources.keyword_index import put_keyword_index
 
 
 @dataclass
@@ -120,7 +121,7 @@ def publish(
     built: Built, institutions: DataFrame, root: str, as_of: dt.datetime, limits: Limits | None = None, kind: str = "full",
     changed: Sequence | None = None, **stats,
 ) -> None:
-    """Write records, catalog, vocabulary, domains, institutions and the run's metadata under `root` as one version.
+    """Write records, catalog, vocabulary, domains, keyword index, institutions and the run's metadata under `root` as one version.
 
     Readers go by the manifest, which is written when all tables are there; until then, or if the job dies, they see the earlier build.
     With `changed`, `built` holds these institutions only: their files are written, those of the others stay as they are.
@@ -143,6 +144,7 @@ def publish(
     complete = writers.put_catalog(draft, P.to_catalog(records), limits.catalog_rows, changed)
     draft.put("tags", T.tag_vocabulary(tags.join(records.select("person_id"), "person_id", "left_semi")))
     draft.put("domains", T.domain_list(records))
+    put_keyword_index(draft, records, changed)
     totals = records.agg(F.count("*").alias("people"), F.count("email").alias("with_email"), F.count_distinct("institution_id").alias("n")).first()
     draft.commit()
     writers.write_run_metadata(

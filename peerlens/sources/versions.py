@@ -14,6 +14,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFESTS = "_manifests"
 
@@ -81,8 +82,6 @@ def read_table(spark: SparkSession, root: str, name: str, parts: list[str] | Non
     found = manifest or current(spark, root, version)
     if name not in found.schemas:
         raise ValueError(f"{root} has no table {name}")
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromJson(json.loads(found.schemas[name]))
     folders = [f for p, f in sorted(found.tables[name].items()) if parts is None or p in parts]
     if not folders:
@@ -122,6 +121,20 @@ class Draft:
         self.tables[name] = kept
         self.schemas[name] = rows.drop(*([by] if by else [])).schema.json()
 
+    def add(self, name: str, rows: DataFrame, part: str, options: dict | None = None) -> None:
+        """Write `rows` as one more part of the table `name`; its other parts stay."""
+        if part in self.tables.get(name, {}):
+            raise ValueError(f"table {name} has a part {part} already")
+        place = fresh_folder(name)
+        rows.write.options(**(options or {})).parquet(f"{self.root}/{place}")
+        self.tables.setdefault(name, {})[part] = place
+        self.schemas.setdefault(name, rows.schema.json())
+
+    def clear(self, name: str, schema: StructType) -> None:
+        """The table `name` without rows."""
+        self.tables[name] = {}
+        self.schemas[name] = schema.json()
+
     def drop(self, name: str) -> None:
         self.tables.pop(name, None)
         self.schemas.pop(name, None)

@@ -5,12 +5,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from peerlens.operators import concepts as K
 from peerlens.operators import incremental as I
 from peerlens.operators import quality as Q
 from peerlens.operators.people import estimated_bytes
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
 from peerlens.plans.update import Catalog, refresh_build, update_catalog
-from peerlens.sources import readers, versions, writers
+from peerlens.sources import keyword_index, readers, versions, writers
+from peerlens.sources.keyword_index import read_keyword_index
 from peerlens.streaming import recent_works as S
 
 NOW = dt.datetime(2026, 6, 1, 12)
@@ -429,6 +431,67 @@ def test_an_update_writes_only_the_institutions_it_touches(spark, table, tmp_pat
     assert versions.current(spark, roots[0]).tables["records"] == folders and readers.read_records(spark, roots[0]).count() == 30
 
 
+def test_the_stored_keyword_index_follows_the_build(spark, table, tmp_path, monkeypatch):
+    inputs, root = small_build(spark, table), str(tmp_path / "build")
+    publish(build_records(inputs, NOW.date(), Limits()), inputs.institutions, root, NOW, Limits())
+
+    def same_as_records():
+        records = readers.read_records(spark, root)
+        whole = K.token_index(records.withColumn("publication_titles", F.col("recent_publications.title")))
+        return rows_of(read_keyword_index(spark, root)) == rows_of(whole)
+
+    def search(query, **at):
+        return sorted(r.person_id for r in K.keyword_search(readers.read_catalog(spark, root), query, read_keyword_index(spark, root, **at)).where("tier = 0").collect())
+
+    assert same_as_records() and search("zebrafish") == []
+    monkeypatch.setattr(keyword_index, "MOST_DELTAS", 2)
+    who = table("work_id string, person_id string, position string, first_author string", *[(f"N{i}", "A29", "last", "S2") for i in range(9)])
+    where = table("work_id string, institution_id string", *[(f"N{i}", "I2") for i in range(9)])
+    fresh = table("person_id string, citation_count long", ("A29", 5)).where("false")
+    parts = []
+    for i in range(4):  # every update brings a work of a person; the fifth newest falls out at last
+        new = table("work_id string, title string, year int, date date", (f"N{i}", f"Zebrafish {'fin' * (i + 1)}", 2026, d(f"2026-06-2{i}")))
+        refresh_build(root, dt.datetime(2026, 7, 1 + i), new, who, where, fresh, limits=Limits())
+        assert same_as_records() and search("zebra " + "fin" * (i + 1)) == ["A29"]
+        parts.append(len(versions.current(spark, root).tables["keyword_index"]))
+    assert parts == [2, 3, 1, 2]  # deltas, then one table again
+    assert search("zebra", version=1) == [] and search("zebra", version=2) == ["A29"]
+
+
+def test_a_search_reads_few_row_groups_of_the_index(spark, tmp_path):
+    root = str(tmp_path / "build")
+    people = spark.range(4000).selectExpr("id AS person_id", "id % 7 AS institution_id", "concat(lpad(conv(id * 7919 % 4000, 10, 26), 3, 'a'), 'son common') AS name", "'x' AS title")
+    draft = versions.Draft(spark, root)
+    keyword_index.put_keyword_index(draft, people)
+    draft.commit()
+    draft = versions.Draft(spark, root)
+    moved = people.where("institution_id <> 3").unionByName(people.where("institution_id = 3 AND person_id > 2000").withColumn("name", F.lit("zeta")))
+    keyword_index.put_keyword_index(draft, moved, [3])
+    draft.commit()
+    index = read_keyword_index(spark, root)
+    assert rows_of(index) == rows_of(K.token_index(moved))
+    found = index.where(F.col("token").startswith("zet"))
+    assert found.count() == moved.where("name = 'zeta'").count()
+    found.collect()
+    assert "StringStartsWith(token,zet)" in found._jdf.queryExecution().executedPlan().toString()
+
+    def scanned(df):
+        """Rows that the scans of the index hand on."""
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().executedPlan() if hasattr(df._jdf.queryExecution().executedPlan(), "executedPlan") else df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        sizes = []
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            while "Stage" in leaf.getClass().getSimpleName():
+                leaf = leaf.plan().collectLeaves().apply(0)
+            if "generation" in leaf.toString() and "token" in leaf.toString():
+                sizes.append(leaf.metrics().apply("numOutputRows").value())
+        return sum(sizes)
+
+    assert 0 < scanned(found) < scanned(index) / 2
+
+
 def test_pruning_in_a_build_keeps_the_most_cited(spark):
     from peerlens.operators import people as P
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import cut_lineage, scratch_dir
+from ..operators import concepts as K
 from ..operators import encoding as E
 from ..operators import evaluate as V
 from ..operators import incremental as I
@@ -17,6 +18,7 @@ from ..operators import topics as T
 from ..operators import vectors as X
 from ..operators import works as W
 from ..sources import readers, versions, writers
+from ..sources.keyword_index import read_keyword_index
 from ..streaming import recent_works as S
 from .bindings import AS_OF, Tables
 from .build import Inputs, Limits, build_records, publish
@@ -541,3 +543,20 @@ def _(t: Tables):
     kept = [part for part, folder in after.items() if before.get(part) == folder]  # one name per institution
     counts = readers.read_records(t.spark, root).groupBy("institution_id").agg(F.count("*").alias("people"))
     return counts.withColumn("rewritten", ~readers.part_name(F.col("institution_id")).isin(kept))
+
+
+@query(
+    "published_keyword_search", "T1 T2 C2",
+    """, pooled AS (SELECT person_id FROM people WHERE nworks >= 20 AND cites >= 500 AND h >= 10)
+    SELECT person_id, 0 AS tier FROM pooled JOIN contact c USING (person_id)
+    WHERE c.title LIKE '%Professor%' AND EXISTS (SELECT 1 FROM recent r WHERE r.person_id = pooled.person_id AND r.title LIKE '%HIGH%')""",
+)
+def _(t: Tables):
+    """A full build a month back, an update until now, then a search in the stored index, part of which the update has replaced."""
+    inputs = Inputs(t.authors, t.institutions, t.author_topics, t.year_counts, t.works, t.authorships, t.work_funders, t.work_keywords, t.contacts)
+    root, limits, then = scratch_dir(t.spark, "build"), Limits(), NOW - dt.timedelta(days=30)
+    publish(build_records(inputs, then.date(), limits), t.institutions, root, then, limits)
+    homes = t.authorship_lines.join(t.authors.select("person_id", "institution_id"), "person_id").select("work_id", "institution_id")
+    nothing = t.authors.select("person_id", "citation_count").where("false")
+    refresh_build(root, NOW, t.works, t.authorships, homes, nothing, limits=limits, since=then.date())
+    return K.keyword_search(readers.read_catalog(t.spark, root), "prof high", read_keyword_index(t.spark, root)).select("person_id", "tier")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.ranking import with_row_number
 from ..functions.text import (
     SPACES,
     email_fits_name,
@@ -169,6 +170,61 @@ def resolve_entities(candidates: DataFrame) -> DataFrame:
     ).select("query_id", "_b.*")
 
 
+def name_candidates(queries: DataFrame, institutions: DataFrame, share: float = 0.5, names: str = "institution_name") -> DataFrame:
+    """Institutions whose name words overlap a query's by `share` (Jaccard) or more, nearest first.
+
+    queries(query_id, query), institutions(institution_id, `names`, type).
+    -> query_id, query, position, candidate_id, candidate, type, as `resolve_entities` takes them.
+
+    Equal word sets are one class, however many rows have them. With words in order of rarity, two sets that overlap enough share one of
+    their first n - ceil(share * n) + 1 words; classes meet on those and if their sizes allow the overlap, so a
+    common word joins only names that have little else. Every pair above the share is found. Names without words match nothing.
+    Equal overlaps are placed by institution_id. Cuts a checkpoint.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+
+    def worded(df, text):
+        words = F.array_sort(F.array_distinct(name_tokens(fold(F.col(text)))))
+        return df.withColumn("_words", words).where(F.size("_words") > 0)
+
+    asked = worded(queries.select("query_id", "query"), "query")
+    known = worded(institutions.select(F.col("institution_id").alias("candidate_id"), F.col(names).alias("candidate"), "type"), "candidate")
+    classes = [asked.select("_words").distinct(), known.select("_words").distinct()]
+    # A word's rank must be the same on both sides, no more; classes of both sides count.
+    rank = classes[0].unionAll(classes[1]).select(F.explode("_words").alias("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+
+    def heads(sets):
+        """The first words of each class by rarity, one row each. A class is as long as its name."""
+        ranked = sets.select("_words", F.explode("_words").alias("_w")).join(rank, "_w").groupBy("_words").agg(
+            F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_r")
+        )
+        # The tolerance keeps a product such as 0.7 * 10 from being taken for more than it is.
+        first = F.size("_r") - F.ceil(F.lit(share) * F.size("_r") - 1e-9) + 1
+        return ranked.select("_words", F.explode(F.slice(F.col("_r._w"), F.lit(1), first.cast("int"))).alias("_w"))
+
+    left, right = heads(classes[0]).withColumnRenamed("_words", "_a"), heads(classes[1]).withColumnRenamed("_words", "_b")
+    sized = (F.size("_a") >= share * F.size("_b") - 1e-9) & (F.size("_b") >= share * F.size("_a") - 1e-9)
+    met = left.join(right, "_w").where(sized).select("_a", "_b").distinct()
+    near = met.withColumn("_near", F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))).where(F.col("_near") >= share - 1e-9)
+    pairs = asked.join(near, asked["_words"] == near["_a"]).drop("_words").join(known, F.col("_b") == known["_words"])
+    pairs = pairs.select("query_id", "query", "_near", "candidate_id", "candidate", "type")
+    placed = with_row_number(pairs, [F.col("_near").desc(), F.col("candidate_id")], "_place", ["query_id"])
+    return placed.select("query_id", "query", (F.col("_place") - 1).alias("position"), "candidate_id", "candidate", "type")
+
+
+def resolve_names(queries: DataFrame, institutions: DataFrame, share: float = 0.5, names: str = "institution_name") -> DataFrame:
+    """The institution that a name means: candidates by their words, then the best of `resolve_entities`.
+
+    queries(query_id, query) -> query_id, candidate_id, match_score; null where no name is near. Queries of the same words are resolved once. Cuts a checkpoint.
+    """
+    key = F.array_join(F.array_sort(F.array_distinct(name_tokens(fold(F.col("query"))))), " ")
+    asked = queries.select("query_id", key.alias("_key"))
+    classes = asked.where("_key <> ''").select(F.col("_key").alias("query_id"), F.col("_key").alias("query")).distinct()
+    best = resolve_entities(name_candidates(classes, institutions, share, names)).withColumnRenamed("query_id", "_key")
+    return asked.join(best, "_key", "left").drop("_key")
+
+
 def same_organisation(org: Column, ror: Column, names: Column, rors: Column) -> Column:
     """Registry ids decide when both sides have one, else one name's words contain the other's.
 

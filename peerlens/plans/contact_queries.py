@@ -162,6 +162,26 @@ def _(t: Tables):
     return C.resolve_entities(candidates).select("query_id", "candidate_id", "match_score")
 
 
+@query(
+    "resolved_names", "J5",
+    """, target AS (SELECT l_suppkey AS query_id, min(p_name) || ' ring' AS name FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    asked AS (SELECT name, list_distinct(string_split(name, ' ')) AS a FROM (SELECT DISTINCT name FROM target)),
+    known AS (SELECT DISTINCT p_name || '/' || p_type AS candidate_id, p_type, list_distinct(string_split(p_name, ' ')) AS b FROM part),
+    near AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS share FROM asked, known),
+    spots AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY share DESC, candidate_id) - 1 AS pos FROM near WHERE share >= 0.5),
+    best AS (SELECT name, candidate_id, round(2 * share - 0.1 * pos + CASE WHEN p_type = 'PROMO' THEN 0.5 ELSE 0 END, 9) AS match_score FROM spots
+      QUALIFY row_number() OVER (PARTITION BY name ORDER BY match_score DESC, pos) = 1)
+    SELECT query_id, candidate_id, match_score FROM target LEFT JOIN best USING (name)""",
+)
+def _(t: Tables):
+    names = t.author_topics.groupBy(F.col("person_id").alias("query_id")).agg(F.concat(F.min("topic"), F.lit(" ring")).alias("query"))
+    known = t.author_topics.select("topic", "subfield").distinct().select(
+        F.concat_ws("/", "topic", "subfield").alias("institution_id"), F.col("topic").alias("institution_name"),
+        F.when(F.col("subfield") == "PROMO", "education").otherwise("company").alias("type"),
+    )
+    return C.resolve_names(names, known)
+
+
 @query(
     "matching_organisations", "J6",
     """, o AS (SELECT DISTINCT p_name || '/' || p_type AS org_id, list_filter(string_split(p_name || ' ' || lower(p_type), ' '), lambda x: true) AS a,

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,29 @@ def test_entity_resolution_prefers_education(table):
     assert {r.query_id: r.candidate_id for r in C.resolve_entities(c).collect()} == {1: "uni", 2: "first"}
 
 
+def test_candidates_equal_all_pairs(table):
+    rng = random.Random(5)
+    words = ["university", "institute", "of", "technology", "north", "east", "harbour", "lake", "stone", "field", "zürich"]
+    name = lambda: " ".join(rng.choices(words, [9, 5, 5, 4, 2, 2, 1, 1, 1, 1, 1], k=rng.randint(0, 6)))
+    asked = [(i, name()) for i in range(60)] + [(60, None), (61, ""), (62, "42"), (63, asked_twice := "Lake Stone University"), (64, asked_twice.upper())]
+    known = [(f"c{i}", name(), rng.choice(["education", "company", None])) for i in range(80)] + [("none", None, "education"), ("c0", "lake stone university", "company")]
+    queries = table("query_id int, query string", *asked)
+    institutions = table("institution_id string, institution_name string, type string, query string", *[(*k, "clashes") for k in known])
+
+    def bag(text):
+        return set((text or "").lower().replace("ü", "u").split()) - {"42"}
+
+    for share in (0.3, 0.5, 0.7, 1.0):
+        got = sorted((r.query_id, r.candidate_id, r.candidate) for r in C.name_candidates(queries, institutions, share).collect())
+        near = {(q, c, n): len(bag(a) & bag(n)) / len(bag(a) | bag(n)) for q, a in asked for c, n, _ in known if bag(a) and bag(n)}
+        assert got == sorted(k for k, v in near.items() if v >= share - 1e-9)
+    best = {r.query_id: r.candidate_id for r in C.resolve_names(queries, institutions).collect()}
+    assert len(best) == 65 and best[60] is best[61] is best[62] is None and best[63] == best[64] is not None
+    placed = C.name_candidates(queries.where("query_id = 63"), institutions).orderBy("position").collect()
+    assert [r.position for r in placed] == list(range(len(placed))) and bag(placed[0].candidate) == bag(asked_twice)
+    assert C.name_candidates(queries.where("false"), institutions).count() == C.name_candidates(queries, institutions.where("false")).count() == 0
+
+
 JOB = "person_id string, org string, ror string, role string, department string, start int, current boolean"
 
 

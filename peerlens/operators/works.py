@@ -44,7 +44,8 @@ def works_of(people: DataFrame, works: DataFrame, authorships: DataFrame) -> Dat
     window's rows are dealt out by person.
     """
     titled = works.where(F.length(F.trim("title")) > 0)
-    return authorships.join(titled, "work_id").join(people.select("person_id").distinct(), "person_id", "left_semi").select(
+    # An inner join with distinct people: a semi-join would be pushed below the join with the works and deal out all authorships.
+    return authorships.join(titled, "work_id").join(people.select("person_id").distinct(), "person_id").select(
         "work_id", *[c for c in authorships.columns if c != "work_id"], *[c for c in works.columns if c != "work_id"]
     )
 

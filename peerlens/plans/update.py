@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import cut_lineage
 from ..operators import incremental, people, topics, works
 from ..sources import readers, versions, writers
+from ..sources.work_tables import open_window
 from .build import Built, Limits, publish, tag_lists, within_budget
 
 
@@ -138,3 +139,12 @@ def refresh_build(
         window_from=window[0], window_to=window[1], **row.asDict(),
     )
     return stats
+
+
+def refresh_from_tables(
+    root: str, as_of: dt.datetime, tables: str, fresh: DataFrame, overlap_days: int = 30, since: dt.date | None = None, **options
+) -> DataFrame:
+    """`refresh_build` with works from `sources.work_tables` under `tables`: only the window's months are read, and nothing of theirs is shuffled by work."""
+    spark = fresh.sparkSession
+    window = incremental.change_window(spark.read.parquet(f"{root}/runs"), as_of.date(), overlap_days, since)
+    return refresh_build(root, as_of, *open_window(spark, tables, window), fresh, overlap_days=overlap_days, since=window[0], **options)

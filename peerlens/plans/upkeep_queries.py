@@ -19,13 +19,14 @@ from ..operators import vectors as X
 from ..operators import works as W
 from ..sources import readers, versions, writers
 from ..sources.keyword_index import read_keyword_index
+from ..sources.work_tables import open_window, write_work_tables
 from ..streaming import recent_works as S
 from .bindings import AS_OF, Tables
 from .build import Inputs, Limits, build_records, publish
 from .match_queries import label_centroids, label_profiles, people_vectors
 from .people_queries import ROWS_SQL, catalog, records, scored
 from .registry import query
-from .update import Catalog, refresh_build, update_catalog
+from .update import Catalog, refresh_build, update_catalog, window_works
 from .work_queries import tags_of
 
 NOW = dt.datetime(2001, 8, 1, 12, 0)
@@ -560,3 +561,18 @@ def _(t: Tables):
     nothing = t.authors.select("person_id", "citation_count").where("false")
     refresh_build(root, NOW, t.works, t.authorships, homes, nothing, limits=limits, since=then.date())
     return K.keyword_search(readers.read_catalog(t.spark, root), "prof high", read_keyword_index(t.spark, root)).select("person_id", "tier")
+
+
+@query(
+    "window_from_work_tables", "J1 J2 C2",
+    """, w AS (SELECT max(o_orderdate) - INTERVAL 30 DAY AS since FROM orders WHERE year(o_orderdate) < 2001)
+    SELECT work_id, person_id, position, first_author, title FROM pubs, w WHERE d >= since""",
+)
+def _(t: Tables):
+    """The update's window out of tables by month and work."""
+    root, window = scratch_dir(t.spark, "work_tables"), update_window(t)
+    homes = t.authorship_lines.join(t.authors.select("person_id", "institution_id"), "person_id").select("work_id", "institution_id")
+    write_work_tables(t.works, t.authorships, homes, root, 8)
+    institutions = t.institutions.withColumn("extra_ids", F.lit(None).cast("array<int>"))
+    found = window_works(t.authors, window, institutions, *open_window(t.spark, root, window))[1]
+    return found.select("work_id", "person_id", "position", "first_author", "title")

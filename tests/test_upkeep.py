@@ -9,9 +9,11 @@ from peerlens.operators import concepts as K
 from peerlens.operators import incremental as I
 from peerlens.operators import quality as Q
 from peerlens.operators.people import estimated_bytes
+from peerlens.operators.works import works_at, works_of
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
 from peerlens.plans.update import Catalog, refresh_build, update_catalog
 from peerlens.sources import keyword_index, readers, versions, writers
+from peerlens.sources import work_tables as W
 from peerlens.sources.keyword_index import read_keyword_index
 from peerlens.streaming import recent_works as S
 
@@ -492,6 +494,51 @@ def test_a_search_reads_few_row_groups_of_the_index(spark, tmp_path):
     assert 0 < scanned(found) < scanned(index) / 2
 
 
+def test_work_tables_open_the_window_without_an_exchange_of_authorships(spark, table, tmp_path):
+    root = str(tmp_path / "works")
+    days = [None, *[f"2026-0{1 + i % 6}-1{i % 10}" for i in range(60)]]
+    works = table("work_id string, title string, year int, date date", *[(f"W{i}", f"Title {i}", 2026, x and d(x)) for i, x in enumerate(days)])
+    who = table("work_id string, person_id string, position string, first_author string", *[(f"W{i}", f"A{i * j % 7}", "last", None) for i in range(70) for j in (1, 2)])
+    where = table("work_id string, institution_id string", *[(f"W{i}", f"I{i % 3}") for i in range(70)])
+    institutions, people = table("institution_id string, extra_ids array<string>", ("I0", ["I1"])), table("person_id string", *[(f"A{i}",) for i in range(5)])
+    window = (d("2026-03-05"), d("2026-04-20"))
+    W.write_work_tables(works.where("work_id <> 'W2'"), who.where("work_id <> 'W2'"), where.where("work_id <> 'W2'"), root, 4)
+    W.add_works(works, who, where, root)
+    W.add_works(works, who, where, root)  # again: nothing is there twice
+
+    def pubs(*tables):
+        inside = works_at(tables[0].where(F.col("date").between(*window)), tables[2], institutions)
+        return works_of(people, inside, tables[1])
+
+    opened = W.open_window(spark, root, window)
+    assert rows_of(pubs(*opened)) == rows_of(pubs(works, who, where)) and pubs(*opened).count() > 10
+    assert W.open_window(spark, root, (d("2026-03-01"), d("2026-03-31")))[1].count() == 20
+    assert {f.split("month=")[1][:7] for f in opened[1].inputFiles()} <= {f"2026-0{m}" for m in range(1, 7)} | {"none/pa"}
+    with pytest.raises(ValueError, match="buckets"):
+        W.write_work_tables(works, who, where, root, 8)
+    for name in (W.WORKS, W.AUTHORSHIPS, W.INSTITUTIONS):  # a session that does not know the tables
+        spark.sql(f"DROP TABLE {W._registered(root, name)}")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pubs(*W.open_window(spark, root, window))
+        assert rows_of(found) == rows_of(pubs(works, who, where))
+        lines = pubs(*W.open_window(spark, root, window))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line and f"{W.AUTHORSHIPS}[" in line]
+    assert len(scans) == 1 and "month" in lines[scans[0]] and "Bucketed: true" in lines[scans[0]]
+    above = scans[0]
+    depth = len(lines[above]) - len(lines[above].lstrip(" :+-*()0123456789"))
+    while "Join" not in lines[above]:  # up to the join with the works
+        above -= 1
+        indent = len(lines[above]) - len(lines[above].lstrip(" :+-*()0123456789"))
+        if indent < depth:
+            depth = indent
+            assert "Exchange" not in lines[above]
+    assert "work_id" in lines[above]
+
+
 def test_pruning_in_a_build_keeps_the_most_cited(spark):
     from peerlens.operators import people as P
 

@@ -141,13 +141,37 @@ def join_directory(people: DataFrame, directory: DataFrame) -> DataFrame:
     return joined.select(*people.columns, "_e.*")
 
 
-def match_names(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Rows of both sides whose surname and first initial agree.
+def name_classes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str = "name") -> DataFrame:
+    """Rows of both sides under the surname and first initial that they share, without forming pairs.
 
-    Right columns come back with the prefix `other_`.
+    -> name_key, side (`left` or `right`), id (as text), lefts, rights: how many rows of each side the class has. One row per input
+    row whose class has both sides, so a name with very many bearers costs their number and no more.
+    """
+    sides = [
+        with_name_key(df, name).select("name_key", F.lit(side).alias("side"), F.col(i).cast("string").alias("id")).where("name_key IS NOT NULL")
+        for df, i, side in ((left, left_id, "left"), (right, right_id, "right"))
+    ]
+    members = sides[0].unionAll(sides[1])
+    return members.join(_class_sizes(members), "name_key")
+
+
+def _class_sizes(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy("name_key").agg(F.count_if(F.col("side") == "left").alias("lefts"), F.count_if(F.col("side") == "right").alias("rights"))
+    return sizes.where((F.col("lefts") > 0) & (F.col("rights") > 0))
+
+
+def match_names(left: DataFrame, right: DataFrame, name: str = "name", most_pairs: int | None = None) -> DataFrame:
+    """Pairs of rows of both sides whose surname and first initial agree.
+
+    Right columns come back with the prefix `other_`. A class of m and n rows gives m * n pairs. With `most_pairs` only
+    classes of so many pairs or fewer are expanded; `name_classes` has every class, large ones included.
     """
     a = with_name_key(left, name, "_key").where("_key IS NOT NULL")
     b = with_name_key(right, name, "_key").where("_key IS NOT NULL")
+    if most_pairs is not None:
+        members = a.select(F.col("_key").alias("name_key"), F.lit("left").alias("side")).unionAll(b.select("_key", F.lit("right")))
+        small = _class_sizes(members).where(F.col("lefts") * F.col("rights") <= most_pairs).select(F.col("name_key").alias("_key"))
+        a, b = a.join(small, "_key", "left_semi"), b.join(small, "_key", "left_semi")
     b = b.select("_key", *[F.col(c).alias(f"other_{c}") for c in right.columns])
     return a.join(b, "_key").drop("_key")
 

@@ -138,6 +138,17 @@ def _(t: Tables):
     return C.match_names(named_benchmark(t), named_documents(t)).select("item_id", "other_doc_id")
 
 
+@query(
+    "name_classes", "J4",
+    NAMES_SQL + """, members AS (SELECT name_key, 'left' AS side, CAST(item_id AS VARCHAR) AS id FROM bkeyed WHERE name_key IS NOT NULL
+      UNION ALL SELECT name_key, 'right', CAST(doc_id AS VARCHAR) FROM keyed WHERE name_key IS NOT NULL)
+    SELECT name_key, side, id, count(*) FILTER (side = 'left') OVER w AS lefts, count(*) FILTER (side = 'right') OVER w AS rights FROM members
+    WINDOW w AS (PARTITION BY name_key) QUALIFY lefts > 0 AND rights > 0""",
+)
+def _(t: Tables):
+    return C.name_classes(named_benchmark(t), named_documents(t), "item_id", "doc_id")
+
+
 @query(
     "resolved_entities", "J5",
     """, freq AS (SELECT l_suppkey AS q, p_name, p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),

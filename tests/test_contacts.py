@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -337,6 +338,33 @@ def test_identities(table):
     assert checked == {1: ("A2", True), 2: (None, False), 3: (None, False)}
 
 
+def test_identities_of_a_common_name(table):
+    places = ["Paris", "Lyon", "Univ. of Paris", None]
+    authors = table(
+        "person_id string, name string, institutions string, works_count int",
+        *[(f"A{i:03}", ["Wei Wang", "W. Wang", "Wen Wang"][i % 3], places[i % 4], None if i % 7 == 0 else i * 37 % 50) for i in range(200)], ("B", None, "Paris", 999),
+    )
+    rows = [r for r in authors.collect() if r.name and r.institutions]
+    asked = [(i, "W. Wang", p) for i, p in enumerate(["paris", "paris", "^lyon$", "rome", None, "paris|lyon"])] + [(9, None, "paris")]
+    got = {r.ref_id: (r.person_id, r.candidates) for r in R.resolve_people(table("ref_id int, name string, institution_pattern string", *asked), authors).collect()}
+    for i, name, pattern in asked:
+        fit = [r for r in rows if name and pattern and re.search(pattern, r.institutions, re.I)]
+        best = min(fit, key=lambda r: (-(r.works_count or 0), r.person_id)).person_id if fit else None
+        assert got[i] == (best, len(fit)), i
+
+
+def test_name_classes_hold_every_bearer(table):
+    left = table("i int, name string, name_key string", *[(i, "Wei Wang", "clash") for i in range(30)], (90, "Ada Lovelace", None), (91, None, None), (92, "Solo Left", None))
+    right = table("j string, name string", *[(f"r{i}", "W. Wang") for i in range(20)], ("s", "A. Lovelace"), ("t", ""), ("u", "Solo Right"))
+    rows = [tuple(r) for r in C.name_classes(left.drop("name_key"), right, "i", "j").collect()]
+    assert len(rows) == 52 and {r[3:] for r in rows if r[0] == "w|wang"} == {(30, 20)}
+    assert sorted(r[1:] for r in rows if r[0] == "a|lovelace") == [("left", "90", 1, 1), ("right", "s", 1, 1)]
+    assert C.match_names(left, right).count() == 601
+    assert [(r.i, r.other_j) for r in C.match_names(left, right, most_pairs=599).collect()] == [(90, "s")]
+    assert C.match_names(left, right, most_pairs=600).count() == 601
+    assert C.name_classes(left.where("false"), right, "i", "j").count() == 0
+
+
 def test_vetted_text_address(table):
     people = table("person_id string, name string, institution_id string", ("A", "Ada Lovelace", "I1"))
     domains = table("institution_id string, domain string", ("I1", "u.edu"))

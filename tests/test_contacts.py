@@ -397,16 +397,64 @@ def test_long_runs_of_title_words_and_lead_ins_end_quickly(table):
     assert [len(r[0]) <= 1 for r in dotted.select(addresses(F.col("t"))).collect()] == [True, True]
 
 
-def test_selectors_with_children_and_parts_of_attributes():
-    import pytest
-
-    from peerlens.operators.pages import _read, _selected, parse_selector
+def test_selectors_with_children_and_parts_of_attributes(table):
+    from peerlens.operators.pages import parse_selector
 
     html = '<ul><li class="x">a</li><span><li data-k="my-card-1">b</li></span></ul><div class="card big"><p>c</p></div>'
-    found = lambda s: [e.tag for e in _read(html).elements() if _selected(e, parse_selector(s))]
+    pages = table("page_id int, url string, html string", (1, "http://u.edu", html))
+    found = lambda s: [r.tag for r in G.select_elements(pages, s).orderBy("number").collect()]
     assert found("ul > li") == ["li"] and found("ul li") == ["li", "li"] and found("ul > span > li") == ["li"]
     assert found('[data-k*="card"]') == ["li"] and found("[data-k^=my]") == ["li"] and found("[data-k$='-1'], div > p") == ["li", "p"]
     assert found('[class~="big"]') == ["div"] and found("[data-k|=my]") == ["li"] and found("li[data-k=other]") == []
     for bad in ("li:first-child", "a + b", "a ~ b", "> li", "a >", ""):
         with pytest.raises(ValueError):
             parse_selector(bad)
+
+
+def test_selectors_equal_a_walk_over_the_tree(table):
+    rng = random.Random(11)
+    pages, trees = [], []
+    for p in range(12):
+        html, tree, open_ = "", [], []
+        for _ in range(40):  # elements in page order: (tag, class, chain of elements above)
+            while open_ and rng.random() < 0.35:
+                html += f"</{tree[open_.pop()][0]}>"
+            tag, name = rng.choice(["div", "ul", "li"]), rng.choice(["a", "b", "a b", ""])
+            html += f'<{tag} class="{name}">' + rng.choice(["", " ", "text"])
+            tree.append((tag, name.split(), list(open_)))
+            open_.append(len(tree) - 1)
+        pages.append((p, None, html + "".join(f"</{tree[i][0]}>" for i in reversed(open_))))
+        trees.append(tree)
+
+    def fits(tree, i, steps):
+        """steps: [(link, tag or None, class or None), ...], the last one for the element itself."""
+        *outer, (link, tag, name) = steps
+        if (tag and tree[i][0] != tag) or (name and name not in tree[i][1]):
+            return False
+        above = tree[i][2][-1:] if link == ">" else tree[i][2]
+        return not outer or any(fits(tree, j, outer) for j in above)
+
+    table_ = table("page_id int, url string, html string", *pages, pages[0])  # one page twice
+    chains = {
+        "div li": [[(" ", "div", None), (" ", "li", None)]], "div > li.a": [[(" ", "div", None), (">", "li", "a")]],
+        ".a > div .b > ul": [[(" ", None, "a"), (">", "div", None), (" ", None, "b"), (">", "ul", None)]],
+        "ul ul ul, li.a.b": [[(" ", "ul", None)] * 3, [(" ", "li", "a"), ]],
+        "* > * > .b": [[(" ", None, None), (">", None, None), (">", None, "b")]],
+    }
+    for selector, paths in chains.items():
+        want = sorted((p, t[0]) for p, tree in enumerate(trees) for i, t in enumerate(tree)
+                      if any(fits(tree, i, steps) and ("li.a.b" not in selector or t[0] == "ul" or {"a", "b"} <= set(t[1])) for steps in paths))
+        got = sorted((r.page_id, r.tag) for r in G.select_elements(table_, selector).collect())
+        assert got == want and len(want) > 3, selector
+
+
+def test_the_outermost_block_of_one_address_is_the_card(table):
+    card = lambda i: f'<div><section><h3>Ann B{i}</h3><p>Lecturer in Law</p><a href="/p/{i}">more</a> ann.b{i}@u.edu</section></div>'
+    deep = "<div>" * 300 + "<b>Zoe Deep</b> zoe@u.edu" + "</div>" * 300
+    pages = table("page_id int, url string, html string", (1, "http://u.edu/x", "<div>" + "".join(card(i) for i in range(120)) + "</div>"), (2, None, deep), (3, "http://u.edu", None), (4, None, ""))
+    rows = G.directory_entries(pages.unionAll(pages)).collect()
+    assert sorted(r.name for r in rows if r.page_id == 1) == sorted(f"Ann B{i}" for i in range(120))
+    assert all(r.profile_url == f"http://u.edu/p/{r.name[5:]}" for r in rows if r.page_id == 1)
+    assert [(r.entry_pos, r.name, r.email) for r in rows if r.page_id == 2] == [(1, "Zoe Deep", "zoe@u.edu")]
+    assert len(rows) == 121 and G.directory_entries(pages.where("false"), "div").count() == 0
+

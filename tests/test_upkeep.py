@@ -11,7 +11,7 @@ from peerlens.operators import quality as Q
 from peerlens.operators.people import estimated_bytes
 from peerlens.operators.works import works_at, works_of
 from peerlens.plans.build import Inputs, Limits, build_records, publish, publish_vectors
-from peerlens.plans.update import Catalog, refresh_build, update_catalog
+from peerlens.plans.update import Catalog, refresh_build, refresh_from_tables, update_catalog
 from peerlens.sources import keyword_index, readers, versions, writers
 from peerlens.sources import work_tables as W
 from peerlens.sources.keyword_index import read_keyword_index
@@ -539,6 +539,18 @@ def test_work_tables_open_the_window_without_an_exchange_of_authorships(spark, t
     assert "work_id" in lines[above]
 
 
+def test_an_update_out_of_work_tables(spark, table, tmp_path):
+    inputs, root, tables = small_build(spark, table), str(tmp_path / "build"), str(tmp_path / "works")
+    publish(build_records(inputs, NOW.date(), Limits()), inputs.institutions, root, NOW, Limits())
+    works = table("work_id string, title string, year int, date date", ("N1", "New insulin study", 2026, d("2026-06-20")), ("N2", "Long ago", 2020, d("2020-06-20")))
+    who = table("work_id string, person_id string, position string, first_author string", ("N1", "A29", "last", "S2"), ("N2", "A28", "last", None))
+    W.write_work_tables(works, who, table("work_id string, institution_id string", ("N1", "I2"), ("N2", "I2")), tables, 4)
+    stats = refresh_from_tables(root, dt.datetime(2026, 7, 1), tables, table("person_id string, citation_count long", ("A29", 99999)), limits=Limits())
+    assert tuple(stats.first()) == (1, 1, 1, 1)
+    row = readers.read_records(spark, root).where("person_id = 'A29'").first()
+    assert row.citation_count == 99999 and "N1" in [p.work_id for p in row.recent_publications]
+
+
 def test_pruning_in_a_build_keeps_the_most_cited(spark):
     from peerlens.operators import people as P
 

@@ -1,4 +1,4 @@
-"""Text column helpers. All but `fold` (beyond ASCII) and `unescape_entities` stay in the JVM."""
+"""Text column helpers. All but `fold` (beyond ASCII) and the entities of `unescape_entities` stay in the JVM."""
 
 from __future__ import annotations
 
@@ -33,10 +33,23 @@ def fold(c: Column) -> Column:
     return F.when(wide, _fold_wide(F.when(wide, c))).otherwise(F.lower(c))
 
 
+# What `html.unescape` looks at. No entity holds a blank, and none decodes to a blank before \x01.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_BETWEEN = " \x01"
+
+
 @F.pandas_udf(T.StringType())
-def unescape_entities(texts: pd.Series) -> pd.Series:
-    """HTML entities to characters."""
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+def _decode_entities(entities: pd.Series) -> pd.Series:
+    return entities.map(html.unescape, na_action="ignore")
+
+
+def unescape_entities(c: Column) -> Column:
+    """HTML entities to characters. Only the entities go to Python; the text around them stays in the JVM."""
+    some = c.contains("&")
+    entities = F.when(some, F.array_join(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _BETWEEN))
+    around, decoded = F.split(c, _ENTITY, -1), F.split(_decode_entities(entities), _BETWEEN, -1)
+    written = F.zip_with(around, decoded, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(some, F.array_join(written, "")).otherwise(c)
 
 
 # Java's \s leaves out no-break and other wide spaces, which pages are full of.

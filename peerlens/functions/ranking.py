@@ -48,6 +48,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame) -> DataFrame:
+    """The rows as compressed columns in a fresh folder beside the checkpoints: computed once, and of known size to joins."""
+    path = scratch_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def side_by_side(*totals: DataFrame) -> DataFrame:
     """Several one-row aggregates as one row, without a join."""
     rows = totals[0]

@@ -50,6 +50,8 @@ class Tables:
     def authorship_lines(self) -> DataFrame:
         return (
             self.raw("lineitem")
+            .select("l_orderkey", "l_suppkey", "l_linenumber")
+            .repartition("l_orderkey")  # the one exchange for the lines, their ends and the works
             .groupBy(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("person_id"))
             .agg(F.min("l_linenumber").alias("place"))
         )
@@ -123,12 +125,16 @@ class Tables:
 
     @property
     def work_keywords(self) -> DataFrame:
-        """Keywords of a work: the brand of each line's part, scored by quantity."""
+        return self.keywords_of()
+
+    def keywords_of(self, works: DataFrame | None = None) -> DataFrame:
+        """Keywords of a work: the brand of each line's part, scored by quantity. Only those of `works`(work_id) when given."""
         parts = self.raw("part").select("p_partkey", F.concat(F.lit("K "), "p_brand").alias("keyword"))
+        lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+        if works is not None:  # before the lines meet the parts
+            lines = lines.join(works.select(F.col("work_id").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi")
         return (
-            self.raw("lineitem")
-            .select("l_orderkey", "l_partkey", "l_quantity")
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.col("l_orderkey").alias("work_id"), "keyword")
             .agg((F.max("l_quantity") / 50).alias("score"))
         )

@@ -95,7 +95,7 @@ def stored_state(t: Tables, since: dt.date) -> Catalog:
     lab = W.lab_signals(old, W.work_funder_labels(t.work_funders))
     people = t.authors.where("institution_id < 20").join(lab, "person_id", "left")
     kept = old.join(people.select("person_id"), "person_id", "left_semi")
-    return Catalog(people, cut_lineage(kept), tags_of(t))
+    return Catalog(people, cut_lineage(kept), tags_of(t, once=lambda rows: rows))
 
 
 def run_update(t: Tables):

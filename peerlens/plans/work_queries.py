@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranking import store
 from ..operators import topics as T
 from ..operators import works as W
 from .bindings import AS_OF, Tables
@@ -190,9 +191,10 @@ def _(t: Tables):
     return T.keyword_tags(t.recent, T.work_keywords(t.work_keywords), T.topic_tags(t.author_topics))
 
 
-def tags_of(t: Tables):
-    topics = T.topic_tags(t.author_topics)
-    return T.person_tags(topics, T.keyword_tags(t.recent, T.work_keywords(t.work_keywords), topics))
+def tags_of(t: Tables, once=store):
+    """Everyone's tags. Topics and newest works, a handful of rows per person, are read twice and so written first."""
+    topics, recent = once(T.topic_tags(t.author_topics)), once(t.recent)
+    return T.person_tags(topics, T.keyword_tags(recent, T.work_keywords(t.keywords_of(recent)), topics))
 
 
 @query("person_tags", "A12", "SELECT person_id, pos, tag, kind FROM ptags")

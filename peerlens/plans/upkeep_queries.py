@@ -453,14 +453,15 @@ def _(t: Tables):
     )
     years = t.year_counts.groupBy("person_id").agg(F.collect_list(F.struct("year", F.col("works").cast("int").alias("works_count"))).alias("counts_by_year"))
     authors = t.authors.join(topics, "person_id").join(years, "person_id").select(link("person_id", "A").alias("id"), "topics", "counts_by_year")
-    authors.write.json(f"{root}/authors")
+    packed = {"compression": "gzip"}
+    authors.write.options(**packed).json(f"{root}/authors")
     people = t.authorships.groupBy("work_id").agg(
         F.collect_list(F.struct(F.struct(link("person_id", "A").alias("id")).alias("author"), F.col("position").alias("author_position"))).alias("authorships")
     )
     funders = t.work_funders.select("work_id", F.array(named("funder")).alias("funders"))
     works = t.works.join(people, "work_id").join(funders, "work_id")
-    works.select(link("work_id", "W").alias("id"), "title", F.col("date").alias("publication_date"), "authorships", "funders").write.json(f"{root}/works")
-    t.topics.select(F.col("topic").alias("display_name"), named("subfield").alias("subfield"), "keywords").write.json(f"{root}/topics")
+    works.select(link("work_id", "W").alias("id"), "title", F.col("date").alias("publication_date"), "authorships", "funders").write.options(**packed).json(f"{root}/works")
+    t.topics.select(F.col("topic").alias("display_name"), named("subfield").alias("subfield"), "keywords").write.options(**packed).json(f"{root}/topics")
     a, w = readers.read_authors(t.spark, f"{root}/authors"), readers.read_works(t.spark, f"{root}/works")
     counts = {
         "topics": a["author_topics"].agg(F.sum("n").cast("long").alias("n")),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.ranking import cut_lineage
+from ..functions.ranking import cut_lineage, store
 from ..operators import contacts as C
 from ..operators import people as P
 from ..operators import topics as T
@@ -81,7 +81,7 @@ def build_records(inputs: Inputs, as_of: dt.date, limits: Limits | None = None)
         return df.join(ids, "person_id", "left_semi")
 
     recent = cut_lineage(W.recent_works(W.works_of(chosen, inputs.works, inputs.authorships), as_of))
-    own_topics = of_chosen(inputs.author_topics)
+    own_topics = store(of_chosen(inputs.author_topics))  # read by six branches below
     topics = T.topic_tags(own_topics)
     recent_keywords = inputs.work_keywords.join(recent.select("work_id").distinct(), "work_id", "left_semi")
     tags = T.person_tags(topics, T.keyword_tags(recent, T.work_keywords(recent_keywords), topics))

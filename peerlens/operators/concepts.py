@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import top_per_group
+from ..functions.ranking import store, top_per_group
 from ..functions.text import concept_tokens, fold, significant
 
 KEYWORD, SUBFIELD, PREFIX_MATCH = 0.8, 0.6, 0.85
@@ -139,14 +139,17 @@ def expand_concepts(concepts: DataFrame, groups: DataFrame) -> DataFrame:
         F.concat_ws(" ", blank(F.col("before")), "member", blank(F.col("after"))).alias("label"),
         F.round(base * F.col("factor"), 9).alias("weight"),
     )
+    # Their labels are made of words, which are folded already.
+    alternatives = alternatives.withColumn("tokens", significant(concept_tokens(F.col("label"))))
     itself = parts.select(
         *_CONCEPT,
         F.struct("part", F.lit(0).alias("phase"), F.lit(0).alias("j"), F.lit(0).cast(groups.schema["group_id"].dataType).alias("group_id"),
                  F.lit(0).alias("n"), F.lit(0).cast(groups.schema["term_pos"].dataType).alias("term_pos")).alias("_order"),
         F.col("phrase").alias("label"),
         F.lit(1.0).alias("weight"),
+        F.col("significant_t").alias("tokens"),
     )
-    every = itself.unionByName(alternatives).withColumn("tokens", significant(concept_tokens(fold(F.col("label"))))).where(F.size("tokens") > 0)
+    every = itself.unionByName(alternatives).where(F.size("tokens") > 0)
     first = every.groupBy(*_CONCEPT, _phrase(F.col("tokens")).alias("_key")).agg(
         F.min_by(F.struct("label", "tokens", "weight"), "_order").alias("_a"), F.min("_order").alias("alt_pos")
     )
@@ -314,7 +317,8 @@ def profile_tags(
     profiles(profile_id, interests, summary, text). T10's own rule leaves out
     tags that more than `share` of the people carry and keeps the best `limit`
     of a profile; with None for both every tag stays. A tag meets only profiles that hold its
-    rarest word, then containment is checked in full.
+    rarest word, then containment is checked in full. The words of the profiles that tags need are
+    written once beside the checkpoints.
     """
     vocabulary = with_total(vocabulary.select("tag", "people"), total)
     if share is not None:
@@ -328,15 +332,21 @@ def profile_tags(
 
     said = significant(concept_tokens(fold(F.array_join(F.coalesce("interests", F.array().cast("array<string>")), " . "))))
     told = significant(concept_tokens(fold(F.concat_ws(" ", "summary", "text"))))
+    needed = names.select("tag", "factor", "_len", "_needed", F.explode("_needed").alias("_w"))
+
+    def marked(words: Column, listed: bool) -> Column:
+        none = F.array().cast("array<string>")
+        return F.transform(F.array_distinct(F.coalesce(words, none)), lambda w: F.struct(w.alias("_w"), F.lit(listed).alias("_said")))
+
     # One row per word of a profile; no row carries a whole text.
-    words = (
-        profiles.select("profile_id", F.explode(F.array_distinct(said)).alias("_w"), F.lit(True).alias("_said"))
-        .unionAll(profiles.select("profile_id", F.explode(F.array_distinct(told)).alias("_w"), F.lit(False).alias("_said")))
+    words = store(
+        profiles.select("profile_id", F.explode(F.concat(marked(said, True), marked(told, False))).alias("_p"))
+        .select("profile_id", "_p.*")
+        .join(needed.select("_w").distinct(), "_w", "left_semi")
         .groupBy("profile_id", "_w")
         .agg(F.max("_said").alias("_said"))
     )
     held = words.groupBy("_w").agg(F.count("*").alias("_profiles"))
-    needed = names.select("tag", "factor", "_len", "_needed", F.explode("_needed").alias("_w"))
     rarest = (
         needed.join(held, "_w", "left")
         .groupBy("tag", "factor", "_len", "_needed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import cut_lineage, side_by_side
+from ..functions.ranking import cut_lineage, side_by_side, store
 from ..operators import concepts as K
 from ..operators import people as P
 from ..operators import topics as T
@@ -128,13 +128,14 @@ reach AS (SELECT query_id, concept_pos, tag, round(max(w) * CASE WHEN people * 1
 
 
 def concept_parts(t: Tables):
-    parsed = K.parse_concepts(concept_queries(t)).where("reason IS NULL")
-    return parsed, K.expand_concepts(parsed, synonym_groups(t))
+    """Concepts of the queries and their alternatives, a few rows per query, computed once."""
+    parsed = cut_lineage(K.parse_concepts(concept_queries(t)).where("reason IS NULL"))
+    return parsed, cut_lineage(K.expand_concepts(parsed, synonym_groups(t)))
 
 
 def stored_tags(t: Tables) -> DataFrame:
     """Everyone's tags, computed once: matching reads them several times."""
-    return cut_lineage(tags_of(t))
+    return store(tags_of(t))
 
 
 def reached_tags(t: Tables, tags: DataFrame):
@@ -209,8 +210,9 @@ def _(t: Tables):
     SELECT query_id, person_id, round(sum(h) / 2, 6) AS score, count(*) AS matched FROM (SELECT * FROM byd UNION ALL SELECT * FROM byt) GROUP BY ALL""",
 )
 def _(t: Tables):
-    parsed, alternatives, reached = reached_tags(t, stored_tags(t))
-    no_tags = stored_tags(t).where("tag IS NULL")
+    tags = stored_tags(t)
+    parsed, alternatives, reached = reached_tags(t, tags)
+    no_tags = tags.where("tag IS NULL")
     return K.score_concepts(no_tags, reached, parsed, records(t), alternatives)[0].drop("concepts")
 
 
@@ -278,7 +280,7 @@ BRAND_SQL = """, prof AS (SELECT p_brand AS profile_id, arg_min(p_name, p_partke
 
 @query("profile_tags", "T10", PROFILE_SQL + TAGGING_SQL + "SELECT profile_id, tag, weight, tag_rank FROM ptag")
 def _(t: Tables):
-    return K.profile_tags(customer_profiles(t), T.tag_counts(stored_tags(t)))
+    return K.profile_tags(customer_profiles(t), cut_lineage(T.tag_counts(stored_tags(t))))
 
 
 OVERLAP_SQL = BRAND_SQL + TAGGING_SQL + """, ov AS (SELECT profile_id, person_id, round(least(1, sum(weight / mx / (1 + 0.15 * pos)) / 2), 6) AS overlap
@@ -289,7 +291,7 @@ OVERLAP_SQL = BRAND_SQL + TAGGING_SQL + """, ov AS (SELECT profile_id, person_id
 @query("profile_overlap", "T11", OVERLAP_SQL + "SELECT profile_id, person_id, overlap FROM ov")
 def _(t: Tables):
     tags = stored_tags(t)
-    return K.profile_overlap(K.profile_tags(brand_profiles(t), T.tag_counts(tags)), tags)
+    return K.profile_overlap(K.profile_tags(brand_profiles(t), cut_lineage(T.tag_counts(tags))), tags)
 
 
 @query(
@@ -298,9 +300,9 @@ def _(t: Tables):
     WHERE lower(tag) <> said QUALIFY place <= 8""",
 )
 def _(t: Tables):
-    profiles = customer_profiles(t)
+    profiles = store(customer_profiles(t))
     used = profiles.select("profile_id", F.upper(F.get("interests", F.lit(0))).alias("concept"))
-    return K.suggest_tags(K.profile_tags(profiles, T.tag_counts(stored_tags(t))), used)
+    return K.suggest_tags(K.profile_tags(profiles, cut_lineage(T.tag_counts(stored_tags(t)))), used)
 
 
 # --- vectors ----------------------------------------------------------------------------------------------
